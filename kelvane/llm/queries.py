@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, rules
+from . import chat, conv_quality, mixing, packing, rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": mixing.query,
+    "op2_conv_quality": conv_quality.query,
+    "op3_chat_format": chat.query,
     "op4_quality_rules": rules.query,
+    "op6_pattern_packing": packing.query,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_chat_format": chat.ORACLE}
