@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, conv_quality, mixing, packing, rules
+from . import chat, conv_quality, mixing, near_dups, packing, rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": mixing.query,
@@ -14,5 +14,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_chat_format": chat.query,
     "op4_quality_rules": rules.query,
     "op6_pattern_packing": packing.query,
+    "op9_near_duplicates": near_dups.query,
 }
 ORACLES: dict[str, str] = {"op3_chat_format": chat.ORACLE}
