@@ -1,4 +1,8 @@
-"""A corpus pipeline of the training-data operators."""
+"""From documents to packed training sequences: rules, line dedup, near-duplicate removal, mixing and packing.
+
+Every stage takes all rows that the one before it kept; all but the last return the columns of documents. What a
+stage returns is written as Parquet and read again before the next.
+"""
 
 from __future__ import annotations
 
@@ -6,22 +10,48 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kelvane.llm import rules
+from kelvane.llm import line_runs, mixing, near_dups, packing, rules
 from kelvane.llm._spark import cut, table
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop what the quality rules reject."""
+    """Drop documents that the base rule or the learned rules reject."""
     return rules.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
+def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Delete runs of lines that stand earlier as well; documents of which no word is left go."""
+    return line_runs.drop_repeated_lines(docs)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document with the smallest id of each class of near duplicates."""
+    return near_dups.drop_near_duplicates(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeat or leave out documents so that sources come to their target weights."""
+    return mixing.mix_documents(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Tokenise documents and place their pieces in sequences."""
+    return packing.pack_documents(docs)
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality rules", good_documents),
+    ("line dedup", fresh_lines),
+    ("near duplicates", one_of_each),
+    ("mixing", mixed),
+    ("packing", packed),
 ]
+#: SQL cannot express the learned rules, the sampling or the packing; tests hold the rows against plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows over the whole of documents."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir))

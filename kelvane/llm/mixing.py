@@ -116,5 +116,14 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, seed: int
     return placed.select("doc_id", "source", "size", F.col("s_words").alias("source_size"), F.col("s_target").alias("target"), taken.cast("long").alias("taken"))
 
 
+def mix_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, seed: int = 17) -> DataFrame:
+    """The rows of ``docs`` that the mix takes: each taken / size times, rounded up or down by a seeded draw that is right on average."""
+    share = mix_sources(docs, weights, seed).groupBy("doc_id").agg(F.sum("taken").alias("t"), F.sum("size").alias("s")).filter("s > 0")
+    draw = F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.lit(1 << 20)) / float(1 << 20)
+    copies = share.select(F.col("doc_id").alias("__id"), F.floor(F.col("t") / F.col("s") + draw).cast("int").alias("__copies")).filter("__copies > 0")
+    joined = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("__id")))
+    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, conv_quality, mixing, near_dups, packing, rules
+from . import chat, conv_quality, line_runs, mixing, near_dups, packing, rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": mixing.query,
@@ -15,5 +15,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": rules.query,
     "op6_pattern_packing": packing.query,
     "op9_near_duplicates": near_dups.query,
+    "op10_line_runs": line_runs.query,
 }
-ORACLES: dict[str, str] = {"op3_chat_format": chat.ORACLE}
+ORACLES: dict[str, str] = {"op3_chat_format": chat.ORACLE, "op10_line_runs": line_runs.ORACLE}
