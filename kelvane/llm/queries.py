@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, conv_quality, line_runs, mixing, near_dups, packing, rules, substrings
+from . import chat, conv_quality, line_runs, mixing, near_dups, packing, rules, substrings, suffix_tree
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": mixing.query,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_chat_format": chat.query,
     "op4_quality_rules": rules.query,
     "op6_pattern_packing": packing.query,
+    "op7_suffix_tree": suffix_tree.query,
     "op8_exact_substrings": substrings.query,
     "op9_near_duplicates": near_dups.query,
     "op10_line_runs": line_runs.query,
