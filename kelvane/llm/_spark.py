@@ -35,3 +35,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def text_words(column: str = "text"):
     """Number of words ``[^\\x20\\x09-\\x0D]+``; null counts as 0."""
     return F.coalesce(F.regexp_count(F.col(column), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+
+
+def share_of(df: DataFrame, key, most: int, rows: int | None = None) -> DataFrame:
+    """Rows whose hashed ``key`` is below a share that leaves about ``most`` of them (all, if there are fewer): the same ones each time."""
+    rows = df.count() if rows is None else rows
+    return df if rows <= most else df.filter(F.pmod(F.xxhash64(F.lit(23), key), F.lit(1 << 31)) < F.lit(int(most / rows * (1 << 31))))

@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, conv_quality, line_runs, mixing, near_dups, packing, rules, substrings, suffix_tree
+from . import chat, conv_quality, line_runs, mixing, near_dups, neighbours, packing, rules, substrings, suffix_tree
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": mixing.query,
     "op2_conv_quality": conv_quality.query,
     "op3_chat_format": chat.query,
     "op4_quality_rules": rules.query,
+    "op5_learned_partitions": neighbours.query,
     "op6_pattern_packing": packing.query,
     "op7_suffix_tree": suffix_tree.query,
     "op8_exact_substrings": substrings.query,
