@@ -21,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import table
+from ._spark import share_of, table
 from ._text import bytes_of, pieces
 
 WIDTH, STRIDE, BLOCK, FILTERS, HIDDEN = 8, 4, 512, 24, 16
-#: Labelled texts and their bytes that training reads at most: those with the smallest hashes of doc_id.
+#: Labelled texts and their bytes that training reads, about, at most: a share of the texts by the hash of doc_id.
 MAX_TRAIN, MAX_TRAIN_BYTES = 5000, 40_000_000
 THRESHOLD = 0.7
 
@@ -155,10 +155,9 @@ def held_out():
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> Network:
-    """Train on labelled rows of ``docs`` that are not held out, ``most`` of them at most."""
+    """Train on labelled rows of ``docs`` that are not held out, about ``most`` of them at most."""
     known = labels.filter("doc_id is not null and quality is not null").filter(~held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    ids = F.broadcast(chosen)  # most rows at most
+    ids = F.broadcast(share_of(known, "doc_id", most))  # about most rows at most
     got = docs.filter("doc_id is not null").join(ids, "doc_id").select("doc_id", "text", "quality").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("quality").alias("quality"))
     rows = got.toArrow().sort_by("doc_id")
     texts = rows.column("text").combine_chunks()

@@ -21,12 +21,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from ._spark import cut, table
+from ._spark import cut, share_of, table
 from ._text import Lines, Words, fingerprints, mix, per_doc, pieces, prefix_sums, repeated
 
 #: Counts per text. The first five are the query's; the rest only feed the learner.
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_code_points", "n_lines", "n_upper", "n_digits", "n_bangs", "n_stops", "n_distinct")
-#: Labelled rows that learning reads at most, those with the smallest hashes of doc_id.
+#: Labelled documents that learning reads, about, at most: a share of them by the hash of doc_id.
 MAX_LABELLED = 20_000
 
 _KIND = np.zeros((6, 256), bool)
@@ -174,10 +174,10 @@ def base_failed(prefix: str = "") -> Column:
 
 
 def fit(stats: DataFrame, labels: DataFrame, prefix: str = "", max_labelled: int = MAX_LABELLED) -> list[list[Test]]:
-    """Learn the list from rows of ``stats`` whose doc_id is labelled; at most ``max_labelled`` of them."""
+    """Learn the list from rows of ``stats`` whose doc_id is labelled; about ``max_labelled`` of them at most."""
     known = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("__quality"))
-    rows = stats.join(known, "doc_id").select(F.xxhash64("doc_id").alias("__h"), "__quality", *[v.alias(k) for k, v in ratio_features(prefix).items()])
-    got = rows.orderBy("__h", *ratio_features(prefix)).limit(max_labelled).toPandas()
+    rows = stats.join(share_of(known, "doc_id", max_labelled), "doc_id").select("doc_id", "__quality", *[v.alias(k) for k, v in ratio_features(prefix).items()])
+    got = rows.toPandas().sort_values(["doc_id", *ratio_features(prefix)])
     x = {k: got[k].to_numpy(np.float64) for k in ratio_features(prefix)}
     return learn_list(x, got["__quality"].to_numpy() == 0)
 
