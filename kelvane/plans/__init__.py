@@ -1,5 +1,6 @@
 """Named queries over the bound tables."""
 
+from . import content, coverage, merges, pairing, queues  # noqa: F401  each registers its queries
 from ._registry import QUERIES, Query
 
 __all__ = ["QUERIES", "Query"]

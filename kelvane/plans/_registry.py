@@ -15,3 +15,13 @@ class Query:
 
 
 QUERIES: dict[str, Query] = {}
+
+
+def query(sql: str | None = None) -> Callable:
+    """Register a function (spark, folder) -> DataFrame under its name, with the DuckDB SQL for the same rows."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = Query(f, sql)
+        return f
+
+    return add
