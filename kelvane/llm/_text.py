@@ -7,6 +7,7 @@ sums of ``R[byte] * P**position`` modulo 2**64, shifted back by ``P**-s`` and mi
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +21,7 @@ _RANDOM = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint6
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _POWERS: list[np.ndarray] = []
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -32,7 +34,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """``P**i`` and ``P**-i`` for i < n at least."""
     if not _POWERS or len(_POWERS[0]) < n:
-        m = max(n, 1 << 21)
+        m = max(n, (1 << 19) + 1)
         inverse = pow(_P, -1, 2**64)
         _POWERS[:] = [np.concatenate([[np.uint64(1)], np.cumprod(np.full(m - 1, p, np.uint64))]) for p in (_P, inverse)]
     return _POWERS[0], _POWERS[1]
@@ -46,7 +48,14 @@ def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8), offsets
 
 
-def pieces(column: pa.Array, limit: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def release() -> None:
+    """Give freed memory back to the system: workers live on between tasks, and what they keep adds up."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+def pieces(column: pa.Array, limit: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of runs of rows with about ``limit`` bytes; a longer text stands alone."""
     data, offsets = bytes_of(column)
     i, n = 0, len(offsets) - 1
@@ -55,6 +64,7 @@ def pieces(column: pa.Array, limit: int = 1 << 21) -> Iterator[tuple[int, int, n
         j = min(j, n)
         yield i, j, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         i = j
+    release()
 
 
 def lowered(data: np.ndarray) -> np.ndarray:
@@ -73,6 +83,19 @@ def fingerprints(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return mix((sums[ends] - sums[starts]) * powers(len(sums))[1][starts])
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, limit: int = 1 << 21) -> np.ndarray:
+    """``fingerprints`` of spans ordered by start; a long text is taken in runs of spans, so that tables of powers stay small."""
+    if len(data) <= limit:
+        return fingerprints(prefix_sums(data), starts, ends)
+    out, i = np.zeros(len(starts), np.uint64), 0
+    while i < len(starts):
+        a = int(starts[i])
+        j = max(i + 1, int(np.searchsorted(ends, a + limit, side="right")))
+        out[i:j] = fingerprints(prefix_sums(data[a : int(ends[j - 1])]), starts[i:j] - a, ends[i:j] - a)
+        i = j
+    return out
+
+
 class Words:
     """The words of a run of texts: byte starts and ends, their text's index, and each text's first word."""
 
@@ -89,8 +112,8 @@ class Words:
         self.counts = np.diff(self.first)
         self.doc = np.repeat(np.arange(len(offsets) - 1), self.counts)
 
-    def hashes(self, sums: np.ndarray | None = None) -> np.ndarray:
-        return fingerprints(prefix_sums(self.data) if sums is None else sums, self.starts, self.ends)
+    def hashes(self) -> np.ndarray:
+        return span_hashes(self.data, self.starts, self.ends)
 
     def windows(self, hashes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """First word and hash of each run of k words inside one text."""

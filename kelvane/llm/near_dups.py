@@ -70,6 +70,23 @@ class Elements:
         self.first = np.searchsorted(doc, np.arange(n + 1))
 
 
+    @staticmethod
+    def of(column: pa.Array) -> Elements:
+        """Of a whole column, taken in pieces."""
+        parts = [Elements(d, o) for _, _, d, o in pieces(column)]
+        if len(parts) == 1:
+            return parts[0]
+        out, texts, elements = Elements.__new__(Elements), 0, 0
+        joined: dict[str, list[np.ndarray]] = {k: [] for k in ("counts", "identity", "doc", "new", "counter", "keys", "first")}
+        for e in parts:
+            for k in joined:
+                joined[k].append(e.doc + texts if k == "doc" else e.first[:-1] + elements if k == "first" else getattr(e, k))
+            texts, elements = texts + len(e.counts), elements + len(e.doc)
+        for k, v in joined.items():
+            setattr(out, k, np.concatenate([*v, np.array([elements])] if k == "first" else v))
+        return out
+
+
 def identities(raw: np.ndarray) -> pa.Array:
     """The S16 values as binary; numpy drops trailing zero bytes of a value, Arrow's buffer keeps them."""
     return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(raw), [None, pa.py_buffer(np.ascontiguousarray(raw).tobytes())]).cast(pa.binary())
@@ -205,7 +222,7 @@ def text_classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFra
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf = shared_idf.value
         for batch in batches:
-            for i, j, d, o in pieces(batch.column(1), 1 << 20):
+            for i, j, d, o in pieces(batch.column(1)):
                 e = Elements(d, o)
                 bands = bands_of(sampler.sample(e.keys, idf[e.counter], e.first))
                 rows = np.flatnonzero(e.counts > 0)
@@ -237,9 +254,9 @@ def text_classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFra
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf = shared_idf.value
         for batch in batches:
-            for i, j, d, o in pieces(batch.column(2), 1 << 20):
+            for i, j, d, o in pieces(batch.column(2)):
                 part = batch.slice(i, j - i)
-                for k, m, d2, o2 in pieces(part.column(3), 1 << 20):
+                for k, m, d2, o2 in pieces(part.column(3)):
                     one = Elements(d[o[k] : o[m]], o[k : m + 1] - o[k])
                     hit = intersections(one, Elements(d2, o2), idf) >= threshold - 1e-9
                     yield part.slice(k, m - k).select([0, 1]).filter(pa.array(hit))
@@ -257,11 +274,9 @@ def text_classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFra
     dealt = dealt.select("leader", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "tid", "root").join(bodies, "tid")
 
     def compare(rows: pa.Table) -> pa.Table:
-        from ._text import bytes_of
-
         rows = rows.sort_by("tid")
         tids, roots, block = rows.column("tid").to_pylist(), rows.column("root").to_pylist(), np.asarray(rows.column("block"))
-        near = all_similarities(Elements(*bytes_of(rows.column("text").combine_chunks())), shared_idf.value) >= threshold - 1e-9
+        near = all_similarities(Elements.of(rows.column("text").combine_chunks()), shared_idf.value) >= threshold - 1e-9
         up = {r: r for r in roots}
 
         def top(x: bytes) -> bytes:

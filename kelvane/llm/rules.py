@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ._spark import cut, share_of, table
-from ._text import Lines, Words, fingerprints, mix, per_doc, pieces, prefix_sums, repeated
+from ._text import Lines, Words, mix, per_doc, pieces, repeated, span_hashes
 
 #: Counts per text. The first five are the query's; the rest only feed the learner.
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_code_points", "n_lines", "n_upper", "n_digits", "n_bangs", "n_stops", "n_distinct")
@@ -41,7 +41,7 @@ _KIND[5] = (np.arange(256) & 0xC0) != 0x80  # bytes that begin a code point
 def count_stats(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     """The STATS of each text, given the bytes of all and their offsets."""
     n = len(offsets) - 1
-    words, lines, sums = Words(data, offsets), Lines(data, offsets), prefix_sums(data)
+    words, lines = Words(data, offsets), Lines(data, offsets)
 
     def total(flags: np.ndarray) -> np.ndarray:
         c = np.zeros(len(flags) + 1, np.int64)
@@ -56,11 +56,11 @@ def count_stats(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     np.cumsum(words.solid, out=filled[1:])
     full = filled[lines.ends] > filled[lines.starts]
     doc = lines.doc[full]
-    keys = mix(fingerprints(sums, lines.starts[full], lines.ends[full]) + doc.astype(np.uint64) * salt)
+    keys = mix(span_hashes(data, lines.starts[full], lines.ends[full]) + doc.astype(np.uint64) * salt)
     out["n_lines"] = per_doc(doc, n)
     out["n_dup_lines"] = out["n_lines"] - per_doc(doc[np.unique(keys, return_index=True)[1]], n)
 
-    hashes = words.hashes(sums)
+    hashes = words.hashes()
     at, windows = words.windows(hashes, 5)
     twice = at[repeated(mix(windows + words.doc[at].astype(np.uint64) * salt))]
     edge = np.zeros(len(hashes) + 6, np.int64)

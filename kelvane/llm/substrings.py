@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._spark import cut, table
-from ._text import bytes_of, fingerprints, pieces, prefix_sums
+from ._text import bytes_of, fingerprints, pieces, prefix_sums, release
 
 LENGTH, GRAM = 100, 36
 #: Bytes that are scanned at once, and runs after which a batch's array is sent on.
@@ -265,9 +265,18 @@ def covered_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bits:
         order = np.lexsort((held["starts"], held["docs"]))  # windows are numbered as they stand in the corpus
         size, base = size[order], base[order]
         run = np.repeat(np.arange(len(size)), size)
-        nth = np.arange(len(run)) - np.repeat(np.cumsum(size) - size, size)
-        at = base[run] + nth
-        hashes = fingerprints(prefix_sums(held["text"]), at, at + length)
+        first = np.cumsum(size) - size
+        nth = np.arange(len(run)) - np.repeat(first, size)
+        hashes = np.zeros(len(run), np.uint64)
+        edge = np.append(first, len(run))
+        width = size + length - 1
+        step = np.append(np.searchsorted(np.cumsum(width), np.arange(0, len(held["text"]), SEGMENT), side="right"), len(size))
+        for a, b in zip(step[:-1].tolist(), step[1:].tolist(), strict=True):  # some runs at a time
+            if b > a:
+                local = np.cumsum(width[a:b]) - width[a:b]
+                sums = prefix_sums(held["text"][np.arange(local[-1] + width[b - 1]) + np.repeat(base[a:b] - local, width[a:b])])
+                local = nth[edge[a] : edge[b]] + np.repeat(local, size[a:b])
+                hashes[edge[a] : edge[b]] = fingerprints(sums, local, local + length)
         by = np.argsort(hashes, kind="stable")
         again = np.zeros(len(by), bool)
         again[by[1:]] = hashes[by[1:]] == hashes[by[:-1]]
@@ -335,6 +344,7 @@ def _keep(docs: DataFrame, length: int, gram: int) -> DataFrame:
                     listed.append([{"start": s, "end": e} for s, e in mine])
                 kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
                 yield pa.RecordBatch.from_arrays([piece.column(1), pa.array(listed, kind), pa.array(kept, pa.binary())], names=["doc_id", "spans", "kept"])
+            release()
 
     return rows.mapInArrow(apply, "doc_id long, spans array<struct<start: long, end: long>>, kept binary")
 
