@@ -18,12 +18,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._spark import cut, table
+from ._text import release, span_hashes
 
 CAPACITY, END = 4096, 1
 #: Pieces that one task packs, about.
@@ -32,10 +32,22 @@ STEP = 64
 #: Pieces of at most so many tokens are kept out of the patterns: they fill the gaps.
 FILLER = 192
 
-_PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-#: Texts with other characters than these go to the tokenizer whole: normal forms and white space may matter there.
-_ODD = regex.compile(r"[^\t\n\x0b\x0c\r\x20-\x7e¡-ɏ]|<\|startoftext\|>|<\|endoftext\|>")
-_CACHED = 1_000_000
+#: Words whose ids a worker remembers at most.
+_CACHED = 1 << 20
+
+# Kinds of bytes: 0 white space, 1 letter (all of a multi-byte character), 2 digit, 3 other; and those that send a
+# text to the tokenizer whole, since its normal forms, white space or numerals may matter there.
+_KIND = np.full(256, 3, np.uint8)
+_KIND[[9, 10, 11, 12, 13, 32]] = 0
+_KIND[65:91] = _KIND[97:123] = _KIND[128:] = 1
+_KIND[48:58] = 2
+_ODD = np.zeros(256, bool)
+_ODD[[*range(9), *range(14, 32), 127, 0xC2]] = True  # controls, and U+0080 to U+00BF
+_ODD[0xCA:] = True  # U+0280 and above
+_ONE, _TWO = np.zeros(256, bool), np.zeros((256, 256), bool)
+_ONE[list(b"stmd")] = True
+for _pair in (b"re", b"ve", b"ll"):
+    _TWO[_pair[0], _pair[1]] = True
 
 
 def default_tokenizer() -> str:
@@ -44,38 +56,110 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _odd_texts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Which texts hold characters that are not ASCII or letters up to U+024F."""
+    odd = _ODD[data]
+    after = np.zeros(len(data), np.uint8)
+    after[:-1] = data[1:]
+    odd |= (data == 0xC3) & ((after == 0x97) | (after == 0xB7))  # the signs of multiplication and division
+    odd |= (data == 0xC9) & (after >= 0x90)
+    count = np.zeros(len(data) + 1, np.int64)
+    np.cumsum(odd, out=count[1:])
+    return count[offsets[1:]] > count[offsets[:-1]]
+
+
+def split_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the tokenizer's words: runs of letters, single digits, runs of other signs, and English contractions."""
+    n = len(data)
+    kind = _KIND[data]
+    start = np.ones(n + 1, bool)
+    start[1:n] = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+    start[offsets] = True
+    quote = np.flatnonzero(start[:-1] & (data == 39))
+    quote = quote[quote + 1 < n]
+    quote = quote[(kind[quote + 1] == 1) & ~np.isin(quote + 1, offsets)]
+    first, second = data[quote + 1], data[np.minimum(quote + 2, n - 1)]
+    joined = (quote + 2 < n) & ~start[np.minimum(quote + 2, n)]  # the second letter belongs to the same run
+    one = quote[_ONE[first]]
+    two = quote[~_ONE[first] & joined & _TWO[first, second]]
+    start[np.concatenate([one, two]) + 1] = False
+    start[one + 2] = True
+    start[two + 3] = True
+    solid = kind != 0
+    starts = np.flatnonzero(start[:-1] & solid)
+    ends = np.flatnonzero(solid & (start[1:] | np.append(~solid[1:], True))) + 1
+    return starts, ends
+
+
 class WordTokenizer:
-    """Ids of whole texts, as the tokenizer file gives them without special tokens, by way of a cache of words.
+    """Ids of whole texts, as the tokenizer file gives them without special tokens, by way of remembered words.
 
-    The file's splitter never joins characters across a word, so the ids of a text are those of its words, and a
-    word is encoded once for as long as it stays in the cache.
+    The file's splitter never joins characters across a word, so the ids of a text are those of its words. Texts
+    are split as bytes, words are known by 64-bit hashes, and a word is encoded once for as long as it is remembered.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cache = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.forget()
 
-    def learn(self, words: list[str]) -> None:
-        if len(self.cache) > _CACHED:
-            self.cache.clear()
+    def forget(self) -> None:
+        self.keys, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.uint32)
+
+    def learn(self, keys: np.ndarray, words: list[str]) -> None:
+        if len(self.keys) + len(keys) > _CACHED:
+            self.forget()
+        new, sizes = [], []
         for i in range(0, len(words), 20_000):
             part = words[i : i + 20_000]
             found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            raw, cuts = np.array(found.ids, "<u4").tobytes(), np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(part) + 1)) * 4
-            self.cache.update({w: raw[a:b] for w, a, b in zip(part, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)})
+            new.append(np.array(found.ids, np.uint32))
+            sizes.append(np.bincount(np.array(found.word_ids, np.int64), minlength=len(part)))
+        size = np.concatenate(sizes)
+        at = len(self.ids) + np.cumsum(size) - size
+        place = np.searchsorted(self.keys, keys)
+        self.keys, self.at, self.size = np.insert(self.keys, place, keys), np.insert(self.at, place, at), np.insert(self.size, place, size)
+        self.ids = np.concatenate([self.ids, *new])
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the keys, and whether they are there."""
+        if not len(self.keys):
+            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return at, self.keys[at] == keys
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        split = [None if _ODD.search(t) else _PIECE.findall(t.lower()) for t in texts]
-        need = set().union(*(s for s in split if s))
-        if missing := [w for w in need if w not in self.cache]:
-            before = len(self.cache)
-            self.learn(missing)
-            if len(self.cache) < before + len(missing):  # it was emptied
-                self.learn([w for w in need if w not in self.cache])
-        get = self.cache.__getitem__
-        return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if s is None else b"".join(map(get, s)) for t, s in zip(texts, split, strict=True)]
+        raw = [t.lower().encode() for t in texts]
+        data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
+        if not len(data):
+            return [b""] * len(texts)
+        odd = _odd_texts(data, offsets)
+        starts, ends = split_words(data, offsets)
+        fine = ~odd[np.searchsorted(offsets, starts, side="right") - 1]
+        starts, ends = starts[fine], ends[fine]
+        keys, first, which = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        for _ in range(2):  # a second time if the first made room by forgetting
+            at, known = self.find(keys)
+            if not len(new := np.flatnonzero(~known)):
+                break
+            blob = data.tobytes()
+            self.learn(keys[new], [blob[a:b].decode() for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
+        at, known = self.find(keys)
+        size = np.where(known, self.size[at], 0) if len(self.size) else np.zeros(len(keys), np.int64)
+        word = size[which]
+        total = np.concatenate([[0], np.cumsum(word)])
+        begin = self.at[at][which] if len(self.at) else np.zeros(len(which), np.int64)
+        ids = self.ids[np.arange(total[-1]) + np.repeat(begin - total[:-1], word)]
+        cuts = total[np.searchsorted(starts, offsets)]
+        flat = ids.astype("<u4").tobytes()
+        special = lambda t: "<|startoftext|>" in t or "<|endoftext|>" in t
+        return [
+            np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if o or special(t) else flat[4 * a : 4 * b]
+            for t, o, a, b in zip(texts, odd.tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)
+        ]
 
 
 @lru_cache(maxsize=4)
@@ -92,8 +176,8 @@ def cut_documents(docs: DataFrame, capacity: int = CAPACITY, end: int = END, pat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = tokenizer(path)
         for whole in batches:
-            for i in range(0, whole.num_rows, 500):
-                batch = whole.slice(i, 500)
+            for i in range(0, whole.num_rows, 250):
+                batch = whole.slice(i, 250)
                 rows, piece, start, length, crc = [], [], [], [], []
                 for row, ids in enumerate(known.encode([t or "" for t in batch.column(1).to_pylist()])):
                     ids += mark
@@ -106,6 +190,7 @@ def cut_documents(docs: DataFrame, capacity: int = CAPACITY, end: int = END, pat
                         crc.append(zlib.crc32(part))
                 cols = [pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *cols], names=names)
+            release()
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
