@@ -127,3 +127,16 @@ def test_score(spark):
     assert got(60.0, False, False, True, False).reasons == ["email_domain_match", "name_weak:60"]
     assert (got(0.0, True, True, True, True).score, got(0.0, True, True, True, True).confidence) == (100.0, "HIGH")
     assert got(54.9, False, False, False, True).confidence == "LOW"
+
+
+def test_sql_functions_agree(spark):
+    from kelvane.functions import sql
+
+    sql.register(spark)
+    df = spark.createDataFrame([(v,) for v in ["SI 123", "si12345678", "a1", " 7 7 ", "1.234,5", "3.4.2021", "  Ana  NOVAK ", None]], "v string")
+    df.createOrReplaceTempView("sql_function_values")
+    got = spark.sql("SELECT registration_number(v) a, tax_number(v) b, strict_identifier(v, true) c, strict_identifier(v, false) d, person_name(v) e, european_number(v) f, european_date(v) g, link_priority(v) h FROM sql_function_values").collect()
+    c = F.col("v")
+    want = df.select(ids.digits(c), ids.tax_number(c), ids.strict_identifier(c, tax=True), ids.strict_identifier(c), ids.person_name(c), numbers.european_number(c), numbers.european_date(c), urls.link_priority(c)).collect()
+    assert [tuple(r) for r in got] == [tuple(r) for r in want]
+    assert spark.sql("SELECT at_most(NULL, 60) IS NULL AND at_most(80, 60) = 60").first()[0]
