@@ -50,9 +50,10 @@ def repeated_runs(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFr
         docs = docs.dropDuplicates()
     spans = cut(spans_of(docs, span, gram))
     place = F.struct("doc_id", "th", "at")
-    shared = spans.groupBy("fingerprint").agg(F.min(place).alias("low"), F.max(place).alias("high")).filter("low <> high").select("fingerprint")
+    # aggregates are written before they are joined: a join of plain tables can be split where one key has many rows
+    shared = cut(spans.groupBy("fingerprint").agg(F.min(place).alias("low"), F.max(place).alias("high")).filter("low <> high").select("fingerprint"))
     met = cut(spans.join(shared, "fingerprint").select("doc_id", "th", "pos", "end", "s1", "s2"))
-    first = met.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "th", "pos")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("s1", "s2", "first")
+    first = cut(met.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "th", "pos")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("s1", "s2", "first"))
     later = met.join(first, ["s1", "s2"]).filter(F.struct("doc_id", "th", "pos") != F.col("first")).select("doc_id", "th", "pos", "end")
     before = Window.partitionBy("doc_id", "th").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     fresh = F.coalesce((F.col("pos") > F.max("end").over(before) + 1).cast("int"), F.lit(1))
