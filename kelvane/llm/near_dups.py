@@ -233,7 +233,8 @@ def text_classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFra
     signed = cut(docs.mapInArrow(draw, f"doc_id {kind}, tid binary, bands array<long>"))
     texts = signed.groupBy("tid").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
     buckets = cut(texts.select("tid", "doc_id", F.explode("bands").alias("bucket")))
-    leaders = buckets.groupBy("bucket").agg(F.min("tid").alias("leader"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    # aggregates are written before they are joined: a join of plain tables can be split where one key has many rows
+    leaders = cut(buckets.groupBy("bucket").agg(F.min("tid").alias("leader"), F.count("*").alias("n")).filter("n > 1").drop("n"))
     family = cut(buckets.join(leaders, "bucket").filter("tid <> leader").select("leader", "tid").distinct())
 
     wanted = family.select("tid").unionByName(family.select(F.col("leader").alias("tid"))).distinct()
@@ -303,7 +304,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id and class_id of each row: the smallest doc_id of its class."""
     rows, classes = text_classes(docs, threshold)
     rooted = rows.join(classes, rows["tid"] == classes["node"], "left").select("doc_id", F.coalesce("root", "tid").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("doc_id").alias("class_id"))
+    rooted = cut(rooted)
+    named = cut(rooted.groupBy("root").agg(F.min("doc_id").alias("class_id")))
     found = rooted.join(named, "root").groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
     return docs.select("doc_id").join(found, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 
