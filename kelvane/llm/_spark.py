@@ -6,7 +6,9 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,3 +43,14 @@ def share_of(df: DataFrame, key, most: int, rows: int | None = None) -> DataFram
     """Rows whose hashed ``key`` is below a share that leaves about ``most`` of them (all, if there are fewer): the same ones each time."""
     rows = df.count() if rows is None else rows
     return df if rows <= most else df.filter(F.pmod(F.xxhash64(F.lit(23), key), F.lit(1 << 31)) < F.lit(int(most / rows * (1 << 31))))
+
+
+def by_part(df: DataFrame, parts: int, func: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """``func`` over all rows of each ``part`` (0 to parts - 1): a part is a task of its own, so none waits behind another."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if held:
+            yield from func(pa.Table.from_batches(held)).to_batches()
+
+    return df.repartitionById(parts, "part").mapInArrow(run, schema)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import cut, table
+from ._spark import by_part, cut, table
 from ._text import bytes_of, fingerprints, pieces, prefix_sums, release
 
 LENGTH, GRAM = 100, 36
@@ -182,7 +182,7 @@ def covered_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bits:
                 yield _level_rows(family.levels[0], parts)
             spans = _spans_by_part(family.covered, parts)
             nothing = pa.array([None] * spans.num_rows, pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(-1 - np.asarray(spans.column(0)), pa.int32()), nothing, spans.column(3), spans.column(1), spans.column(2), nothing], names=["part", "grams", "classes", "docs", "starts", "lengths"])
+            yield pa.RecordBatch.from_arrays([spans.column(0), nothing, spans.column(3), spans.column(1), spans.column(2), nothing], names=["part", "grams", "classes", "docs", "starts", "lengths"])
 
         for batch in batches:
             ids = np.asarray(batch.column(0))
@@ -200,26 +200,25 @@ def covered_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bits:
     arrays = docs.mapInArrow(scan, ARRAYS)
 
     def settle(rows: pa.Table) -> pa.Table:
-        part, kinds = rows.column("part")[0].as_py(), (("grams", np.uint64), ("classes", np.uint64), ("docs", np.int64), ("starts", np.uint32), ("lengths", np.uint32))
-        spans, multi = [], np.zeros(0, np.uint64)
-        if part < 0:  # covered inside their own batch
-            for d, s, e in zip(*(rows.column(c).to_pylist() for c in ("docs", "starts", "classes")), strict=True):
-                spans.append(tuple(np.frombuffer(x, "<i8") for x in (d, s, e)))
-        else:
-            family = Family(length)
-            for row in rows.to_pylist():
+        kinds = (("grams", np.uint64), ("classes", np.uint64), ("docs", np.int64), ("starts", np.uint32), ("lengths", np.uint32))
+        spans, family = [], Family(length)
+        for row in rows.to_pylist():
+            if row["grams"] is None:  # covered inside their own batch
+                spans.append(tuple(np.frombuffer(row[k], "<i8") for k in ("docs", "starts", "classes")))
+            else:
                 family.add(Level(*(np.frombuffer(row[k], t).copy() for k, t in kinds)))
-            spans = family.covered
-            if family.levels:
-                last = Level.joined(family.levels)
-                grams = np.sort(last.grams)
-                multi = np.unique(np.concatenate([grams[1:][grams[1:] == grams[:-1]], last.grams[(last.lengths & _REPEATS) > 0]]))
+        spans += family.covered
+        multi = np.zeros(0, np.uint64)
+        if family.levels:
+            last = Level.joined(family.levels)
+            grams = np.sort(last.grams)
+            multi = np.unique(np.concatenate([grams[1:][grams[1:] == grams[:-1]], last.grams[(last.lengths & _REPEATS) > 0]]))
         out = pa.Table.from_batches([_spans_by_part(spans, parts)])
         marks = np.unique(multi >> np.uint64(64 - bits)).astype("<u4").tobytes()
         row = pa.table({"part": pa.array([-1], pa.int32()), "docs": pa.array([marks], pa.binary()), "starts": pa.array([None], pa.binary()), "ends": pa.array([None], pa.binary())})
         return pa.concat_tables([out, row])
 
-    settled = cut(arrays.groupBy("part").applyInArrow(settle, SPANS))
+    settled = cut(by_part(arrays, parts, settle, SPANS))
 
     def union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table_ = np.zeros(1 << bits, bool)
@@ -291,7 +290,7 @@ def covered_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bits:
         return pa.Table.from_batches([_spans_by_part([(docs[run[a]], starts[run[a]] + nth[a], starts[run[b]] + nth[b] + length)], parts)])
 
     sent = docs.mapInArrow(regions, "part int, docs binary, starts binary, counts binary, text binary")
-    more = sent.groupBy("part").applyInArrow(windows, SPANS)
+    more = by_part(sent, parts, windows, SPANS)
     return settled.filter("part >= 0").unionByName(more), parts
 
 
@@ -313,7 +312,7 @@ def _keep(docs: DataFrame, length: int, gram: int) -> DataFrame:
     spans, parts = covered_spans(docs, length, gram)
     rows = docs.select(F.pmod("doc_id", F.lit(parts)).cast("int").alias("part"), "doc_id", "text", *[F.lit(None).cast("binary").alias(c) for c in ("docs", "starts", "ends")])
     rows = rows.unionByName(spans.select("part", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), "docs", "starts", "ends"))
-    rows = rows.repartition(parts, "part").sortWithinPartitions("part", F.col("docs").isNull())
+    rows = rows.repartitionById(parts, "part").sortWithinPartitions("part", F.col("docs").isNull())
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, done = None, [], None
