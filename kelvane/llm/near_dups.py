@@ -269,6 +269,7 @@ def text_classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFra
     # families whose texts, but for the smallest, are still in several components: their pairs were not all compared
     placed = family.join(classes, family["tid"] == classes["node"], "left").select("leader", "tid", F.coalesce("root", "tid").alias("root"))
     open_ = placed.groupBy("leader").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).filter("low <> high").select("leader", "n")
+    open_ = cut(open_)
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     dealt = placed.join(open_, "leader").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("tid"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
