@@ -1,12 +1,14 @@
 """Removing repeated runs of lines, found by winnowing line hashes. DataFrame operations only.
 
 A text is its non-blank ``\\n``-split lines, each with a hash and a word count. A gram is the shortest run of lines
-from a given one with GRAM words; a span is the shortest with SPAN words. Winnowing selects, for each span, the
-least gram hash inside it, so whatever repeats a span repeats its fingerprint. Positions are joined on fingerprints
-that occur at more than one place; around those, matches are extended both ways by comparing every span that holds
-the fingerprint with the first place where that span occurs. Spans that occurred before (smaller doc_id, or the
-same document, earlier) are joined into maximal runs and deleted, with blank lines inside them. So a line goes if and
-only if it lies in a run of lines with SPAN words that stands earlier as well.
+from a given one with GRAM words; a span is the shortest with SPAN words from a given line, or up to one. Winnowing
+selects, for each span, the least gram hash inside it, so whatever repeats a span repeats its fingerprint. Positions
+are joined on fingerprints that occur at more than one place; around those, matches are extended both ways by
+comparing every span that holds the fingerprint with the first place where that span occurs. Spans that occurred
+before (smaller doc_id, or the same document, earlier) are joined into maximal runs and deleted, with blank lines
+inside them. So a line goes if and only if it lies in a run of lines with SPAN words or more that stands earlier as
+well: in such a run, the span from the first line holds all lines before which the run has fewer than SPAN words, and
+each other line is the last of a span inside the run.
 
 Edge cases: a null text has no lines and stays null; a null doc_id comes before all others; texts with equal doc_id
 are ordered by hash; repeated rows (equal doc_id and text) are one document and get the same result; short
@@ -16,7 +18,7 @@ becomes empty; columns other than doc_id and text pass through.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._spark import cut, table
@@ -26,21 +28,36 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def spans_of(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
-    """Each span of each document: where it begins and ends, its two hashes, its fingerprint and where that stands."""
+    """Each span of each document, from a line or up to one: where it begins and ends, its two hashes, its fingerprint and where that stands."""
     lines = docs.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     lines = lines.select("doc_id", "th", "pos", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("h2"), F.regexp_count("line", F.lit(WORD)).cast("long").alias("n")).filter("n > 0")
     doc = Window.partitionBy("doc_id", "th").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = lines.withColumn("c", F.sum("n").over(doc) - F.col("n"))
     within = lambda words: Window.partitionBy("doc_id", "th").orderBy("c").rangeBetween(0, words - 1)
     short, long_ = within(gram), within(span)
+    upto = Window.partitionBy("doc_id", "th").orderBy("c").rangeBetween(1 - span, 0)
+    ahead = Window.partitionBy("doc_id", "th").orderBy("c").rangeBetween(Window.unboundedPreceding, -span)
     whole = F.when(F.sum("n").over(short) >= gram, F.struct(F.xxhash64(F.collect_list("h").over(short)).alias("g"), F.col("pos").alias("at"), F.max("c").over(short).alias("last")))
     grams = placed.withColumn("gram", whole)
-    found = grams.select(
-        "doc_id", "th", "pos", "c", F.max("pos").over(long_).alias("end"), F.sum("n").over(long_).alias("words"),
-        F.xxhash64(F.collect_list("h").over(long_)).alias("s1"), F.xxhash64(F.collect_list("h2").over(long_)).alias("s2"), F.collect_list("gram").over(long_).alias("grams"),
-    ).filter(F.col("words") >= span)
-    least = F.array_min(F.filter("grams", lambda x: x["last"] <= F.col("c") + span - 1))
-    return found.withColumn("f", least).select("doc_id", "th", "pos", "end", "s1", "s2", F.col("f.g").alias("fingerprint"), F.col("f.at").alias("at"))
+    opener = F.last(F.struct("pos", "h", "h2", "gram")).over(ahead)
+    found = grams.select("doc_id", "th", "pos", "c", *[f.alias(n) for n, f in {
+        "end": F.max("pos").over(long_), "words": F.sum("n").over(long_), "hs": F.collect_list("h").over(long_), "h2s": F.collect_list("h2").over(long_), "gs": F.collect_list("gram").over(long_),
+        "opener": opener, "closing": F.sum("n").over(upto), "bhs": F.collect_list("h").over(upto), "bh2s": F.collect_list("h2").over(upto), "bgs": F.collect_list("gram").over(upto),
+    }.items()])
+
+    def least(grams_: Column, last: Column) -> Column:
+        return F.array_min(F.filter(grams_, lambda x: x["last"] <= last))
+
+    def unit(start: Column, end: Column, hs: Column, h2s: Column, f: Column) -> Column:
+        return F.struct(start.alias("pos"), end.alias("end"), F.xxhash64(hs).alias("s1"), F.xxhash64(h2s).alias("s2"), f["g"].alias("fingerprint"), f["at"].alias("at"))
+
+    c = F.col
+    onward = F.when(c("words") >= span, unit(c("pos"), c("end"), c("hs"), c("h2s"), least(c("gs"), c("c") + span - 1)))
+    # the shortest run up to this line, unless the shortest from where that begins is the same
+    first = c("opener")
+    back_grams = F.concat(F.array(first["gram"]), c("bgs"))
+    back = F.when(first.isNotNull() & (c("closing") < span), unit(first["pos"], c("pos"), F.concat(F.array(first["h"]), c("bhs")), F.concat(F.array(first["h2"]), c("bh2s")), least(back_grams, c("c"))))
+    return found.select("doc_id", "th", F.inline(F.array_compact(F.array(onward, back))))
 
 
 def repeated_runs(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
