@@ -41,3 +41,14 @@ def test_candidates_of_all_customers(spark, bind, name):
         # the score is at least what equal identifiers alone give, and all of it where the names are equal
         assert all(min(100, flags(c, k)) <= score <= 100 for k, score in got[c])
         assert max(score for _, score in got[c]) >= max(min(100, flags(c, k) + 55 * (c % 100 == k)) for k in mine)
+
+
+def test_names_of_all_orders(spark, bind):
+    orders = [(k, k * 7 % 5, ["1-URGENT", "5-LOW", None][k % 3]) for k in range(1, 120)]
+    folder = bind(customer=people(range(4)), orders=(orders, "o_orderkey long, o_custkey long, o_orderpriority string"))
+    want = collections.defaultdict(set)
+    for _, c, region in orders:
+        if c < 4:
+            want[region].add(f"Customer#{c}")
+    got = {r.region: (r.names, r.n) for r in QUERIES["names_by_region"].run(spark, folder).collect()}
+    assert got == {region: ("; ".join(sorted(names)), len(names)) for region, names in want.items()}
