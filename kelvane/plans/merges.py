@@ -145,7 +145,7 @@ SELECT row_id, coalesce(p.person_id, e.x) AS person_id FROM b LEFT JOIN p ON b.l
 def person_resolution(spark: SparkSession, folder: str) -> DataFrame:
     k, c = F.col("p_partkey"), F.col("c_custkey")
     text = lambda prefix, x: F.concat(F.lit(prefix), x.cast("string"))
-    people = table(spark, folder, "part").filter(k < 1000).select(k.alias("person_id"), text("u", k).alias("linkedin_url"), text("e", k % 900).alias("email"))
+    people = table(spark, folder, "part").select(k.alias("person_id"), text("u", k).alias("linkedin_url"), text("e", k % 900).alias("email"))
     batch = table(spark, folder, "customer").select(c.alias("row_id"), text("u", c * 3).alias("linkedin_url"), text("e", c).alias("email"))
     return identity.resolve_people(batch, people).select("row_id", "person_id")
 
@@ -183,7 +183,7 @@ def targeted_repair(spark: SparkSession, folder: str) -> DataFrame:
 @query("""WITH h AS (SELECT event_id, user_id AS company_id, event_type AS status, row_number() OVER (PARTITION BY user_id ORDER BY event_id)::INT AS attempt_count FROM events WHERE event_id % 2 = 0)
 SELECT company_id, count(*) AS n, max(attempt_count) AS attempts FROM (SELECT company_id, attempt_count FROM h UNION ALL SELECT c_custkey, coalesce(m, 0) + 1 FROM customer LEFT JOIN (SELECT company_id, max(attempt_count) AS m FROM h GROUP BY 1) ON company_id = c_custkey) GROUP BY 1""")
 def append_attempts(spark: SparkSession, folder: str) -> DataFrame:
-    h = table(spark, folder, "events").filter("event_id % 2 = 0").select("event_id", F.col("user_id").alias("company_id"), F.col("event_type").alias("status"))
+    h = table(spark, folder, "events").select("event_id", F.col("user_id").alias("company_id"), F.col("event_type").alias("status"))
     history = rel.numbered(h, "company_id", "attempt_count", "event_id")
     results = table(spark, folder, "customer").select(F.col("c_custkey").alias("company_id"), F.lit("RETRIED").alias("status"))
     return merge.append_attempt(history, results, "company_id", "event_id").groupBy("company_id").agg(F.count("*").alias("n"), F.max("attempt_count").alias("attempts"))

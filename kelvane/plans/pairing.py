@@ -16,10 +16,15 @@ from ._registry import query
 j AS (SELECT a.p_partkey AS a, b.p_partkey AS b, round(CASE WHEN len(a.t) > 0 AND len(b.t) > 0 THEN len(list_intersect(a.t, b.t))::DOUBLE / len(list_distinct(list_concat(a.t, b.t))) ELSE 0 END, 6) AS jaccard FROM p a JOIN p b ON a.p_brand = b.p_brand AND a.p_partkey <> b.p_partkey)
 SELECT a, b, jaccard, place FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY jaccard DESC, b) AS place FROM j) WHERE place <= 3""")
 def name_jaccard_topk(spark: SparkSession, folder: str) -> DataFrame:
-    p = table(spark, folder, "part").filter("p_size <= 12").select("p_partkey", "p_brand", "p_name")
-    left, right = p.select(F.col("p_partkey").alias("a"), "p_brand", F.col("p_name").alias("x")), p.select(F.col("p_partkey").alias("b"), "p_brand", F.col("p_name").alias("y"))
-    pairs = matching.blocked_pairs(left, right, "p_brand").filter("a <> b").withColumn("jaccard", F.round(names.jaccard(F.col("x"), F.col("y")), 6))
-    best = rel.numbered(pairs, "a", "place", F.col("jaccard").desc(), "b").filter("place <= 3")
+    p = table(spark, folder, "part").select("p_partkey", "p_brand", "p_name")
+    # parts with equal names have the same neighbours but for themselves: names are paired, each with its first four parts
+    held = rel.top_per_key(p, ["p_brand", "p_name"], 4, "p_partkey").select("p_brand", F.col("p_name").alias("y"), F.col("p_partkey").alias("b"))
+    left, right = p.select("p_brand", F.col("p_name").alias("x")).distinct(), p.select("p_brand", F.col("p_name").alias("y")).distinct()
+    pairs = matching.blocked_pairs(left, right, "p_brand").withColumn("jaccard", F.round(names.jaccard(F.col("x"), F.col("y")), 6))
+    found = pairs.withColumnsRenamed({"p_brand": "brand", "y": "name"}).join(held, (F.col("brand") == F.col("p_brand")) & F.col("name").eqNullSafe(F.col("y")))
+    near = rel.top_per_key(found, ["brand", "x"], 4, F.col("jaccard").desc(), "b").select("brand", "x", "b", "jaccard")
+    others = p.withColumnRenamed("p_partkey", "a").join(near, (F.col("brand") == F.col("p_brand")) & F.col("x").eqNullSafe(F.col("p_name"))).filter("a <> b")
+    best = rel.numbered(others, "a", "place", F.col("jaccard").desc(), "b").filter("place <= 3")
     return best.select("a", "b", "jaccard", F.col("place").cast("long").alias("place"))
 
 

@@ -52,3 +52,34 @@ def test_names_of_all_orders(spark, bind):
             want[region].add(f"Customer#{c}")
     got = {r.region: (r.names, r.n) for r in QUERIES["names_by_region"].run(spark, folder).collect()}
     assert got == {region: ("; ".join(sorted(names)), len(names)) for region, names in want.items()}
+
+
+def test_people_of_all_ids(spark, bind):
+    # part 1805 has the e-mail of part 5, which is then nobody's; 2400 is known by profile alone, 1900 by e-mail
+    folder = bind(part=([(k,) for k in (5, 7, 1805, 2400, 1900)], "p_partkey long"), customer=people([5, 7, 100, 800, 3]))
+    got = {r.row_id: r.person_id for r in QUERIES["person_resolution"].run(spark, folder).collect()}
+    assert got == {5: None, 7: 7, 100: 1900, 800: 2400, 3: None}
+
+
+def test_neighbours_of_all_parts(spark, bind):
+    names = ["red bolt", "blue bolt", "red ring", "red red bolt", "", None, "green nut", "blue ring big"]
+    parts = [(k, f"Brand#{k % 3}" if k % 11 else None, names[k * 5 % 8], k % 50) for k in range(150)]
+    folder = bind(part=(parts, "p_partkey long, p_brand string, p_name string, p_size int"))
+    want = set()
+    for a, brand, x, _ in parts:
+        found = []
+        for b, other, y, _ in parts:
+            if brand is not None and brand == other and a != b:
+                s, t = set((x or "").split()), set((y or "").split())
+                found.append((-round(len(s & t) / len(s | t), 6) if s and t else 0.0, b))
+        want |= {(a, b, -j, i + 1) for i, (j, b) in enumerate(sorted(found)[:3])}
+    got = QUERIES["name_jaccard_topk"].run(spark, folder).collect()
+    assert len(got) == len(want) and {(r.a, r.b, r.jaccard, r.place) for r in got} == want
+
+
+def test_attempts_of_all_events(spark, bind):
+    events = [(k, k * k % 5, "view") for k in range(31)]
+    folder = bind(events=(events, "event_id long, user_id long, event_type string"), customer=people(range(1, 4)))
+    count = collections.Counter(u for _, u, _ in events)
+    got = {r.company_id: (r.n, r.attempts) for r in QUERIES["append_attempts"].run(spark, folder).collect()}
+    assert got == {u: (count[u] + (1 <= u < 4),) * 2 for u in {*count, 1, 2, 3}}
