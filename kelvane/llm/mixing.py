@@ -1,9 +1,10 @@
 """Mixing sources to target weights by Sainte-Lague apportionment.
 
-Each source is cut into blocks of equal word counts; integer block quotas go to the sources, and from each source
-to its shards, by highest quotients votes / (2 * seats + 1). A shard takes every one of its blocks as often as the
-quota divides evenly, and the remainder by a seeded permutation of its block numbers. What a document gives is
-the words of it that lie in taken blocks, repeats counted.
+Each source is cut into blocks of equal word counts; integer quotas of words go to the sources, and from each source
+to its shards, by highest quotients votes / (2 * seats + 1). A shard takes every one of its words as often as the
+quota divides evenly, and the remainder by a seeded permutation of its block numbers, of the last block as many words
+as are wanting. What a document gives is the words of it that are taken so, repeats counted. So a source gives its
+target to the word, however small it is beside the others.
 
 Edge cases: a null text has size 0 and gives nothing; a null source is a source of its own, last in order; a null
 doc_id is an ordinary row; repeated rows are placed one after the other; an empty table gives an empty result;
@@ -23,8 +24,8 @@ from ._spark import cut, table, text_words
 WEIGHTS = (1, 2, 3)
 #: A target is at most this many times its source.
 MOST = 3
-#: Words of a block at most; smaller where the corpus has fewer than BLOCKS such blocks.
-BLOCK_WORDS, BLOCKS = 4096, 1 << 17
+#: Words of a block at most; smaller where the corpus has fewer than BLOCKS such blocks, or the source fewer than SOURCE_BLOCKS.
+BLOCK_WORDS, BLOCKS, SOURCE_BLOCKS = 4096, 1 << 17, 256
 #: Blocks that a shard should hold, and shards in all at most: what the driver apportions over.
 SHARD_BLOCKS, MAX_SHARDS = 256, 1 << 16
 
@@ -68,6 +69,14 @@ def sainte_lague(votes: np.ndarray, seats: int, caps: np.ndarray) -> np.ndarray:
     return got
 
 
+def last_blocks(rest: int, words: int, block: int, rank: int) -> tuple[int, int]:
+    """How many blocks, by rank, ``rest`` of ``words`` words fill, and the words of the next one; ``rank`` is that of the last block, which may be short."""
+    short = -words % block
+    if rest >= (rank + 1) * block - short:
+        return divmod(rest + short, block)
+    return min(rest // block, rank), rest - min(rest // block, rank) * block
+
+
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, seed: int = 17, text: str = "text") -> DataFrame:
     """doc_id, source, size, source_size, target and taken of each row of ``docs``."""
     spark = docs.sparkSession
@@ -81,38 +90,44 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, seed: int
     per_shard = max(SHARD_BLOCKS * block, -(-2 * total // MAX_SHARDS), 1)
     shards = [min(max(1, w // per_shard), r.n) for w, r in zip(words, found, strict=True)]
 
-    schema = "s_source string, s_at int, s_words long, s_target double, s_shards int"
-    plan = spark.createDataFrame([(r.source, i, words[i], goal[i], shards[i]) for i, r in enumerate(found)], schema)
+    sizes = [max(1, min(block, w // SOURCE_BLOCKS)) for w in words]
+
+    schema = "s_source string, s_at int, s_words long, s_target double, s_shards int, s_block long"
+    plan = spark.createDataFrame([(r.source, i, words[i], goal[i], shards[i], sizes[i]) for i, r in enumerate(found)], schema)
     placed = sized.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("s_source"))).withColumn("shard", F.pmod(F.xxhash64("key"), "s_shards"))
     held = sorted(placed.groupBy("s_at", "shard").agg(F.sum("size").alias("w")).collect())
     by: dict[int, list[int]] = {i: [] for i in range(len(found))}
     for r in held:
-        by[r.s_at].append(-(-r.w // block))
-    blocks = [np.array(by[i], np.int64) for i in range(len(found))]
-    quota = sainte_lague(np.array(goal), round(total / block), np.array([MOST * b.sum() for b in blocks], np.int64))
+        by[r.s_at].append(r.w)
+    quota = sainte_lague(np.array(goal), total, MOST * np.array(words, np.int64))
     rows, k = [], 0
-    for i, b in enumerate(blocks):
+    for i in range(len(found)):
         rng = np.random.default_rng([seed, i])
-        for n, q in zip(b.tolist(), sainte_lague(b, quota[i], MOST * b).tolist(), strict=True):
+        ws = np.array(by[i], np.int64)
+        for w, q in zip(ws.tolist(), sainte_lague(ws, quota[i], MOST * ws).tolist(), strict=True):
+            n = -(-w // sizes[i])
             step = int(rng.integers(1, max(n, 2)))
             while n and np.gcd(step, n) != 1:
                 step += 1
-            rows.append((i, int(held[k].shard), n, q, step, int(rng.integers(0, max(n, 1)))))
+            start = int(rng.integers(0, max(n, 1)))
+            full, part = last_blocks(q % w, w, sizes[i], (step * (n - 1) + start) % n) if n else (0, 0)
+            rows.append((i, int(held[k].shard), n, q // w if n else 0, full, part, step, start))
             k += 1
-    quotas = spark.createDataFrame(rows, "q_at int, q_shard int, q_blocks long, q_quota long, q_step long, q_from long")
+    quotas = spark.createDataFrame(rows, "q_at int, q_shard int, q_blocks long, q_copies long, q_full long, q_part long, q_step long, q_from long")
     placed = placed.join(F.broadcast(quotas), (F.col("s_at") == F.col("q_at")) & (F.col("shard") == F.col("q_shard")))
 
     run = Window.partitionBy("s_at", "shard").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = placed.withColumn("end", F.sum("size").over(run)).withColumn("start", F.col("end") - F.col("size"))
-    first, last = F.floor(F.col("start") / block).cast("long"), F.floor((F.col("end") - 1) / block).cast("long")
+    block_ = F.col("s_block")
+    first, last = F.floor(F.col("start") / block_).cast("long"), F.floor((F.col("end") - 1) / block_).cast("long")
 
     def extra(total_: Column, b: Column) -> Column:
-        chosen = (F.col("q_step") * b + F.col("q_from")) % F.col("q_blocks") < F.col("q_quota") % F.col("q_blocks")
-        overlap = F.least(F.col("end"), (b + 1) * block) - F.greatest(F.col("start"), b * block)
-        return total_ + F.when(chosen, overlap).otherwise(F.lit(0))
+        rank = (F.col("q_step") * b + F.col("q_from")) % F.col("q_blocks")
+        upto = b * block_ + F.when(rank < F.col("q_full"), block_).when(rank == F.col("q_full"), F.col("q_part")).otherwise(F.lit(0))
+        return total_ + F.greatest(F.least(F.col("end"), upto) - F.greatest(F.col("start"), b * block_), F.lit(0))
 
     more = F.aggregate(F.sequence(first, last), F.lit(0).cast("long"), extra)
-    taken = F.when(F.col("size") > 0, F.floor(F.col("q_quota") / F.col("q_blocks")) * F.col("size") + more).otherwise(F.lit(0))
+    taken = F.when(F.col("size") > 0, F.col("q_copies") * F.col("size") + more).otherwise(F.lit(0))
     return placed.select("doc_id", "source", "size", F.col("s_words").alias("source_size"), F.col("s_target").alias("target"), taken.cast("long").alias("taken"))
 
 
