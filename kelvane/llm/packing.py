@@ -18,6 +18,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,8 +33,10 @@ STEP = 64
 #: Pieces of at most so many tokens are kept out of the patterns: they fill the gaps.
 FILLER = 192
 
-#: Words whose ids a worker remembers at most.
+#: Words whose ids a worker remembers from one call to the next at most; a call itself remembers all of its own.
 _CACHED = 1 << 20
+#: Texts and bytes of a call, about; a longer text is a call of its own.
+_TEXTS, _BYTES = 250, 1 << 22
 
 # Kinds of bytes: 0 white space, 1 letter (all of a multi-byte character), 2 digit, 3 other; and those that send a
 # text to the tokenizer whole, since its normal forms, white space or numerals may matter there.
@@ -109,8 +112,6 @@ class WordTokenizer:
         self.ids = np.zeros(0, np.uint32)
 
     def learn(self, keys: np.ndarray, words: list[str]) -> None:
-        if len(self.keys) + len(keys) > _CACHED:
-            self.forget()
         new, sizes = [], []
         for i in range(0, len(words), 20_000):
             part = words[i : i + 20_000]
@@ -132,6 +133,8 @@ class WordTokenizer:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
+        if len(self.keys) > _CACHED:
+            self.forget()
         raw = [t.lower().encode() for t in texts]
         data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
         if not len(data):
@@ -141,17 +144,15 @@ class WordTokenizer:
         fine = ~odd[np.searchsorted(offsets, starts, side="right") - 1]
         starts, ends = starts[fine], ends[fine]
         keys, first, which = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        for _ in range(2):  # a second time if the first made room by forgetting
-            at, known = self.find(keys)
-            if not len(new := np.flatnonzero(~known)):
-                break
+        if len(new := np.flatnonzero(~self.find(keys)[1])):
             blob = data.tobytes()
             self.learn(keys[new], [blob[a:b].decode() for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
         at, known = self.find(keys)
-        size = np.where(known, self.size[at], 0) if len(self.size) else np.zeros(len(keys), np.int64)
-        word = size[which]
+        if not known.all():
+            raise AssertionError("a word of this call is not known")
+        word = self.size[at][which]
         total = np.concatenate([[0], np.cumsum(word)])
-        begin = self.at[at][which] if len(self.at) else np.zeros(len(which), np.int64)
+        begin = self.at[at][which]
         ids = self.ids[np.arange(total[-1]) + np.repeat(begin - total[:-1], word)]
         cuts = total[np.searchsorted(starts, offsets)]
         flat = ids.astype("<u4").tobytes()
@@ -167,6 +168,17 @@ def tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)
 
 
+def _calls(column: pa.Array) -> Iterator[tuple[int, int]]:
+    """Runs of rows with at most _TEXTS texts and about _BYTES bytes."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    i, n = 0, len(column)
+    while i < n:
+        j = int(np.searchsorted(ends, (ends[i - 1] if i else 0) + _BYTES, side="right"))
+        j = min(max(j, i + 1), i + _TEXTS, n)
+        yield i, j
+        i = j
+
+
 def cut_documents(docs: DataFrame, capacity: int = CAPACITY, end: int = END, path: str | None = None) -> DataFrame:
     """doc_id, piece, start, length and ids_crc32 of each piece of each row of ``docs`` (doc_id, text)."""
     path, mark = path or default_tokenizer(), np.array([end], "<u4").tobytes()
@@ -176,8 +188,8 @@ def cut_documents(docs: DataFrame, capacity: int = CAPACITY, end: int = END, pat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = tokenizer(path)
         for whole in batches:
-            for i in range(0, whole.num_rows, 250):
-                batch = whole.slice(i, 250)
+            for i, j in _calls(whole.column(1)):
+                batch = whole.slice(i, j - i)
                 rows, piece, start, length, crc = [], [], [], [], []
                 for row, ids in enumerate(known.encode([t or "" for t in batch.column(1).to_pylist()])):
                     ids += mark
@@ -323,7 +335,7 @@ def pack(lengths: np.ndarray, capacity: int = CAPACITY, step: int = STEP, filler
 
 
 def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
-    """``pieces`` with sequence_id and offset."""
+    """``pieces``, a written table, with sequence_id and offset."""
     n = max(1, round(pieces.count() / group))
     at, names = pieces.columns.index("length"), [*pieces.columns, "sequence_id", "offset"]
 
@@ -338,7 +350,8 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP)
             for b in rows.append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset)).to_batches(10_000):
                 yield b.rename_columns(names)
 
-    dealt = pieces.repartition(n, F.xxhash64("doc_id", "piece", "ids_crc32"))
+    # by place in the written table and not by content: repeated rows would all meet in one task
+    dealt = pieces.repartition(n, F.xxhash64(F.monotonically_increasing_id()))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
     return dealt.mapInArrow(run, schema)
 
