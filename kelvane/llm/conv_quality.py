@@ -21,22 +21,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import share_of, table
+from ._spark import cut, share_of, table
 from ._text import bytes_of, pieces
 
 WIDTH, STRIDE, BLOCK, FILTERS, HIDDEN = 8, 4, 512, 24, 16
-#: Labelled texts and their bytes that training reads, about, at most: a share of the texts by the hash of doc_id.
-MAX_TRAIN, MAX_TRAIN_BYTES = 5000, 40_000_000
+#: Zeros before each text: what a filter reaches beyond its block.
+EDGE = WIDTH - STRIDE
+#: Labelled texts and their bytes that training reads, about, at most: a share of them by the hash of doc_id. Texts
+#: above MAX_TEXT bytes are scored, but not trained on.
+MAX_TRAIN, MAX_TRAIN_BYTES, MAX_TEXT = 5000, 40_000_000, 1 << 20
 THRESHOLD = 0.7
 
 
 def blocks_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of each text padded with zeros to whole blocks (one at least, and WIDTH more at the very end), and the first block of each."""
+    """Bytes of each text after EDGE zeros, padded with zeros to whole blocks (and WIDTH more at the very end), and the first block of each.
+
+    A filter at the last place of a text's last block reaches into the next text's zeros only.
+    """
     lengths = np.diff(offsets)
-    count = np.maximum(1, -(-lengths // BLOCK))
+    count = -(-(lengths + EDGE) // BLOCK)
     first = np.concatenate([[0], np.cumsum(count)])
     out = np.zeros(first[-1] * BLOCK + WIDTH, np.uint8)
-    out[np.arange(len(data)) + np.repeat(first[:-1] * BLOCK - offsets[:-1], lengths)] = data
+    out[np.arange(len(data)) + np.repeat(first[:-1] * BLOCK + EDGE - offsets[:-1], lengths)] = data
     return out, first
 
 
@@ -89,7 +95,8 @@ class Network:
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         padded, first = blocks_of(data, offsets)
         z = self.pooled(self.block_peaks(padded), first)[2]
-        z = np.tanh(z @ self.dense + self.dense_bias) @ self.out + self.out_bias
+        # einsum adds in one order whatever the number of texts, so equal texts get equal scores in any company
+        z = np.einsum("ij,j->i", np.tanh(np.einsum("ij,jk->ik", z, self.dense.astype(np.float64)) + self.dense_bias), self.out.astype(np.float64)) + self.out_bias
         return 1 / (1 + np.exp(-z.astype(np.float64)))
 
 
@@ -158,12 +165,14 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> Network:
     """Train on labelled rows of ``docs`` that are not held out, about ``most`` of them at most."""
     known = labels.filter("doc_id is not null and quality is not null").filter(~held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     ids = F.broadcast(share_of(known, "doc_id", most))  # about most rows at most
-    got = docs.filter("doc_id is not null").join(ids, "doc_id").select("doc_id", "text", "quality").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("quality").alias("quality"))
-    rows = got.toArrow().sort_by("doc_id")
-    texts = rows.column("text").combine_chunks()
-    total = np.cumsum(np.diff(bytes_of(texts)[1]))
-    n = int(np.searchsorted(total, MAX_TRAIN_BYTES, side="right"))
-    return train(texts.slice(0, n), np.asarray(rows.column("quality"), np.float32)[:n])
+    size = F.coalesce(F.octet_length("text"), F.lit(0))
+    got = docs.filter("doc_id is not null").join(ids, "doc_id").filter(size <= MAX_TEXT).groupBy("doc_id").agg(F.min("text").alias("text"), F.min("quality").alias("quality"))
+    got = cut(got.withColumn("size", size))
+    total = got.agg(F.sum("size")).first()[0] or 0
+    if total > MAX_TRAIN_BYTES:
+        got = got.filter(F.pmod(F.xxhash64(F.lit(29), "doc_id"), F.lit(1 << 31)) < F.lit(int(MAX_TRAIN_BYTES / total * (1 << 31))))
+    rows = got.toArrow().sort_by("doc_id")  # about MAX_TRAIN_BYTES at most
+    return train(rows.column("text").combine_chunks(), np.asarray(rows.column("quality"), np.float32))
 
 
 def score(docs: DataFrame, net: Network) -> DataFrame:
