@@ -25,7 +25,7 @@ from ._spark import table
 
 MARKS = {"user": ("[INST] ", " [/INST]"), "assistant": ("<s>", " </s>"), "system": ("<<SYS>>", " <</SYS>>")}
 _CONTROL = r"<s>|</s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>|\[ROLE:|\[/ROLE\]"
-_MARKED = re.compile(rf"(\\*)({_CONTROL})")
+_MARKED = re.compile(rf"(?<!\\)(\\*)({_CONTROL})")  # from the first backslash of a run only: no run is scanned twice
 _NAME = re.compile(r"((?:[^\\\]]|\\.)*)\]", re.S)
 
 
