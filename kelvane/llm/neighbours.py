@@ -3,8 +3,9 @@
 On a bounded sample, the graph of nearest neighbours is cut into equal parts (spectral bisection, then moves that
 keep the parts near equal), and a small network learns to which parts a vector's neighbours belong. Every vector
 is indexed under its most probable part; a query is sent to its most probable parts, as many as reached
-the wished recall for a part of the sample held back from training, and what it meets there is ranked by the exact inner product in double precision. Parts are searched block against block, so neither a
-large part nor a popular one meets in a single task; equal vectors are indexed once, with their smallest ids.
+the wished recall for a part of the sample held back from training (or more, until it meets enough vectors), and
+what it meets there is ranked by the exact inner product in double precision. Parts are searched in blocks, so neither
+a large part nor a popular one meets in a single task; equal vectors are indexed once, with their smallest ids.
 
 Edge cases: null vectors, zero vectors, and those with null or non-finite components take no part, nor do vectors
 of another length than the commonest (the longer one, if two are as common), nor rows with a null vec_id; rows with equal
@@ -25,15 +26,15 @@ from pyspark.sql import functions as F
 from ._spark import cut, share_of, table
 
 NEAREST, EVERY = 20, 20
-#: Distinct vectors that the partition and the network are learned from, at most (about).
+#: Vectors of a part, about, and parts at most: one driver learns the partition.
+PART, MAX_PARTS = 800, 512
+#: Distinct vectors that the partition and the network are learned from (about), or 48 for each part: 24,576 at most.
 SAMPLE = 6000
-#: Vectors of a part, about, and parts at most.
-PART, MAX_PARTS = 800, 128
 #: A query is sent to as many of its most probable parts as find this share of the true neighbours of sampled
 #: vectors that the router was not trained on.
 RECALL = 0.96
-#: Vectors and queries that one task compares.
-BLOCK = 4096
+#: Vectors that one task holds, and queries that it is sent, one batch after the other.
+BLOCK, TURN = 16_384, 1 << 18
 
 
 def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
@@ -187,7 +188,34 @@ def _once(rows: DataFrame, keep: int) -> DataFrame:
     return some.groupBy("embedding").agg(least("ids").alias("ids"))
 
 
-def nearest(vectors: DataFrame, every: int = EVERY, k: int = NEAREST, recall: float = RECALL, part: int = PART) -> DataFrame:
+def best_of(q: np.ndarray, own: np.ndarray, c: np.ndarray, counts: np.ndarray, flat: np.ndarray, k: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Ids and scores of the k best for each query: greatest exact inner product first, ties by the smaller id, never its own id.
+
+    ``flat`` holds the ids of each row of ``c``, ``counts`` how many. A fast product finds the k + 1 best of ``c`` and all
+    that may be as good; those are compared by the exact sums.
+    """
+    first, ids, scores = np.cumsum(counts) - counts, [], []
+    reach, most = np.linalg.norm(c, axis=1).max(), min(k + 1, len(c))
+    for a in range(0, len(q), 128):
+        part = q[a : a + 128]
+        s = part @ c.T
+        low = np.partition(s, len(c) - most, axis=1)[:, len(c) - most]
+        slack = 1e-12 * np.linalg.norm(part, axis=1) * reach
+        enough = s >= np.where(np.isfinite(slack), low - slack, -np.inf)[:, None]
+        for r in range(len(part)):
+            at = np.flatnonzero(enough[r])
+            exact = (part[r] * c[at]).sum(axis=1)
+            n = counts[at]
+            of = flat[np.arange(n.sum()) + np.repeat(first[at] - np.cumsum(n) + n, n)]
+            value = np.repeat(exact, n)
+            order = np.lexsort((of, -value))
+            order = order[of[order] != own[a + r]][:k]
+            ids.append(of[order])
+            scores.append(value[order])
+    return ids, scores
+
+
+def nearest(vectors: DataFrame, every: int = EVERY, k: int = NEAREST, recall: float = RECALL, part: int = PART, block: int = BLOCK, turn: int = TURN) -> DataFrame:
     """query_id, rank, vec_id and score of the k nearest found for each vector whose id is divisible by ``every``."""
     rows = cut(usable(vectors))
     some = rows.first()
@@ -198,67 +226,78 @@ def nearest(vectors: DataFrame, every: int = EVERY, k: int = NEAREST, recall: fl
     distinct = cut(_once(rows, k + 1))
     n = distinct.count()
     parts = max(1, min(MAX_PARTS, n // part))
-    sample = share_of(distinct.select("ids", "embedding"), F.element_at("ids", 1), SAMPLE, n).orderBy(F.element_at("ids", 1)).toArrow()
+    sample = share_of(distinct.select("ids", "embedding"), F.element_at("ids", 1), max(SAMPLE, 48 * parts), n).orderBy(F.element_at("ids", 1)).toArrow()
     x = _matrix(sample.column("embedding"), dims)
     scale = float(np.linalg.norm(x, axis=1).max())
     router, tries = learn(x / scale, parts, k, recall) if parts > 1 else (None, 1)
 
-    def routed(column: pa.Array, most: int) -> tuple[np.ndarray, np.ndarray]:
-        """(row, part), ``most`` parts for each row."""
-        x = _matrix(column, dims) / scale
-        best = np.argpartition(-router.scores(x), most - 1, axis=1)[:, :most] if router and most < parts else np.tile(np.arange(most), (len(x), 1))
-        return np.repeat(np.arange(len(x)), most), best.ravel()
+    def chances(column: pa.Array) -> np.ndarray:
+        x = _matrix(column, dims)
+        return router.scores(x / scale) if router else np.zeros((len(x), 1), np.float32)
 
-    def place(most: int):  # noqa: ANN202
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for whole in batches:
-                for i in range(0, whole.num_rows, 1000):
-                    batch = whole.slice(i, 1000)
-                    row, of = routed(batch.column(1), most)
-                    yield pa.RecordBatch.from_arrays([*(c.take(pa.array(row)) for c in batch.columns), pa.array(of.astype(np.int32))], names=["ids", "embedding", "part"])
-
-        return run
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for i in range(0, whole.num_rows, 1000):
+                batch = whole.slice(i, 1000)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(chances(batch.column(1)).argmax(axis=1).astype(np.int32))], names=["ids", "embedding", "part"])
 
     kinds = "ids array<long>, embedding array<double>, part int"
-    indexed = cut(distinct.select("ids", "embedding").mapInArrow(place(1), kinds))
+    indexed = cut(distinct.select("ids", "embedding").mapInArrow(place, kinds))
+    size = np.zeros(parts, np.int64)
+    for r in indexed.groupBy("part").count().collect():  # MAX_PARTS rows at most
+        size[r.part] = r["count"]
+    least = min(n, k + 1)  # vectors that a query must meet, so that it finds k others
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for i in range(0, whole.num_rows, 1000):
+                batch = whole.slice(i, 1000)
+                order = np.argsort(-chances(batch.column(1)), axis=1, kind="stable")
+                met = np.cumsum(size[order], axis=1)
+                taken = (np.arange(parts) < tries) | (met - size[order] < least)
+                row, at = np.nonzero(taken & (size[order] > 0))
+                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(row)) for c in batch.columns), pa.array(order[row, at].astype(np.int32))], names=["ids", "embedding", "part"])
+
     asked = rows.filter(F.col("vec_id") % every == 0).select(F.array("vec_id").alias("ids"), "embedding")
-    asked = cut(asked.mapInArrow(place(tries), kinds))
-    blocks = indexed.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    turns = asked.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("turns"))
-    sizes = F.broadcast(blocks.join(turns, "part"))  # MAX_PARTS rows at most
-
-    def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
-        """Rows in one of ``own`` blocks, once for each of the ``other`` blocks that they meet."""
-        mine = F.pmod(F.xxhash64(F.element_at("ids", 1)), F.col(own)).cast("int")
-        return df.join(sizes, "part").withColumn(own[:-1], mine).withColumn(other[:-1], F.explode(F.sequence(F.lit(0), F.col(other) - 1))).select("part", "block", "turn", "ids", "embedding")
-
-    def meet(queries: pa.Table, there: pa.Table) -> pa.Table:
-        out_q, out_i, out_s = [], [], []
-        if queries.num_rows and there.num_rows:
-            order = np.argsort([v[0] for v in there.column("ids").to_pylist()])
-            c, ids = _matrix(there.column("embedding"), dims)[order], [there.column("ids")[int(i)].as_py() for i in order]
-            q, own = _matrix(queries.column("embedding"), dims), [v[0] for v in queries.column("ids").to_pylist()]
-            most = min(len(c), k + 6)
-            for a in range(0, len(q), 256):
-                s = q[a : a + 256] @ c.T
-                best = np.argpartition(-s, most - 1, axis=1)[:, :most]
-                exact = (q[a : a + 256, None, :] * c[best]).sum(axis=2)
-                for r in range(len(s)):
-                    found: list[tuple[float, int]] = []
-                    for j in np.argsort(-exact[r], kind="stable"):
-                        if len(found) >= k and exact[r, j] < found[k - 1][0]:
-                            break
-                        found += [(float(exact[r, j]), i) for i in ids[best[r, j]] if i != own[a + r]]
-                    found.sort(key=lambda f: (-f[0], f[1]))
-                    out_q.append(own[a + r])
-                    out_i.append([f[1] for f in found[:k]])
-                    out_s.append([f[0] for f in found[:k]])
-        return pa.table({"query_id": pa.array(out_q, pa.int64()), "ids": pa.array(out_i, pa.list_(pa.int64())), "scores": pa.array(out_s, pa.list_(pa.float64()))})
-
-    key = ["part", "block", "turn"]
-    met = dealt(asked, "turns", "blocks").groupBy(*key).cogroup(dealt(indexed, "blocks", "turns").groupBy(*key)).applyInArrow(meet, "query_id long, ids array<long>, scores array<double>")
+    asked = cut(asked.mapInArrow(route, kinds))
+    # A cell is a block of a part's vectors and a turn of its queries, a task of its own. A part of at most ``block``
+    # vectors and ``turn`` queries is one cell, so a vector is sent once, and a query once for each block of its parts.
+    turns = np.ones(parts, np.int64)
+    for r in asked.groupBy("part").count().collect():
+        turns[r.part] = -(-r["count"] // turn)
+    blocks = np.maximum(-(-size // block), 1)
+    ends = np.cumsum(blocks * turns)
+    plan = vectors.sparkSession.createDataFrame([(i, int(blocks[i]), int(turns[i]), int(ends[i] - blocks[i] * turns[i])) for i in range(parts)], "part int, blocks int, turns int, first int")
+    plan, mine = F.broadcast(plan), lambda m: F.pmod(F.xxhash64(F.element_at("ids", 1)), F.col(m)).cast("int")
+    every_ = lambda m: F.explode(F.sequence(F.lit(0), F.col(m) - 1))
+    there = indexed.join(plan, "part").select(F.lit(0).alias("kind"), "first", "turns", mine("blocks").alias("b"), every_("turns").alias("t"), "ids", "embedding")
+    here = asked.join(plan, "part").select(F.lit(1).alias("kind"), "first", "turns", every_("blocks").alias("b"), mine("turns").alias("t"), "ids", "embedding")
+    cells = there.unionByName(here).select((F.col("first") + F.col("b") * F.col("turns") + F.col("t")).alias("cell"), "kind", "ids", "embedding")
+    cells = cells.repartitionById(int(ends[-1]), "cell").sortWithinPartitions("kind")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, index = [], None
+        for batch in batches:
+            vectors_ = int((np.asarray(batch.column(1)) == 0).sum())
+            if vectors_:
+                held.append(batch.slice(0, vectors_))
+            if vectors_ == batch.num_rows or not held:
+                continue
+            if index is None:
+                ids = pa.concat_arrays([b.column(2) for b in held])
+                index = np.concatenate([_matrix(b.column(3), dims) for b in held]), np.diff(np.asarray(ids.offsets)), np.asarray(ids.flatten())
+            queries = batch.slice(vectors_)
+            own = np.asarray(queries.column(2).flatten())
+            ids, scores = best_of(_matrix(queries.column(3), dims), own, *index, k)
+            cuts = np.append(0, np.cumsum([len(i) for i in ids])).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(cuts, pa.array(np.concatenate(v))) for v in (ids, scores)]
+            yield pa.RecordBatch.from_arrays([queries.column(0), pa.array(own), *lists], names=["cell", "query_id", "ids", "scores"])
+
+    met = cells.mapInArrow(meet, "cell int, query_id long, ids array<long>, scores array<double>")
     pairs = F.transform(F.arrays_zip("ids", "scores"), lambda p: F.struct((-p["scores"]).alias("s"), p["ids"].alias("id")))
-    best = met.select("query_id", pairs.alias("pairs")).groupBy("query_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("pairs"))), 1, k).alias("best"))
+    least_of = lambda c: F.slice(F.array_sort(F.flatten(F.collect_list(c))), 1, k).alias("best")
+    best = met.select("query_id", F.floor(F.col("cell") / 64).alias("some"), pairs.alias("pairs")).groupBy("query_id", "some").agg(least_of("pairs"))
+    best = best.groupBy("query_id").agg(least_of("best"))
     return best.select("query_id", F.posexplode("best").alias("at", "hit")).select("query_id", (F.col("at") + 1).alias("rank"), F.col("hit.id").alias("vec_id"), (-F.col("hit.s")).alias("score"))
 
 
