@@ -7,8 +7,8 @@ as are wanting. What a document gives is the words of it that are taken so, repe
 target to the word, however small it is beside the others.
 
 Edge cases: a null text has size 0 and gives nothing; a null source is a source of its own, last in order; a null
-doc_id is an ordinary row; repeated rows are placed one after the other; an empty table gives an empty result;
-other columns are never read.
+doc_id is an ordinary row; repeated rows (equal doc_id and text) are placed one after the other in one shard; an empty
+table gives an empty result; other columns are never read.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._spark import cut, table, text_words
+from ._spark import cut, table, text_words, wrapped
 
 WEIGHTS = (1, 2, 3)
 #: A target is at most this many times its source.
@@ -80,7 +80,7 @@ def last_blocks(rest: int, words: int, block: int, rank: int) -> tuple[int, int]
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, seed: int = 17, text: str = "text") -> DataFrame:
     """doc_id, source, size, source_size, target and taken of each row of ``docs``."""
     spark = docs.sparkSession
-    sized = cut(docs.select("doc_id", "source", text_words(text).alias("size"), F.xxhash64(F.lit(seed), "doc_id").alias("key")))
+    sized = cut(docs.select("doc_id", "source", text_words(text).alias("size"), F.xxhash64(F.lit(seed), "doc_id", text).alias("key")))
     found = sized.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("n")).collect()
     found = sorted(found, key=lambda r: (r.source is None, (r.source or "").encode()))
     words = [int(r.words) for r in found]
@@ -94,7 +94,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, seed: int
 
     schema = "s_source string, s_at int, s_words long, s_target double, s_shards int, s_block long"
     plan = spark.createDataFrame([(r.source, i, words[i], goal[i], shards[i], sizes[i]) for i, r in enumerate(found)], schema)
-    placed = sized.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("s_source"))).withColumn("shard", F.pmod(F.xxhash64("key"), "s_shards"))
+    placed = sized.join(F.broadcast(plan) if len(found) <= MAX_SHARDS else plan, F.col("source").eqNullSafe(F.col("s_source"))).withColumn("shard", F.pmod(F.xxhash64("key"), "s_shards"))
     held = sorted(placed.groupBy("s_at", "shard").agg(F.sum("size").alias("w")).collect())
     by: dict[int, list[int]] = {i: [] for i in range(len(found))}
     for r in held:
@@ -132,12 +132,15 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, seed: int
 
 
 def mix_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, seed: int = 17) -> DataFrame:
-    """The rows of ``docs`` that the mix takes: each taken / size times, rounded up or down by a seeded draw that is right on average."""
+    """The rows of ``docs``, with all their columns, that the mix takes: each taken / size times, rounded up or down by a seeded draw that is right on average.
+
+    Rows without a word go; rows of one doc_id (null too) are drawn together.
+    """
     share = mix_sources(docs, weights, seed).groupBy("doc_id").agg(F.sum("taken").alias("t"), F.sum("size").alias("s")).filter("s > 0")
     draw = F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    copies = share.select(F.col("doc_id").alias("__id"), F.floor(F.col("t") / F.col("s") + draw).cast("int").alias("__copies")).filter("__copies > 0")
-    joined = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("__id")))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    copies = share.select(F.col("doc_id").alias("id"), F.floor(F.col("t") / F.col("s") + draw).cast("int").alias("copies")).filter("copies > 0")
+    joined = wrapped(docs).join(copies, F.col("row.doc_id").eqNullSafe(F.col("id")))
+    return joined.select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

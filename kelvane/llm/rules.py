@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from ._spark import cut, share_of, table
+from ._spark import cut, share_of, table, wrapped
 from ._text import Lines, Words, mix, per_doc, pieces, repeated, span_hashes
 
 #: Counts per text. The first five are the query's; the rest only feed the learner.
@@ -72,23 +72,23 @@ def count_stats(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def with_stats(df: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
-    """``df`` and the STATS of its text column as long columns named with ``prefix``."""
-    at = df.columns.index(text)
-    names = [prefix + s for s in STATS]
+def with_stats(df: DataFrame, column: str = "text") -> DataFrame:
+    """``df`` and the STATS of its texts as long columns; ``df`` has none of those names. ``column`` holds the texts, or a struct with a field text."""
+    at, inside = df.columns.index(column), isinstance(df.schema[column].dataType, StructType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [count_stats(d, o) for _, _, d, o in pieces(batch.column(at))]
+            texts = batch.column(at).field("text") if inside else batch.column(at)
+            parts = [count_stats(d, o) for _, _, d, o in pieces(texts)]
             new = [pa.array(np.concatenate([p[s] for p in parts]) if parts else np.zeros(0, np.int64), pa.int64()) for s in STATS]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *names])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *STATS])
 
-    return df.mapInArrow(run, StructType([*df.schema.fields, *(StructField(name, LongType()) for name in names)]))
+    return df.mapInArrow(run, StructType([*df.schema.fields, *(StructField(name, LongType()) for name in STATS)]))
 
 
-def ratio_features(prefix: str = "") -> dict[str, Column]:
+def ratio_features() -> dict[str, Column]:
     """What the rules test: shares of the counts."""
-    c = {s: F.col(prefix + s).cast("double") for s in STATS}
+    c = {s: F.col(s).cast("double") for s in STATS}
     share = lambda a, b: F.when(c[b] > 0, c[a] / c[b]).otherwise(F.lit(0.0))
     return {
         "symbols_per_char": share("n_symbols", "n_code_points"), "dup_line_share": share("n_dup_lines", "n_lines"),
@@ -169,32 +169,36 @@ def verdict(rules: list[list[Test]], features: dict[str, Column]) -> Column:
     return F.lit(True) if out is None else out.otherwise(F.lit(True))
 
 
-def base_failed(prefix: str = "") -> Column:
-    return (F.col(prefix + "n_words") < 10) | (100 * F.col(prefix + "n_repeat_words") > 20 * F.col(prefix + "n_words"))
+def base_failed() -> Column:
+    return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
 
-def fit(stats: DataFrame, labels: DataFrame, prefix: str = "", max_labelled: int = MAX_LABELLED) -> list[list[Test]]:
-    """Learn the list from rows of ``stats`` whose doc_id is labelled; about ``max_labelled`` of them at most."""
-    known = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("__quality"))
-    rows = stats.join(share_of(known, "doc_id", max_labelled), "doc_id").select("doc_id", "__quality", *[v.alias(k) for k, v in ratio_features(prefix).items()])
-    got = rows.toPandas().sort_values(["doc_id", *ratio_features(prefix)])
-    x = {k: got[k].to_numpy(np.float64) for k in ratio_features(prefix)}
-    return learn_list(x, got["__quality"].to_numpy() == 0)
+def known_labels(labels: DataFrame, most: int = MAX_LABELLED) -> DataFrame:
+    """doc_id and quality of about ``most`` labelled documents at most."""
+    known = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    return share_of(known, "doc_id", most)
+
+
+def fit(stats: DataFrame) -> list[list[Test]]:
+    """Learn the list from rows of doc_id, quality and the STATS, a bounded number."""
+    got = stats.select("doc_id", "quality", *[v.alias(k) for k, v in ratio_features().items()]).toPandas().sort_values(["doc_id", *ratio_features()])
+    x = {k: got[k].to_numpy(np.float64) for k in ratio_features()}
+    return learn_list(x, got["quality"].to_numpy() == 0)
 
 
 def judge(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """doc_id, the STATS, base_failed and kept for each row."""
     stats = cut(with_stats(docs.select("doc_id", "text")).drop("text"))
-    rules = fit(stats, labels, max_labelled=max_labelled)
+    rules = fit(stats.join(known_labels(labels, max_labelled), "doc_id"))
     failed = base_failed()
     return stats.select("*", failed.alias("base_failed"), (~failed & verdict(rules, ratio_features())).alias("kept"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """The rows of ``docs``, with all their columns, that neither the base rule nor the learned list rejects."""
-    rules = fit(cut(with_stats(docs.select("doc_id", "text")).drop("text")), labels, max_labelled=max_labelled)
-    pre = "__q_"
-    return with_stats(docs, prefix=pre).filter(~base_failed(pre) & verdict(rules, ratio_features(pre))).select(*docs.columns)
+    known = F.broadcast(known_labels(labels, max_labelled))  # about max_labelled rows at most
+    rules = fit(with_stats(docs.select("doc_id", "text").join(known, "doc_id")))
+    return with_stats(wrapped(docs), "row").filter(~base_failed() & verdict(rules, ratio_features())).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
