@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._spark import cut, table
+from ._spark import cut, table, wrapped
 
 SPAN, GRAM = 20, 10
 WORD = r"[^\x20\x09-\x0D]+"
@@ -81,33 +81,35 @@ def repeated_runs(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFr
 
 
 def without_runs(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
-    """``docs`` with the columns __runs, __lines and __kept: the text without its repeated runs."""
-    runs = repeated_runs(docs, span, gram).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.col("runs").alias("__runs"))
-    joined = docs.join(runs, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__th")), "left")
-    lines = F.split("text", "\n", -1)
+    """row (all columns of ``docs``), runs (null where there are none) and kept: the text without its repeated runs."""
+    runs = repeated_runs(docs, span, gram).select(F.col("doc_id").alias("id"), "th", "runs")
+    joined = wrapped(docs).join(runs, F.col("row.doc_id").eqNullSafe(F.col("id")) & (F.xxhash64("row.text") == F.col("th")), "left")
+    lines = F.split("row.text", "\n", -1)
     # what stands before the first run, between two, and after the last
-    starts = F.concat(F.array(F.lit(0)), F.transform("__runs", lambda r: r["end"] + 1))
-    ends = F.concat(F.transform("__runs", lambda r: r["start"]), F.array(F.size("__lines")))
-    left = F.flatten(F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda g: F.slice(F.col("__lines"), g["a"] + 1, F.greatest(g["b"] - g["a"], F.lit(0)))))
-    joined = joined.withColumn("__lines", F.when(F.col("__runs").isNotNull(), lines))
-    return joined.withColumn("__kept", F.when(F.col("__runs").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")))
+    starts = F.concat(F.array(F.lit(0)), F.transform("runs", lambda r: r["end"] + 1))
+    ends = F.concat(F.transform("runs", lambda r: r["start"]), F.array(F.size("lines")))
+    left = F.flatten(F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda g: F.slice(F.col("lines"), g["a"] + 1, F.greatest(g["b"] - g["a"], F.lit(0)))))
+    joined = joined.select("row", "runs", F.when(F.col("runs").isNotNull(), lines).alias("lines"))
+    return joined.select("row", "runs", F.when(F.col("runs").isNull(), F.col("row.text")).otherwise(F.array_join(left, "\n")).alias("kept"))
 
 
 def drop_repeated_lines(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
     """``docs`` with their columns, the text (and n_chars, if there) as it is without repeated runs; texts that lose all words go."""
     found = without_runs(docs, span, gram)
-    found = found.filter(F.col("__runs").isNull() | F.col("__kept").rlike(WORD))
-    out = {"text": F.col("__kept")} | ({"n_chars": F.when(F.col("__runs").isNull(), F.col("n_chars")).otherwise(F.length("__kept").cast(docs.schema["n_chars"].dataType))} if "n_chars" in docs.columns else {})
-    return found.select(*[out[c].alias(c) if c in out else F.col(c) for c in docs.columns])
+    found = found.filter(F.col("runs").isNull() | F.col("kept").rlike(WORD))
+    out = {"text": F.col("kept")}
+    if "n_chars" in docs.columns:
+        out["n_chars"] = F.when(F.col("runs").isNull(), F.col("row.n_chars")).otherwise(F.length("kept").cast(docs.schema["n_chars"].dataType))
+    return found.select(*[(out[c] if c in out else F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = without_runs(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    removed = F.coalesce(F.aggregate("__runs", F.lit(0), lambda t, r: t + r["end"] - r["start"] + 1), F.lit(0))
+    removed = F.coalesce(F.aggregate("runs", F.lit(0), lambda t, r: t + r["end"] - r["start"] + 1), F.lit(0))
     return found.select(
-        "doc_id", F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long").alias("n_lines"), removed.cast("long").alias("n_removed_lines"),
-        F.when(F.col("__runs").isNull(), 0).otherwise(F.size("__runs")).cast("long").alias("n_runs"),
-        F.length(F.coalesce("__kept", F.lit(""))).cast("long").alias("kept_chars"), F.md5(F.coalesce("__kept", F.lit(""))).alias("kept_md5"),
+        "row.doc_id", F.coalesce(F.size(F.split("row.text", "\n", -1)), F.lit(0)).cast("long").alias("n_lines"), removed.cast("long").alias("n_removed_lines"),
+        F.when(F.col("runs").isNull(), 0).otherwise(F.size("runs")).cast("long").alias("n_runs"),
+        F.length(F.coalesce("kept", F.lit(""))).cast("long").alias("kept_chars"), F.md5(F.coalesce("kept", F.lit(""))).alias("kept_md5"),
     )
 
 
@@ -121,8 +123,14 @@ WITH every AS (
 ), spans AS (
   SELECT doc_id, pos, string_agg(line, chr(10)) OVER s AS body, sum(n) OVER s AS words, max(pos) OVER s AS last FROM placed
   WINDOW s AS (PARTITION BY doc_id ORDER BY c RANGE BETWEEN CURRENT ROW AND {SPAN - 1} FOLLOWING)
+), upto AS (
+  SELECT doc_id, min(pos) OVER s AS pos, string_agg(line, chr(10)) OVER s AS body, sum(n) OVER s AS words, pos AS last FROM placed
+  WINDOW s AS (PARTITION BY doc_id ORDER BY c + n RANGE BETWEEN {SPAN - 1} PRECEDING AND CURRENT ROW)
 ), later AS (
-  SELECT doc_id, pos, last FROM (SELECT *, row_number() OVER (PARTITION BY md5(body) ORDER BY doc_id, pos) AS k FROM spans WHERE words >= {SPAN}) WHERE k > 1
+  SELECT doc_id, pos, max(last) AS last FROM (
+    SELECT *, row_number() OVER (PARTITION BY way, md5(body) ORDER BY doc_id, pos) AS k
+    FROM (SELECT 1 AS way, * FROM spans UNION ALL BY NAME SELECT 2 AS way, * FROM upto) WHERE words >= {SPAN}
+  ) WHERE k > 1 GROUP BY doc_id, pos
 ), marked AS (
   SELECT e.doc_id, e.pos, e.line, coalesce(max(l.last) OVER (PARTITION BY e.doc_id ORDER BY e.pos), -1) >= e.pos AS gone
   FROM every e LEFT JOIN later l USING (doc_id, pos)

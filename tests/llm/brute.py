@@ -72,7 +72,7 @@ def near_classes(docs, threshold=0.8):
 
 
 def line_runs(docs, span=20):
-    """Kept text of each text, in order."""
+    """Kept text of each text, in order: a run of ``span`` words is the union of the shortest ones from and up to its lines."""
     seen, out = set(), []
     for text in docs:
         if text is None:
@@ -81,16 +81,19 @@ def line_runs(docs, span=20):
         lines = text.split("\n")
         full = [i for i, x in enumerate(lines) if words(x)]
         gone = set()
-        for a in range(len(full)):
-            n, b = 0, a
-            while b < len(full) and n < span:
-                n += len(words(lines[full[b]]))
-                b += 1
-            if n >= span:
-                key = tuple(lines[i] for i in full[a:b])
-                if key in seen:
-                    gone.update(range(full[a], full[b - 1] + 1))
-                seen.add(key)
+        size = [len(words(lines[i])) for i in full]
+        for step in (1, -1):
+            for a in range(len(full)):
+                n, b = 0, a
+                while 0 <= b < len(full) and n < span:
+                    n += size[b]
+                    b += step
+                if n >= span:
+                    low, high = sorted((a, b - step))
+                    key = (step, *(lines[i] for i in full[low : high + 1]))
+                    if key in seen:
+                        gone.update(range(full[low], full[high] + 1))
+                    seen.add(key)
         out.append("\n".join(x for i, x in enumerate(lines) if i not in gone))
     return out
 

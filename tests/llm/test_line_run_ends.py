@@ -41,6 +41,6 @@ def test_ends_of_runs(spark):
     texts += [words("p", 30) + "\nx", words("p", 30) + "\ny", words("p", 30) + "\ny"]
     texts += ["\n".join(rng.choice(lines) for _ in range(rng.randrange(1, 9))) for _ in range(120)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    got = {r.doc_id: r["__kept"] for r in line_runs.without_runs(df).collect()}
+    got = {r.row.doc_id: r.kept for r in line_runs.without_runs(df).collect()}
     assert got[1] == "" and got[2] == "other" and got[6] == ""
     assert got == dict(enumerate(by_definition(texts)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import collections
 import random
 import sys
+import time
 import zlib
 from pathlib import Path
 
@@ -22,7 +23,7 @@ from kelvane.llm import _text  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
-CLASH = {"n_words": "x", "size": "y", "key": "z", "tid": "t", "bands": "b", "th": "h", "pos": "p", "part": "q", "chunk": "c", "score": "s", "__kept": "k", "sequence_id": "w", "root": "r"}
+CLASH = {"n_words": "x", "size": "y", "key": "z", "tid": "t", "bands": "b", "th": "h", "pos": "p", "part": "q", "chunk": "c", "score": "s", "__kept": "k", "sequence_id": "w", "root": "r", "row": "o", "runs": "u", "lines": "l", "kept": "k", "copies": "m", "copy": "n", "id": "i", "__id": "1", "__th": "2", "__runs": "3", "__copies": "4", "__copy": "5", "__q_n_words": "6", "quality": "7"}
 VOCAB = [a + b for a in ("ta", "ne", "ri", "so", "lu", "ka", "mo", "vi") for b in ("na", "ro", "ti", "se", "lu", "do", "pa", "ke", "mi", "vo")]
 
 
@@ -31,6 +32,10 @@ def prose(rng, n, lines=9):
     return "\n".join(" ".join(w[i : i + lines]) for i in range(0, n, lines))
 
 
+def clash_unchanged(df):
+    return df.select(*CLASH).distinct().collect() == [tuple(CLASH.values())]
+
+
 def edited(rng, text, n):
     w = text.split(" ")
     for _ in range(n):
@@ -110,7 +115,7 @@ def test_mixing(spark, docs, corpus, none):
         assert abs(sum(r.taken for r in by[s]) - goal) <= 0.02 * goal + 2
     assert mixing.mix_sources(none).count() == 0
     copies = mixing.mix_documents(docs)
-    assert copies.columns == docs.columns and max(r["count"] for r in copies.groupBy("doc_id").count().collect()) <= 3
+    assert copies.columns == docs.columns and clash_unchanged(copies) and max(r["count"] for r in copies.groupBy("doc_id").count().collect()) <= 3
     twice = mixing.mix_sources(docs.unionByName(docs).withColumn("doc_id", F.when(F.col("doc_id") % 7 != 0, F.col("doc_id"))))
     assert twice.count() == 2 * len(corpus)
 
@@ -149,16 +154,53 @@ def test_conv_quality(spark, docs, none):
 def test_conv_blocks_cover_the_whole_text():
     data = np.arange(3000, dtype=np.int64).astype(np.uint8)
     padded, first = conv_quality.blocks_of(data, np.array([0, 0, 700, 3000]))
-    assert np.diff(first).tolist() == [1, 2, 5] and padded[512:1212].tolist() == data[:700].tolist()
+    assert np.diff(first).tolist() == [1, 2, 5] and padded[516:1216].tolist() == data[:700].tolist()
     net = conv_quality.Network.fresh()
     late = np.concatenate([np.full(20_000, 97, np.uint8), np.frombuffer(b"#*$%&|<>" * 4, np.uint8)])
     peaks = [net.block_peaks(conv_quality.blocks_of(d, np.array([0, len(d)]))[0]).max(axis=0) for d in (late, late[:20_000])]
     assert (peaks[0] > peaks[1]).any()
 
 
+def test_conv_scores_do_not_depend_on_company(spark):
+    import pyarrow as pa
+
+    known, labels = quality_table(spark)
+    net = conv_quality.fit(known, labels)
+    rng = random.Random(8)
+    texts = ["", "a", "#" * 507, "x" * 508, "é" * 254, "y" * 512, "z" * 513, "&" * 1020, prose(rng, 900)] + [r.text for r in known.limit(20).collect()]
+
+    def scores(some):
+        return net.score(*_text.bytes_of(pa.array(some)))
+
+    alone = {t: scores([t])[0] for t in texts}
+    for _ in range(20):
+        some = [rng.choice(texts) for _ in range(rng.randrange(1, 40))]
+        assert scores(some).tolist() == [alone[t] for t in some]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts * 3)], "doc_id long, text string")
+    got = [{r.doc_id: r.score for r in conv_quality.score(d, net).collect()} for d in (df.repartition(1), df.repartition(7))]
+    assert got[0] == got[1] == {i: alone[t] for i, t in enumerate(texts * 3)}
+
+
+def test_conv_training_sample(spark, monkeypatch):
+    known, labels = quality_table(spark)
+    monkeypatch.setattr(conv_quality, "MAX_TEXT", 2000)
+    huge = known.withColumn("text", F.when(F.col("doc_id") < 3, F.repeat(F.lit("#"), 5000)).otherwise(F.col("text")))
+    a, b = conv_quality.fit(huge, labels), conv_quality.fit(known.filter("doc_id >= 3"), labels)
+    assert np.array_equal(a.filters, b.filters)  # texts above the bound are left out, no other
+    monkeypatch.setattr(conv_quality, "MAX_TRAIN_BYTES", 20_000)
+    assert not np.array_equal(conv_quality.fit(known, labels).filters, b.filters)
+
+
 # 3
 
 
+def test_chat_long_runs():
+    start = time.time()
+    for text in ("\\" * 1_000_000, "\\" * 500_000 + "</s>", "[ROLE:" * 50_000, "]" * 300_000, "<" * 300_000):
+        assert [t[:2] for t in chat.parse(chat.render_turn("user", text))] == [("user", text)]
+    assert time.time() - start < 20
+
+
 @pytest.mark.parametrize("text", ["", "[INST] a", "\\</s>", "\\\\<s>\\", "<</SYS>> [ROLE:x] [/ROLE]", "[INST", "[ROLE", "a\\", "<", "[/INST]</s><s>"])
 @pytest.mark.parametrize("role", ["user", "assistant", "system", "to]ol\\", ""])
 def test_chat_round_trip(text, role):
@@ -206,7 +248,10 @@ def test_rules_learn_and_apply(spark, docs, none):
     bare = rules.judge(docs, labels.limit(0)).collect()
     assert all(r.kept != r.base_failed for r in bare)
     assert rules.judge(none, labels).count() == 0
-    assert rules.keep_good(docs, labels).columns == docs.columns
+    good = rules.keep_good(docs, labels)
+    assert good.columns == docs.columns and clash_unchanged(good)
+    odd = docs.select(F.lit(None).cast("long").alias("doc_id"), "text")
+    assert rules.judge(odd.unionByName(odd), labels).count() == 2 * docs.count()
 
 
 def test_rules_stop_at_noise():
@@ -241,6 +286,28 @@ def test_neighbours(spark):
     assert neighbours.nearest(df.limit(0)).count() == 0 and neighbours.nearest(df.filter("vec_id = 20")).count() == 0
 
 
+def test_neighbours_settle_ties(spark):
+    rows = [(i, [float(i == j) for j in range(600)]) for i in range(600)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    for block, turn in ((neighbours.BLOCK, neighbours.TURN), (130, 7)):
+        got = collections.defaultdict(list)
+        for r in neighbours.nearest(df, block=block, turn=turn).orderBy("query_id", "rank").collect():
+            got[r.query_id].append((r.vec_id, r.score))
+        assert got == {q: [(i, 0.0) for i in range(21) if i != q][:20] for q in range(0, 600, 20)}
+
+
+def test_neighbours_blocks_do_not_change_the_result(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(900, 12)).round(1)
+    x[:300] = x[0] + rng.normal(size=(300, 12)).round(1) / 10  # a third of the rows in one part
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    one = sorted(neighbours.nearest(df, part=60).collect())
+    assert one == sorted(neighbours.nearest(df, part=60, block=40, turn=9).collect())
+    assert collections.Counter(r.query_id for r in one) == {q: 20 for q in range(0, 900, 20)}
+    few = sorted(neighbours.nearest(df, part=12, recall=0.01).collect())  # parts with fewer vectors than results
+    assert collections.Counter(r.query_id for r in few) == {q: 20 for q in range(0, 900, 20)}
+
+
 def test_balanced_parts():
     x = np.random.default_rng(3).normal(size=(400, 8)).astype(np.float32)
     of = neighbours.balanced_parts(neighbours.neighbour_graph(x, 10), 7)
@@ -263,6 +330,17 @@ def test_tokenizer_is_exact():
     assert known.encode(texts[::-1]) == want[::-1]
 
 
+def test_tokenizer_remembers_what_a_call_needs(monkeypatch):
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(packing.default_tokenizer())
+    monkeypatch.setattr(packing, "_CACHED", 50)
+    known, rng = packing.WordTokenizer(packing.default_tokenizer()), random.Random(6)
+    for n in (85, 3, 40, 700, 20):
+        texts = [" ".join("".join(rng.choice("abcdefgh0123") for _ in range(9)) for _ in range(n)) for _ in range(3)]
+        assert known.encode(texts) == [np.array(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
 def check_packing(rows, capacity=4096):
     fill = collections.defaultdict(list)
     for r in rows:
@@ -294,6 +372,17 @@ def test_packing(spark, docs, corpus, none):
     assert len(doubled) == 2 * len(got)
     check_packing(doubled)
     assert packing.pack_documents(none).count() == 0
+    lost = packing.pack_documents(docs.withColumn("doc_id", F.lit(None).cast("long"))).collect()
+    assert sorted(r.ids_crc32 for r in lost) == sorted(r.ids_crc32 for r in got)
+    check_packing(lost)
+
+
+def test_packing_deals_repeated_rows(docs, monkeypatch):
+    same = docs.filter("text = 'one'").limit(1).select("doc_id", "text").withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(4000))))
+    placed = packing.pack_pieces(packing.cut(packing.cut_documents(same)), group=400)
+    rows = placed.collect()
+    check_packing(rows)
+    assert max(collections.Counter(r.sequence_id >> 40 for r in rows).values()) < 600
 
 
 @pytest.mark.parametrize("lengths", [[4096] * 3, [1], [2048] * 7, list(range(1, 400)), [100] * 500])
@@ -460,10 +549,10 @@ def test_components(spark):
 
 def test_line_runs(spark, docs, corpus, none):
     want = dict(zip([i for i, _ in corpus], brute.line_runs([t for _, t in corpus]), strict=True))
-    got = {r.doc_id: r["__kept"] for r in line_runs.without_runs(docs.drop("__kept")).collect()}
+    got = {r.row.doc_id: r.kept for r in line_runs.without_runs(docs).collect()}
     assert got == want
-    kept = line_runs.drop_repeated_lines(docs.drop("__kept"))
-    assert kept.columns == docs.drop("__kept").columns
+    kept = line_runs.drop_repeated_lines(docs)
+    assert kept.columns == docs.columns and clash_unchanged(kept)
     assert {r.doc_id: r.text for r in kept.collect()} == {i: want[i] for i, t in corpus if want[i] == t or brute.words(want[i])}
     assert line_runs.without_runs(none).count() == 0
     plan = kept._jdf.queryExecution().executedPlan().toString()
@@ -473,7 +562,7 @@ def test_line_runs(spark, docs, corpus, none):
 def test_line_runs_odd_rows(spark):
     passage = " ".join(f"w{i}" for i in range(30))
     rows = [(2, passage), (2, passage), (None, "x\n" + passage), (1, passage + "\ny"), (3, None)]
-    got = collections.Counter((r.doc_id, r["__kept"]) for r in line_runs.without_runs(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    got = collections.Counter((r.row.doc_id, r.kept) for r in line_runs.without_runs(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == {(2, ""): 2, (None, "x\n" + passage): 1, (1, "y"): 1, (3, None): 1}
 
 
