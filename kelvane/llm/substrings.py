@@ -1,16 +1,18 @@
 """Exact substring dedup with a logarithmic family of sparse suffix arrays.
 
-A window is a string of LENGTH bytes. Window starts that share the same least GRAM-byte hash form a run; a run and
-the bytes its windows reach are one suffix of the sparse suffix array, known by fingerprints: of its least gram,
-which every equal window shares wherever it stands, and of all its bytes. Entries are ordered by fingerprint and
-not by their bytes, so arrays merge without carrying text. Each batch of documents gets such an array; arrays are
-dealt by gram to parts, and each part keeps a family of levels: a new array is merge-scanned against every level,
-a run that both hold is covered where it stands later, and levels of equal size merge.
-
-Where one gram stands in different runs, two places agree on some windows only. The grams of which that is so are
-marked in a bitmap of fixed size; a second scan sends the bytes of runs with a marked gram, and their windows are
-compared one by one. So each byte that is covered by a window which also starts earlier is found, and no other,
-up to collisions of 64-bit fingerprints.
+A window is a string of LENGTH bytes; its anchor is where its least GRAM-byte hash stands (the leftmost of equals), so
+equal windows have equal anchors at equal distances. Consecutive windows with one anchor form a run. The sparse suffix
+array of a batch holds one suffix for each run, the bytes from its anchor to the end of its last window, followed by
+the bytes that lead up to the anchor; it is sorted by those bytes. Arrays are dealt by the anchor's gram to parts, and
+each part keeps a family of levels: a new array is merge-scanned against every level, a run that both hold is covered
+where it stands later, and levels of similar size merge, so sizes grow geometrically.
+
+Suffixes of one gram that differ are neighbours in the merged array, with a common prefix of GRAM bytes or more. They
+agree on some windows only, so their windows are compared: fingerprints bring equal ones together and their bytes
+decide. A gram with so many surroundings that they would not fit a task is split: its windows are dealt once more, by
+128-bit fingerprints, and settled there. A batch that meets more than LOCAL of them sends windows at once and marks the
+gram, so no batch sends a task more than LOCAL runs of one gram. So each byte that is covered by a window which also
+starts earlier is found, and no other.
 
 Edge cases: a null text is empty; texts below LENGTH bytes never match; rows with equal doc_id are ordered by text
 hash, null ids last; of repeated rows all but one stand later; an empty table gives an empty result; other columns
@@ -20,24 +22,49 @@ are never read. Long texts are taken in segments that overlap, so memory does no
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import by_part, cut, table
-from ._text import bytes_of, fingerprints, pieces, prefix_sums, release
+from ._spark import cut, table
+from ._text import bytes_of, fingerprints, mix, pieces, prefix_sums, release
 
 LENGTH, GRAM = 100, 36
-#: Bytes that are scanned at once, and runs after which a batch's array is sent on.
-SEGMENT, BATCH = 1 << 19, 1 << 20
-#: Bits of the bitmap of grams that stand in different runs.
-BITS = 27
+#: Bytes that are scanned at once, and runs of a batch.
+SEGMENT, BATCH = 1 << 19, 1 << 17
+#: Bytes of text whose runs make up a part, about.
+PART_BYTES = 1 << 24
+#: Different surroundings of one gram that a batch sends as runs, and suffixes whose windows are compared at once.
+LOCAL, CHUNK = 256, 8192
 
-_REPEATS = np.uint32(1 << 31)  # set in a run's length: its least gram stands in it more than once
-ARRAYS = "part int, grams binary, classes binary, docs binary, starts binary, lengths binary"
-SPANS = "part int, docs binary, starts binary, ends binary"
+# Kinds of rows. Entries: runs of a suffix array. Windows: of split grams, by fingerprint. Split: marked grams. Spans: covered bytes.
+ENTRIES, WINDOWS, SPLIT, SPANS = range(4)
+ROWS = "part int, kind int, docs binary, starts binary, more binary, data binary"
+_SLOTS = 24  # low bits of a sliding value: a place in a segment
+
+
+class Shape(NamedTuple):
+    """Lengths of windows and grams, and what a key holds: bytes from the anchor on, bytes before it, least and greatest distance to a window's start."""
+
+    length: int = LENGTH
+    gram: int = GRAM
+
+    @property
+    def reach(self) -> int:
+        return self.length - self.gram
+
+    @property
+    def size(self) -> int:
+        return self.length + self.reach + 2
+
+    def masks(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Which bytes of a key are text."""
+        at = np.arange(self.length + self.reach)
+        return np.where(at < self.length, at < self.length - low[:, None].astype(np.int64), at >= self.size - 2 - high[:, None].astype(np.int64))
 
 
 def segments(column: pa.Array, length: int = LENGTH) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -51,65 +78,91 @@ def segments(column: pa.Array, length: int = LENGTH) -> Iterator[tuple[np.ndarra
                 yield np.array([i]), np.array([a]), part, np.array([0, len(part)])
 
 
-def runs_of(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Text index, first window start, number of windows, least gram, and fingerprint of the bytes, of each run; whether its gram repeats."""
-    n, width = len(data), length - gram + 1
-    if n < length:
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, bool),)
-    sums = prefix_sums(data)
-    at = np.arange(n - gram + 1)
-    hashes = fingerprints(sums, at, at + gram)
-
-    def sliding(values: np.ndarray, pick: np.ufunc) -> np.ndarray:
-        size = 1
-        out = values
-        while 2 * size <= width:
-            out = pick(out[:-size], out[size:])
-            size *= 2
-        return pick(out[: len(values) - width + 1], out[width - size : width - size + len(values) - width + 1]) if width > size else out
-
-    least = sliding(hashes, np.minimum)  # by window start
-    room = np.diff(offsets) - length + 1
+def runs_of(data: np.ndarray, offsets: np.ndarray, shape: Shape) -> tuple[np.ndarray, ...]:
+    """Text index, first window, number of windows and anchor of each run; places are those in ``data``."""
+    n, width = len(data), shape.reach + 1
+    if n < shape.length:
+        return (np.zeros(0, np.int64),) * 4
+    at = np.arange(n - shape.gram + 1)
+    hashes = fingerprints(prefix_sums(data), at, at + shape.gram)
+    least, size = (hashes >> np.uint64(_SLOTS) << np.uint64(_SLOTS)) | at.astype(np.uint64), 1
+    while 2 * size <= width:
+        least = np.minimum(least[:-size], least[size:])
+        size *= 2
+    m = n - shape.length + 1
+    if width > size:
+        least = np.minimum(least[:m], least[width - size : width - size + m])
+    anchor = (least[:m] & np.uint64((1 << _SLOTS) - 1)).astype(np.int64)  # by window start
+    room = np.diff(offsets) - shape.length + 1
     full = np.flatnonzero(room > 0)
-    valid = np.zeros(len(least) + 1, np.int8)
-    valid[offsets[:-1][full]] += 1
+    valid = np.zeros(m + 1, np.int32)
+    np.add.at(valid, offsets[:-1][full], 1)
     np.add.at(valid, offsets[:-1][full] + room[full], -1)
-    inside = np.cumsum(valid[:-1], dtype=np.int8) > 0
-    opens = np.ones(len(least), bool)
-    opens[1:] = least[1:] != least[:-1]
+    inside = np.cumsum(valid[:-1]) > 0
+    opens = np.ones(m, bool)
+    opens[1:] = anchor[1:] != anchor[:-1]
     opens[offsets[:-1][full]] = True
     starts = np.flatnonzero(opens & inside)
     doc = np.searchsorted(offsets, starts, side="right") - 1
     ends = np.minimum(np.append(starts[1:], n), offsets[doc] + room[doc])
-    # places that hold the least gram of some window; two of one gram close together may make equal windows in one run
-    padded = np.concatenate([np.zeros(width - 1, np.uint64), least, np.zeros(width - 1, np.uint64)])
-    chosen = np.flatnonzero(sliding(padded, np.maximum) == hashes)
-    near = np.flatnonzero((hashes[chosen[1:]] == hashes[chosen[:-1]]) & (np.diff(chosen) < width))
-    mark = np.zeros(len(starts) + 1, np.int64)
-    np.add.at(mark, np.maximum(np.searchsorted(starts, chosen[near] - width, side="right") - 1, 0), 1)
-    np.add.at(mark, np.searchsorted(starts, chosen[near + 1], side="right"), -1)
-    return doc, starts - offsets[doc], ends - starts, least[starts], fingerprints(sums, starts, ends - 1 + length), np.cumsum(mark[:-1]) > 0
+    return doc, starts, ends - starts, anchor[starts]
+
+
+def keys_of(data: np.ndarray, starts: np.ndarray, counts: np.ndarray, anchors: np.ndarray, shape: Shape) -> np.ndarray:
+    """The sort keys of runs, one row of bytes each."""
+    around = np.concatenate([np.zeros(shape.reach, np.uint8), data, np.zeros(shape.length, np.uint8)])
+    around = sliding_window_view(around, shape.reach + shape.length)[anchors]
+    out = np.empty((len(starts), shape.size), np.uint8)
+    out[:, : shape.length], out[:, shape.length : -2] = around[:, shape.reach :], around[:, : shape.reach]
+    high = anchors - starts
+    out[:, -2], out[:, -1] = high - counts + 1, high
+    out[:, :-2] *= shape.masks(out[:, -2], out[:, -1])
+    return out
+
 
+class Suffixes:
+    """A sparse suffix array: distinct keys in the order of their bytes, each with the earliest place where its run was met."""
 
-class Level:
-    """A sparse suffix array: runs ordered by fingerprint, each with the earliest place where it was met."""
+    __slots__ = ("docs", "keys", "starts")
 
-    __slots__ = ("classes", "docs", "grams", "lengths", "starts")
+    def __init__(self, keys: np.ndarray, docs: np.ndarray, starts: np.ndarray) -> None:
+        self.keys, self.docs, self.starts = np.ascontiguousarray(keys), docs, starts
 
-    def __init__(self, grams: np.ndarray, classes: np.ndarray, docs: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> None:
-        self.grams, self.classes, self.docs, self.starts, self.lengths = grams, classes, docs, starts, lengths
+    @property
+    def text(self) -> np.ndarray:
+        """The keys as strings of a fixed length, which numpy orders by bytes."""
+        return self.keys.view(f"S{self.keys.shape[1]}").ravel()
 
-    def take(self, at: np.ndarray) -> Level:
-        return Level(self.grams[at], self.classes[at], self.docs[at], self.starts[at], self.lengths[at])
+    def take(self, at: np.ndarray) -> Suffixes:
+        return Suffixes(self.keys[at], self.docs[at], self.starts[at])
 
     def spans(self, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """What the windows of these runs cover."""
-        size = (self.lengths[at] & ~_REPEATS).astype(np.int64)
-        return self.docs[at], self.starts[at].astype(np.int64), self.starts[at] + size - 1 + length
+        more = self.keys[at, -1].astype(np.int64) - self.keys[at, -2]
+        return self.docs[at], self.starts[at].astype(np.int64), self.starts[at] + more + length
 
     @staticmethod
-    def joined(levels: list[Level]) -> Level:
-        return Level(*(np.concatenate([getattr(x, k) for x in levels]) for k in ("grams", "classes", "docs", "starts", "lengths")))
+    def joined(parts: list[Suffixes]) -> Suffixes:
+        return Suffixes(*(np.concatenate([getattr(x, k) for x in parts]) for k in ("keys", "docs", "starts")))
+
+    def sorted(self) -> Suffixes:
+        return self.take(np.argsort(self.text, kind="stable"))
+
+    @staticmethod
+    def of_batch(runs: Suffixes, length: int) -> tuple[Suffixes, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """The array of a batch of runs, and what its repeated runs cover."""
+        runs = runs.take(np.lexsort((runs.starts, runs.docs))).sorted()
+        again = np.zeros(len(runs.docs), bool)
+        again[1:] = runs.text[1:] == runs.text[:-1]
+        return runs.take(np.flatnonzero(~again)), runs.spans(np.flatnonzero(again), length)
+
+    def groups(self, gram: int) -> np.ndarray:
+        """Where runs of neighbours begin that have a common prefix of ``gram`` bytes, and the number of keys at the end."""
+        new = np.ones(len(self.docs) + 1, bool)
+        for i in range(1, len(self.docs), CHUNK):
+            part = self.keys[i - 1 : i + CHUNK, :gram]
+            new[i : i + len(part) - 1] = (part[1:] != part[:-1]).any(axis=1)
+        return np.flatnonzero(new)
 
 
 class Family:
@@ -118,180 +171,249 @@ class Family:
     def __init__(self, length: int = LENGTH) -> None:
         self.length, self.levels, self.covered = length, [], []
 
-    def add(self, batch: Level) -> None:
-        order = np.lexsort((batch.starts, batch.docs, batch.classes))
-        batch = batch.take(order)
-        again = np.zeros(len(order), bool)
-        again[1:] = batch.classes[1:] == batch.classes[:-1]
-        self.covered.append(batch.spans(again, self.length))
-        batch = batch.take(~again)
+    def add(self, batch: Suffixes) -> None:
         for level in self.levels:
-            at = np.minimum(np.searchsorted(level.classes, batch.classes), len(level.classes) - 1)
-            hit = level.classes[at] == batch.classes
+            at = np.minimum(np.searchsorted(level.text, batch.text), len(level.docs) - 1)
+            hit = level.text[at] == batch.text
             old, new = at[hit], np.flatnonzero(hit)
             sooner = (batch.docs[new] < level.docs[old]) | ((batch.docs[new] == level.docs[old]) & (batch.starts[new] < level.starts[old]))
             self.covered += [level.spans(old[sooner], self.length), batch.spans(new[~sooner], self.length)]
             level.docs[old[sooner]], level.starts[old[sooner]] = batch.docs[new[sooner]], batch.starts[new[sooner]]
-            batch = batch.take(~hit)
-        if len(batch.classes):
+            batch = batch.take(np.flatnonzero(~hit))
+        if len(batch.docs):
             self.levels.append(batch)
-        while len(self.levels) > 1 and len(self.levels[-2].classes) < 2 * len(self.levels[-1].classes):
-            merged = Level.joined([self.levels.pop(), self.levels.pop()])
-            self.levels.append(merged.take(np.argsort(merged.classes, kind="stable")))
-
-
-def _spans_by_part(spans: list[tuple[np.ndarray, np.ndarray, np.ndarray]], parts: int) -> pa.RecordBatch:
-    docs, starts, ends = (np.concatenate([s[k] for s in spans]) if spans else np.zeros(0, np.int64) for k in range(3))
-    part = docs % parts
+        while len(self.levels) > 1 and len(self.levels[-2].docs) < 2 * len(self.levels[-1].docs):
+            self.levels.append(Suffixes.joined([self.levels.pop(), self.levels.pop()]).sorted())
+
+
+def compare_windows(runs: Suffixes, shape: Shape, forward: bool = False) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, ...] | None]:
+    """Spans of windows of ``runs`` that stand earlier in another of them; if asked, also the earliest of each distinct window: (doc, start, two fingerprints)."""
+    runs = runs.take(np.lexsort((runs.starts, runs.docs)))  # windows are numbered as they stand in the corpus
+    low, high = (runs.keys[:, k].astype(np.int64) for k in (-2, -1))
+    text = np.concatenate([runs.keys[:, shape.length : -2], runs.keys[:, : shape.length]], axis=1)
+    size = high - low + 1
+    run = np.repeat(np.arange(len(size)), size)
+    nth = np.arange(len(run)) - np.repeat(np.cumsum(size) - size, size)
+    place = run * text.shape[1] + shape.reach - high[run] + nth
+    flat = text.ravel()
+    prints = fingerprints(prefix_sums(flat), place, place + shape.length)
+    views = sliding_window_view(flat, shape.length)
+    by = np.argsort(prints, kind="stable")
+    again = np.zeros(len(by), bool)
+    again[1:] = prints[by[1:]] == prints[by[:-1]]
+    at = np.flatnonzero(again)
+    if any((views[place[by[at[i : i + CHUNK]]]] != views[place[by[at[i : i + CHUNK] - 1]]]).any() for i in range(0, len(at), CHUNK)):
+        rank = np.unique(np.ascontiguousarray(views[place]).view(f"S{shape.length}").ravel(), return_inverse=True)[1]  # equal fingerprints of different bytes
+        by = np.argsort(rank, kind="stable")
+        again[1:] = rank[by[1:]] == rank[by[:-1]]
+    hit = np.sort(by[again])
+    docs, starts = runs.docs[run], runs.starts[run].astype(np.int64) + nth
+    new = np.ones(len(hit), bool)
+    new[1:] = (run[hit[1:]] != run[hit[:-1]]) | (np.diff(hit) != 1)
+    a = hit[new]
+    b = hit[np.append(np.flatnonzero(new)[1:] - 1, len(hit) - 1)] if len(hit) else hit
+    spans = (docs[a], starts[a], starts[b] + shape.length)
+    if not forward:
+        return spans, None
+    first = np.sort(by[~again])
+    return spans, (docs[first], starts[first].astype(np.uint32), prints[first], _second_prints(views, place[first]))
+
+
+def _second_prints(views: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Fingerprints that share nothing with the first ones but the bytes."""
+    odd = np.random.default_rng(77).integers(0, 2**63, views.shape[1], dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    out = np.zeros(len(place), np.uint64)
+    for i in range(0, len(place), CHUNK):
+        part = (views[place[i : i + CHUNK]].astype(np.uint64) + np.uint64(1)) * odd
+        out[i : i + CHUNK] = mix(part).sum(axis=1, dtype=np.uint64)
+    return mix(out)
+
+
+def _row(part: pa.Array, kind: int, docs=None, starts=None, more=None, data=None) -> pa.RecordBatch:
+    n, nothing = len(part), lambda v: pa.array([None] * len(part) if v is None else v, pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([kind] * n, pa.int32()), *map(nothing, (docs, starts, more, data))], names=["part", "kind", "docs", "starts", "more", "data"])
+
+
+def _by_part(part: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, list[list[bytes]]]:
+    """The parts that occur, and each column's values of each as bytes."""
     order = np.argsort(part, kind="stable")
     found, first = np.unique(part[order], return_index=True)
     cuts = np.append(first, len(order)).tolist()
-    pick = lambda x, kind: pa.array([x[order[a:b]].astype(kind).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pick(docs, "<i8"), pick(starts, "<i8"), pick(ends, "<i8")], names=["part", "docs", "starts", "ends"])
+    ordered = [c[order] for c in columns]
+    return found.astype(np.int32), [[c[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)] for c in ordered]
+
+
+def _span_rows(spans: list[tuple[np.ndarray, np.ndarray, np.ndarray]], parts: int) -> pa.RecordBatch:
+    docs, starts, ends = (np.concatenate([s[k].astype("<i8") for s in spans]) if spans else np.zeros(0, "<i8") for k in range(3))
+    found, (d, s, e) = _by_part(docs % parts, docs, starts, ends)
+    return _row(found, SPANS, d, s, e)
+
+
+def _window_rows(windows: tuple[np.ndarray, ...], parts: int) -> pa.RecordBatch:
+    found, columns = _by_part((windows[2] >> np.uint64(20)).astype(np.int64) % parts, *windows)
+    return _row(found, WINDOWS, *columns)
 
 
-def _level_rows(level: Level, parts: int) -> pa.RecordBatch:
-    part = (level.grams >> np.uint64(32)).astype(np.int64) % parts
+def _entry_rows(array: Suffixes, grams: np.ndarray, parts: int, shape: Shape) -> pa.RecordBatch:
+    """The array's entries by part, in their order; of a key only its text is sent."""
+    part = grams.astype(np.int64) % parts
     order = np.argsort(part, kind="stable")
-    found, first = np.unique(part[order], return_index=True)
-    cuts = np.append(first, len(order)).tolist()
-    pick = lambda x: pa.array([x[order[a:b]].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())
-    columns = [pick(x) for x in (level.grams, level.classes, level.docs, level.starts, level.lengths)]
-    return pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), *columns], names=["part", "grams", "classes", "docs", "starts", "lengths"])
+    array, part = array.take(order), part[order]
+    ends = np.append(0, np.cumsum(shape.length + array.keys[:, -1].astype(np.int64) - array.keys[:, -2]))
+    text = array.keys[:, :-2][shape.masks(array.keys[:, -2], array.keys[:, -1])]
+    found, first = np.unique(part, return_index=True)
+    cuts = np.append(first, len(part)).tolist()
+    pick = lambda x: [x[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    return _row(found, ENTRIES, pick(array.docs), pick(array.starts), pick(array.keys[:, -2:]), [text[ends[a] : ends[b]].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+
+
+def _entries(docs: bytes, starts: bytes, more: bytes, data: bytes, shape: Shape) -> Suffixes:
+    low_high = np.frombuffer(more, np.uint8).reshape(-1, 2)
+    keys = np.zeros((len(low_high), shape.size), np.uint8)
+    keys[:, -2:] = low_high
+    keys[:, :-2][shape.masks(low_high[:, 0], low_high[:, 1])] = np.frombuffer(data, np.uint8)
+    return Suffixes(keys, np.frombuffer(docs, "<i8"), np.frombuffer(starts, "<u4"))
 
 
 def _parts(docs: DataFrame) -> int:
-    """Parts for a corpus read in so many input partitions: a prime at least twice as large, so that a part is a fraction of one."""
-    n = max(7, 2 * docs.rdd.getNumPartitions() + 1)
+    """A prime number of parts that hold about PART_BYTES of text each."""
+    n = max(7, -(-int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART_BYTES))
     while any(n % k == 0 for k in range(2, int(n**0.5) + 1)):
         n += 1
     return n
 
 
-def covered_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bits: int = BITS) -> tuple[DataFrame, int]:
+def covered_spans(docs: DataFrame, shape: Shape = Shape(), batch_runs: int = BATCH, local: int = LOCAL, chunk: int = CHUNK) -> tuple[DataFrame, int]:  # noqa: B008
     """Rows (part, docs, starts, ends) of spans that are covered by earlier windows, dealt by doc_id modulo the second value. ``docs``: unique non-null long doc_id, text."""
-    spark, parts = docs.sparkSession, _parts(docs)
+    parts, length, gram = _parts(docs), shape.length, shape.gram
+
+    def split(array: Suffixes, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Windows of the keys at ``at``: those that stand earlier among them are covered, the others go on."""
+        for i in range(0, len(at), chunk):
+            spans, windows = compare_windows(array.take(at[i : i + chunk]), shape, forward=True)
+            yield _span_rows([spans], parts)
+            yield _window_rows(windows, parts)
+
+    def send(held: list[tuple[Suffixes, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        array, spans = Suffixes.of_batch(Suffixes.joined([h[0] for h in held]), length)
+        yield _span_rows([spans], parts)
+        edges = array.groups(gram)
+        many = np.repeat(np.diff(edges) > local, np.diff(edges))
+        if many.any():
+            yield from split(array, np.flatnonzero(many))
+            marked = array.keys[edges[:-1][np.diff(edges) > local], :gram]
+            found, (data,) = _by_part(_gram_hashes(marked).astype(np.int64) % parts, marked)
+            yield _row(found, SPLIT, data=data)
+            array = array.take(np.flatnonzero(~many))
+        if len(array.docs):
+            yield _entry_rows(array, _gram_hashes(array.keys[:, :gram]), parts, shape)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-
-        def send() -> Iterator[pa.RecordBatch]:
-            family = Family(length)
-            family.add(Level.joined(held))
-            if family.levels:
-                yield _level_rows(family.levels[0], parts)
-            spans = _spans_by_part(family.covered, parts)
-            nothing = pa.array([None] * spans.num_rows, pa.binary())
-            yield pa.RecordBatch.from_arrays([spans.column(0), nothing, spans.column(3), spans.column(1), spans.column(2), nothing], names=["part", "grams", "classes", "docs", "starts", "lengths"])
-
         for batch in batches:
-            ids = np.asarray(batch.column(0))
+            ids = np.asarray(batch.column(0)).astype("<i8")
             for rows, begin, data, offsets in segments(batch.column(1), length):
-                doc, start, count, least, whole, twice = runs_of(data, offsets, length, gram)
-                lengths = count.astype(np.uint32) | np.where(twice, _REPEATS, np.uint32(0))
-                held.append(Level(least, whole, ids[rows[doc]], (start + begin[doc]).astype(np.uint32), lengths))
-                size += len(doc)
-                if size >= BATCH:
-                    yield from send()
+                doc, start, count, anchor = runs_of(data, offsets, shape)
+                if len(doc):
+                    keys = keys_of(data, start, count, anchor, shape)
+                    held.append((Suffixes(keys, ids[rows[doc]], (start - offsets[doc] + begin[doc]).astype("<u4")), doc))
+                    size += len(doc)
+                if size >= batch_runs:
+                    yield from send(held)
                     held, size = [], 0
         if held:
-            yield from send()
-
-    arrays = docs.mapInArrow(scan, ARRAYS)
-
-    def settle(rows: pa.Table) -> pa.Table:
-        kinds = (("grams", np.uint64), ("classes", np.uint64), ("docs", np.int64), ("starts", np.uint32), ("lengths", np.uint32))
-        spans, family = [], Family(length)
-        for row in rows.to_pylist():
-            if row["grams"] is None:  # covered inside their own batch
-                spans.append(tuple(np.frombuffer(row[k], "<i8") for k in ("docs", "starts", "classes")))
-            else:
-                family.add(Level(*(np.frombuffer(row[k], t).copy() for k, t in kinds)))
-        spans += family.covered
-        multi = np.zeros(0, np.uint64)
-        if family.levels:
-            last = Level.joined(family.levels)
-            grams = np.sort(last.grams)
-            multi = np.unique(np.concatenate([grams[1:][grams[1:] == grams[:-1]], last.grams[(last.lengths & _REPEATS) > 0]]))
-        out = pa.Table.from_batches([_spans_by_part(spans, parts)])
-        marks = np.unique(multi >> np.uint64(64 - bits)).astype("<u4").tobytes()
-        row = pa.table({"part": pa.array([-1], pa.int32()), "docs": pa.array([marks], pa.binary()), "starts": pa.array([None], pa.binary()), "ends": pa.array([None], pa.binary())})
-        return pa.concat_tables([out, row])
-
-    settled = cut(by_part(arrays, parts, settle, SPANS))
-
-    def union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table_ = np.zeros(1 << bits, bool)
+            yield from send(held)
+        release()
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        family, held, size, marked = Family(length), [], 0, []
+
+        def flush() -> None:
+            nonlocal held, size
+            if held:
+                array, spans = Suffixes.of_batch(Suffixes.joined(held), length)
+                family.covered.append(spans)
+                family.add(array)
+                held, size = [], 0
+
         for batch in batches:
-            for blob in batch.column(0).to_pylist():
-                table_[np.frombuffer(blob, "<u4")] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(table_).tobytes()], pa.binary())], names=["docs"])
-
-    marks = settled.filter("part = -1").select("docs")
-    bitmap = np.zeros(1 << (bits - 3), np.uint8)
-    for r in marks.coalesce(8).mapInArrow(union, "docs binary").toLocalIterator():  # 8 bitmaps of a fixed size at most
-        bitmap |= np.frombuffer(r.docs, np.uint8)
-    shared = spark.sparkContext.broadcast(bitmap)
-
-    def regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = shared.value
+            kind = np.asarray(batch.column(1))
+            through = np.flatnonzero((kind == WINDOWS) | (kind == SPANS))
+            if len(through):
+                yield batch.take(pa.array(through))
+            for i in np.flatnonzero(kind == SPLIT).tolist():
+                marked.append(np.frombuffer(batch.column(5)[i].as_py(), np.uint8).reshape(-1, gram))
+            for i in np.flatnonzero(kind == ENTRIES).tolist():
+                held.append(_entries(*(batch.column(k)[i].as_py() for k in range(2, 6)), shape))
+                size += len(held[-1].docs)
+                if size >= batch_runs:
+                    flush()
+        flush()
+        while len(family.levels) > 1:
+            family.levels.append(Suffixes.joined([family.levels.pop(), family.levels.pop()]).sorted())
+        yield _span_rows(family.covered, parts)
+        family.covered = []
+        if family.levels:
+            array = family.levels.pop()
+            edges = array.groups(gram)
+            size_ = np.diff(edges)
+            far = size_ > chunk
+            if marked:
+                names = lambda m: np.ascontiguousarray(m).view(f"S{gram}").ravel()
+                far |= np.isin(names(array.keys[edges[:-1], :gram]), names(np.concatenate(marked)))
+            yield from split(array, np.flatnonzero(np.repeat(far, size_)))
+            near = np.flatnonzero((size_ > 1) & ~far)
+            step = np.cumsum(size_[near]) // chunk
+            spans = []
+            for k in np.unique(step).tolist():
+                of = near[step == k]
+                at = np.arange(size_[of].sum()) + np.repeat(edges[of] - np.cumsum(size_[of]) + size_[of], size_[of])
+                spans.append(compare_windows(array.take(at), shape)[0])
+            yield _span_rows(spans, parts)
+        release()
+
+    arrays = docs.mapInArrow(scan, ROWS)
+    settled = cut(arrays.repartitionById(parts, "part").mapInArrow(settle, ROWS))
+
+    def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        kinds = ("<i8", "<u4", "<u8", "<u8")
+
+        def together() -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, np.ndarray, np.ndarray]]:
+            """The earliest of each distinct window, and what the others cover."""
+            doc, start, one, two = (np.concatenate([h[k] for h in held]) for k in range(4))
+            by = np.lexsort((start, doc, two, one))
+            again = np.zeros(len(by), bool)
+            again[1:] = (one[by[1:]] == one[by[:-1]]) & (two[by[1:]] == two[by[:-1]])
+            hit, first = by[again], by[~again]
+            return tuple(v[first] for v in (doc, start, one, two)), (doc[hit], start[hit].astype(np.int64), start[hit].astype(np.int64) + length)
+
+        size = 0
         for batch in batches:
-            ids = np.asarray(batch.column(0))
-            for rows, begin, data, offsets in segments(batch.column(1), length):
-                doc, start, count, least, _, _ = runs_of(data, offsets, length, gram)
-                slot = (least >> np.uint64(64 - bits)).astype(np.int64)
-                met = np.flatnonzero(bitmap[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1)
-                if not len(met):
-                    continue
-                part = (least[met] >> np.uint64(32)).astype(np.int64) % parts
-                order = np.argsort(part, kind="stable")
-                met, part = met[order], part[order]
-                found, first = np.unique(part, return_index=True)
-                cuts = np.append(first, len(met)).tolist()
-                size = count[met] - 1 + length
-                from_ = offsets[doc[met]] + start[met]
-                ends = np.cumsum(size)
-                text = data[np.arange(ends[-1]) + np.repeat(from_ - (ends - size), size)]
-                edge = np.append(0, ends)
-                pick = lambda x, kind: pa.array([x[a:b].astype(kind).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())  # noqa: E731, B023
-                blobs = pa.array([text[edge[a] : edge[b]].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pick(ids[rows[doc[met]]], "<i8"), pick(start[met] + begin[doc[met]], "<u4"), pick(count[met], "<u4"), blobs], names=["part", "docs", "starts", "counts", "text"])
-
-    def windows(rows: pa.Table) -> pa.Table:
-        held = {k: np.frombuffer(b"".join(rows.column(k).to_pylist()), t) for k, t in (("docs", "<i8"), ("starts", "<u4"), ("counts", "<u4"), ("text", np.uint8))}
-        size = held["counts"].astype(np.int64)
-        base = np.cumsum(size + length - 1) - (size + length - 1)
-        order = np.lexsort((held["starts"], held["docs"]))  # windows are numbered as they stand in the corpus
-        size, base = size[order], base[order]
-        run = np.repeat(np.arange(len(size)), size)
-        first = np.cumsum(size) - size
-        nth = np.arange(len(run)) - np.repeat(first, size)
-        hashes = np.zeros(len(run), np.uint64)
-        edge = np.append(first, len(run))
-        width = size + length - 1
-        step = np.append(np.searchsorted(np.cumsum(width), np.arange(0, len(held["text"]), SEGMENT), side="right"), len(size))
-        for a, b in zip(step[:-1].tolist(), step[1:].tolist(), strict=True):  # some runs at a time
-            if b > a:
-                local = np.cumsum(width[a:b]) - width[a:b]
-                sums = prefix_sums(held["text"][np.arange(local[-1] + width[b - 1]) + np.repeat(base[a:b] - local, width[a:b])])
-                local = nth[edge[a] : edge[b]] + np.repeat(local, size[a:b])
-                hashes[edge[a] : edge[b]] = fingerprints(sums, local, local + length)
-        by = np.argsort(hashes, kind="stable")
-        again = np.zeros(len(by), bool)
-        again[by[1:]] = hashes[by[1:]] == hashes[by[:-1]]
-        hit = np.flatnonzero(again)
-        if not len(hit):
-            return pa.Table.from_batches([_spans_by_part([], parts)])
-        new = np.ones(len(hit), bool)
-        new[1:] = (run[hit[1:]] != run[hit[:-1]]) | (np.diff(hit) != 1)
-        last = np.append(np.flatnonzero(new)[1:] - 1, len(hit) - 1)
-        docs, starts = held["docs"][order], held["starts"][order].astype(np.int64)
-        a, b = hit[new], hit[last]
-        return pa.Table.from_batches([_spans_by_part([(docs[run[a]], starts[run[a]] + nth[a], starts[run[b]] + nth[b] + length)], parts)])
-
-    sent = docs.mapInArrow(regions, "part int, docs binary, starts binary, counts binary, text binary")
-    more = by_part(sent, parts, windows, SPANS)
-    return settled.filter("part >= 0").unionByName(more), parts
+            for row in zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True):
+                held.append(tuple(np.frombuffer(v, t) for v, t in zip(row, kinds, strict=True)))
+                size += len(held[-1][0])
+            if size >= 1 << 21:
+                firsts, spans = together()
+                yield _span_rows([merged(*spans)], parts)
+                held, size = [firsts], 0
+        if held:
+            yield _span_rows([merged(*together()[1])], parts)
+        release()
+
+    far = settled.filter(F.col("kind") == WINDOWS).repartitionById(parts, "part").mapInArrow(last, ROWS)
+    spans = settled.filter(F.col("kind") == SPANS).unionByName(far)
+    return spans.select("part", "docs", "starts", F.col("more").alias("ends")), parts
+
+
+def _gram_hashes(grams: np.ndarray) -> np.ndarray:
+    """Of rows of bytes; below 2**40."""
+    flat = np.ascontiguousarray(grams)
+    odd = np.random.default_rng(78).integers(0, 2**63, flat.shape[1], dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    out = np.zeros(len(flat), np.uint64)
+    for k in range(flat.shape[1]):
+        out += (flat[:, k].astype(np.uint64) + np.uint64(1)) * odd[k]
+    return mix(out) >> np.uint64(_SLOTS)
 
 
 def merged(docs: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -309,7 +431,7 @@ def merged(docs: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.n
 
 def _keep(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """doc_id, spans and kept bytes of each row of ``docs``, whose ids are unique longs."""
-    spans, parts = covered_spans(docs, length, gram)
+    spans, parts = covered_spans(docs, Shape(length, gram))
     rows = docs.select(F.pmod("doc_id", F.lit(parts)).cast("int").alias("part"), "doc_id", "text", *[F.lit(None).cast("binary").alias(c) for c in ("docs", "starts", "ends")])
     rows = rows.unionByName(spans.select("part", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), "docs", "starts", "ends"))
     rows = rows.repartitionById(parts, "part").sortWithinPartitions("part", F.col("docs").isNull())
@@ -354,11 +476,11 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     odd = docs.groupBy("doc_id").count().filter("count > 1 or doc_id is null").limit(1)
     if odd.isEmpty():
         return _keep(docs, length, gram)
-    # rows without an id of their own are numbered in the order that decides which of two places is the earlier
-    spark = docs.sparkSession
+    # rows without an id of their own are numbered in the order that decides which of two places is the earlier: the
+    # number that Spark gives to rows of a sorted table grows with its partitions, and within them
     keyed = docs.withColumn("__h", F.sha2(F.coalesce("text", F.lit("")), 256))
     ordered = keyed.groupBy("doc_id", "__h").agg(F.count("*").alias("__n")).orderBy(F.col("doc_id").asc_nulls_last(), "__h")
-    numbered = cut(spark.createDataFrame(ordered.rdd.zipWithIndex().map(lambda r: (r[1], r[0][0], r[0][1], r[0][2])), "__k long, __id long, __h2 string, __n long"))
+    numbered = cut(ordered.select(F.monotonically_increasing_id().alias("__k"), F.col("doc_id").alias("__id"), F.col("__h").alias("__h2"), "__n"))
     texts = cut(keyed.dropDuplicates(["doc_id", "__h"]).join(numbered, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__h2"))).select(F.col("__k").alias("doc_id"), "text"))
     found = _keep(texts, length, gram).withColumnRenamed("doc_id", "__k").join(numbered, "__k")
     found = found.join(texts.select(F.col("doc_id").alias("__k"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("__size")), "__k")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import collections
+import hashlib
 import random
 import sys
 import time
@@ -455,9 +456,57 @@ def test_substrings(spark, docs, corpus, none):
 
 
 def test_substrings_odd_ids(spark):
-    rows = [(5, "p" * 130 + "q" * 30), (5, "p" * 130 + "q" * 30), (2, "r" + "p" * 119), (None, "q" * 10 + "p" * 140), (5, "short"), (5, "short")]
-    got = sorted(tuple(r) for r in substrings.digest(substrings.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"))).collect() if r.doc_id is not None)
-    assert len(got) == 5 and sum(r[2] == 160 for r in got) == 1 and sum(r[1:3] == (5, 0) for r in got) == 2
+    rows = [(5, "p" * 130 + "q" * 30), (5, "p" * 130 + "q" * 30), (2, "r" + "p" * 119), (None, "q" * 10 + "p" * 140), (5, "short"), (5, "short"), (None, "y" * 50 + "q" * 10 + "p" * 140), (None, None)]
+    got = sorted((tuple(r) for r in substrings.digest(substrings.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"))).collect()), key=repr)
+    order = sorted(rows, key=lambda r: (r[0] is None, r[0], hashlib.sha256((r[1] or "").encode()).hexdigest()))
+    want = [(r[0], *w) for r, w in zip(order, brute.substrings([r[1] for r in order]), strict=True)]
+    assert got == sorted(want, key=repr)
+
+
+def surroundings(rng, n=300):
+    """One phrase, longer or shorter than a window, in many surroundings, some of them equal in part."""
+    phrase, near = prose(rng, 14, 99), [prose(rng, 9, 99) for _ in range(12)]
+    return [rng.choice(near)[rng.randrange(60) :] + " " + phrase[: rng.choice([60, 90, 101, 130, 999])] + " " + rng.choice([*near, prose(rng, 6)]) for _ in range(n)]
+
+
+@pytest.mark.parametrize(("batch", "local", "chunk"), [(1 << 17, 256, 8192), (400, 4, 8192), (400, 1000, 8), (150, 2, 5), (37, 9, 11)])
+def test_substrings_split_grams(spark, monkeypatch, batch, local, chunk):
+    texts = surroundings(random.Random(batch + local))
+    defaults = list(substrings.covered_spans.__defaults__)
+    monkeypatch.setattr(substrings.covered_spans, "__defaults__", (defaults[0], batch, local, chunk))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: tuple(r)[1:] for r in substrings.digest(substrings.without_repeats(df)).collect()}
+    assert got == dict(enumerate(brute.substrings(texts)))
+
+
+def test_windows_are_told_apart_by_their_bytes(monkeypatch):
+    shape, texts = substrings.Shape(), surroundings(random.Random(1), 60)
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.cumsum([0, *(len(t.encode()) for t in texts)])
+    doc, start, count, anchor = substrings.runs_of(data, offsets, shape)
+    runs = substrings.Suffixes(substrings.keys_of(data, start, count, anchor, shape), doc, (start - offsets[doc]).astype("<u4"))
+    want = substrings.merged(*substrings.compare_windows(runs, shape)[0])
+    real = substrings.fingerprints
+    monkeypatch.setattr(substrings, "fingerprints", lambda *a: real(*a) & np.uint64(7))  # nearly all collide
+    got = substrings.merged(*substrings.compare_windows(runs, shape)[0])
+    assert len(want[0]) and all(np.array_equal(a, b) for a, b in zip(want, got, strict=True))
+
+
+def test_split_grams_do_not_fill_a_task(spark, monkeypatch):
+    """A phrase in very many surroundings: no part gets much more than the others."""
+    rng, written, real = random.Random(2), [], substrings.cut
+    phrase = prose(rng, 30, 99)
+    texts = [prose(rng, 12, 99) + " " + phrase + " " + prose(rng, 12, 99) for _ in range(6000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    met = collections.Counter()
+    monkeypatch.setattr(substrings, "cut", lambda table: written.append(real(table)) or written[-1])
+    found = substrings.covered_spans(df)[0].collect()
+    for r in written[0].filter(f"kind = {substrings.WINDOWS}").select("part", F.octet_length("docs").alias("n")).collect():
+        met[r.part] += r.n // 8  # windows that a task settles
+    assert found and sum(met.values()) > 100_000 and max(met.values()) < 2 * np.median(list(met.values()))
+    monkeypatch.undo()
+    rows = substrings.digest(substrings.without_repeats(df)).collect()
+    assert sorted(r.n_removed >= len(phrase.encode()) for r in rows) == [False] + [True] * 5999
 
 
 @pytest.mark.parametrize("seed", range(4))
@@ -471,15 +520,21 @@ def test_substrings_periodic(spark, seed):
 
 
 def test_family_levels_are_geometric():
-    family = substrings.Family()
-    rng = np.random.default_rng(0)
+    family, rng, shape = substrings.Family(), np.random.default_rng(0), substrings.Shape()
+    every = rng.integers(0, 256, (4000, shape.size)).astype(np.uint8)
+    every[:, -2:] = (0, 9)
+    met = np.zeros(4000, bool)
     for b in range(40):
-        c = rng.integers(0, 4000, 100).astype(np.uint64)
-        family.add(substrings.Level(c, c, np.full(100, b), np.arange(100, dtype=np.uint32), np.ones(100, np.uint32)))
-    sizes = [len(x.classes) for x in family.levels]
+        c = rng.integers(0, 4000, 100)
+        met[c] = True
+        array, spans = substrings.Suffixes.of_batch(substrings.Suffixes(every[c], np.full(100, b), np.arange(100, dtype=np.uint32)), shape.length)
+        family.covered.append(spans)
+        family.add(array)
+    sizes = [len(x.docs) for x in family.levels]
     assert all(a >= 2 * b for a, b in zip(sizes, sizes[1:], strict=False))
-    every = np.concatenate([x.classes for x in family.levels])
-    assert len(np.unique(every)) == len(every) and len(every) + sum(len(d) for d, _, _ in family.covered) == 4000
+    assert all((np.diff(np.unique(x.text, return_inverse=True)[1]) > 0).all() for x in family.levels)  # ordered by bytes
+    held = np.concatenate([x.text for x in family.levels])
+    assert len(np.unique(held)) == len(held) == met.sum() and len(held) + sum(len(d) for d, _, _ in family.covered) == 4000
 
 
 # 9
