@@ -2,7 +2,8 @@
 
 A window is a string of LENGTH bytes; its anchor is where its least GRAM-byte hash stands (the leftmost of equals), so
 equal windows have equal anchors at equal distances. Consecutive windows with one anchor form a run. The sparse suffix
-array of a batch holds one suffix for each run, the bytes from its anchor to the end of its last window, followed by
+array of a batch holds one suffix for each run whose gram anchors another one too (a bitmap of grams tells, which may
+say so of others as well; they then match nothing), the bytes from its anchor to the end of its last window, followed by
 the bytes that lead up to the anchor; it is sorted by those bytes. Arrays are dealt by the anchor's gram to parts, and
 each part keeps a family of levels: a new array is merge-scanned against every level, a run that both hold is covered
 where it stands later, and levels of similar size merge, so sizes grow geometrically.
@@ -38,6 +39,8 @@ LENGTH, GRAM = 100, 36
 SEGMENT, BATCH = 1 << 19, 1 << 17
 #: Bytes of text whose runs make up a part, about.
 PART_BYTES = 1 << 24
+#: Slots (2**BITS at most) of the bitmap of grams that anchor more than one run.
+BITS = 30
 #: Different surroundings of one gram that a batch sends as runs, and suffixes whose windows are compared at once.
 LOCAL, CHUNK = 256, 8192
 
@@ -79,10 +82,10 @@ def segments(column: pa.Array, length: int = LENGTH) -> Iterator[tuple[np.ndarra
 
 
 def runs_of(data: np.ndarray, offsets: np.ndarray, shape: Shape) -> tuple[np.ndarray, ...]:
-    """Text index, first window, number of windows and anchor of each run; places are those in ``data``."""
+    """Text index, first window, number of windows, anchor and the gram's hash of each run; places are those in ``data``."""
     n, width = len(data), shape.reach + 1
     if n < shape.length:
-        return (np.zeros(0, np.int64),) * 4
+        return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),)
     at = np.arange(n - shape.gram + 1)
     hashes = fingerprints(prefix_sums(data), at, at + shape.gram)
     least, size = (hashes >> np.uint64(_SLOTS) << np.uint64(_SLOTS)) | at.astype(np.uint64), 1
@@ -105,7 +108,7 @@ def runs_of(data: np.ndarray, offsets: np.ndarray, shape: Shape) -> tuple[np.nda
     starts = np.flatnonzero(opens & inside)
     doc = np.searchsorted(offsets, starts, side="right") - 1
     ends = np.minimum(np.append(starts[1:], n), offsets[doc] + room[doc])
-    return doc, starts, ends - starts, anchor[starts]
+    return doc, starts, ends - starts, anchor[starts], hashes[anchor[starts]]
 
 
 def keys_of(data: np.ndarray, starts: np.ndarray, counts: np.ndarray, anchors: np.ndarray, shape: Shape) -> np.ndarray:
@@ -275,17 +278,68 @@ def _entries(docs: bytes, starts: bytes, more: bytes, data: bytes, shape: Shape)
     return Suffixes(keys, np.frombuffer(docs, "<i8"), np.frombuffer(starts, "<u4"))
 
 
-def _parts(docs: DataFrame) -> int:
-    """A prime number of parts that hold about PART_BYTES of text each."""
-    n = max(7, -(-int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART_BYTES))
+def _parts(size: int) -> int:
+    """A prime number of parts for so many bytes of text, about PART_BYTES each."""
+    n = max(7, -(-size // PART_BYTES))
     while any(n % k == 0 for k in range(2, int(n**0.5) + 1)):
         n += 1
     return n
 
 
+def shared_grams(docs: DataFrame, shape: Shape, parts: int, bits: int) -> np.ndarray:
+    """A bitmap of 2**bits slots for anchors' gram hashes: set where a gram is the anchor of more than one run. Other slots hold no match."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def send() -> pa.RecordBatch:
+            grams, times = np.unique(np.concatenate(held), return_counts=True)
+            rows = [(_by_part((g >> np.uint64(8)).astype(np.int64) % parts, g), kind) for kind, g in enumerate((grams[times == 1], grams[times > 1]))]
+            columns = [np.concatenate([found for (found, _), _ in rows]), np.concatenate([np.full(len(found), kind, np.int32) for (found, _), kind in rows])]
+            return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array([b for (_, (blobs,)), _ in rows for b in blobs], pa.binary())], names=["part", "kind", "grams"])
+
+        for batch in batches:
+            for _, _, data, offsets in segments(batch.column(0), shape.length):
+                held.append(runs_of(data, offsets, shape)[-1])
+                size += len(held[-1])
+                if size >= 8 * BATCH:
+                    yield send()
+                    held, size = [], 0
+        if held:
+            yield send()
+        release()
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        once, twice = np.zeros(0, np.uint64), [np.zeros(0, np.uint64)]
+        for batch in batches:
+            lists: list[list[np.ndarray]] = [[], []]
+            for kind, blob in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                lists[kind].append(np.frombuffer(blob, np.uint64))
+            every = np.sort(np.concatenate([once, *lists[0], *lists[1]]))
+            twice = [np.unique(np.concatenate([*twice, *lists[1], every[1:][every[1:] == every[:-1]]]))]
+            once = np.unique(every)
+        yield pa.RecordBatch.from_arrays([pa.array([np.unique(twice[0] >> np.uint64(64 - bits)).astype("<u4").tobytes()], pa.binary())], names=["slots"])
+
+    def union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(1 << bits, bool)
+        for batch in batches:
+            for blob in batch.column(0).to_pylist():
+                out[np.frombuffer(blob, "<u4")] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(out).tobytes()], pa.binary())], names=["slots"])
+
+    sent = docs.select("text").mapInArrow(scan, "part int, kind int, grams binary").repartitionById(parts, "part")
+    bitmap = np.zeros(1 << (bits - 3), np.uint8)
+    for r in cut(sent.mapInArrow(settle, "slots binary")).coalesce(4).mapInArrow(union, "slots binary").toLocalIterator():  # 4 bitmaps of at most 2**BITS
+        bitmap |= np.frombuffer(r.slots, np.uint8)
+    return bitmap
+
+
 def covered_spans(docs: DataFrame, shape: Shape = Shape(), batch_runs: int = BATCH, local: int = LOCAL, chunk: int = CHUNK) -> tuple[DataFrame, int]:  # noqa: B008
     """Rows (part, docs, starts, ends) of spans that are covered by earlier windows, dealt by doc_id modulo the second value. ``docs``: unique non-null long doc_id, text."""
-    parts, length, gram = _parts(docs), shape.length, shape.gram
+    size_ = int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    parts, length, gram = _parts(size_), shape.length, shape.gram
+    bits = min(BITS, max(20, (size_ >> 4).bit_length()))
+    shared = docs.sparkSession.sparkContext.broadcast(shared_grams(docs, shape, parts, bits))
 
     def split(array: Suffixes, at: np.ndarray) -> Iterator[pa.RecordBatch]:
         """Windows of the keys at ``at``: those that stand earlier among them are covered, the others go on."""
@@ -309,11 +363,14 @@ def covered_spans(docs: DataFrame, shape: Shape = Shape(), batch_runs: int = BAT
             yield _entry_rows(array, _gram_hashes(array.keys[:, :gram]), parts, shape)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, size, bitmap = [], 0, shared.value
         for batch in batches:
             ids = np.asarray(batch.column(0)).astype("<i8")
             for rows, begin, data, offsets in segments(batch.column(1), length):
-                doc, start, count, anchor = runs_of(data, offsets, shape)
+                doc, start, count, anchor, grams = runs_of(data, offsets, shape)
+                slot = (grams >> np.uint64(64 - bits)).astype(np.int64)
+                again = np.flatnonzero(bitmap[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1)
+                doc, start, count, anchor = (v[again] for v in (doc, start, count, anchor))
                 if len(doc):
                     keys = keys_of(data, start, count, anchor, shape)
                     held.append((Suffixes(keys, ids[rows[doc]], (start - offsets[doc] + begin[doc]).astype("<u4")), doc))

@@ -483,7 +483,7 @@ def test_windows_are_told_apart_by_their_bytes(monkeypatch):
     shape, texts = substrings.Shape(), surroundings(random.Random(1), 60)
     data = np.frombuffer("".join(texts).encode(), np.uint8)
     offsets = np.cumsum([0, *(len(t.encode()) for t in texts)])
-    doc, start, count, anchor = substrings.runs_of(data, offsets, shape)
+    doc, start, count, anchor, _ = substrings.runs_of(data, offsets, shape)
     runs = substrings.Suffixes(substrings.keys_of(data, start, count, anchor, shape), doc, (start - offsets[doc]).astype("<u4"))
     want = substrings.merged(*substrings.compare_windows(runs, shape)[0])
     real = substrings.fingerprints
@@ -501,7 +501,7 @@ def test_split_grams_do_not_fill_a_task(spark, monkeypatch):
     met = collections.Counter()
     monkeypatch.setattr(substrings, "cut", lambda table: written.append(real(table)) or written[-1])
     found = substrings.covered_spans(df)[0].collect()
-    for r in written[0].filter(f"kind = {substrings.WINDOWS}").select("part", F.octet_length("docs").alias("n")).collect():
+    for r in written[1].filter(f"kind = {substrings.WINDOWS}").select("part", F.octet_length("docs").alias("n")).collect():
         met[r.part] += r.n // 8  # windows that a task settles
     assert found and sum(met.values()) > 100_000 and max(met.values()) < 2 * np.median(list(met.values()))
     monkeypatch.undo()
