@@ -107,6 +107,71 @@ def base_scores(rows):
     return {i: (len(ws), sum(count[w] > 0 for w in ws), n, sum(math.log10((count[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws)) for i, ws in tokens.items()}
 
 
+def tree_scores(rows, least, most, share, depth, divergence, discount):
+    """doc_id to the log10 probability of the text by a plain suffix tree: contexts are tuples of symbols, None is the end, 0 any rarer word."""
+    lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    tokens = {i: [*words((t or "").translate(lower)), None] for i, t in rows}
+    train = [ws for i, ws in tokens.items() if zlib.crc32(str(i).encode()) % 10]
+    count = collections.Counter(w for ws in train for w in ws)
+    mass = sum(count.values()) + 0.1 * (len(count) + 1)
+    while sum(c >= least for c in count.values()) > most:
+        least *= 2
+    symbols = {w for w, c in count.items() if c >= least} | {None}
+    sym = lambda w: w if w in symbols else 0
+    root = {w: (count[w] + 0.1) / mass for w in symbols}
+    root[0] = max(1 - sum(root.values()), 0.1 / mass)
+    rare = max(mass - sum(count[w] + 0.1 for w in symbols), 0.1)
+    levels, kept, shares, rest = [], set(), {}, {}
+
+    def probability(before, x):
+        p = root[x]
+        for k in range(1, depth + 1):
+            c = before[len(before) - k :] if len(before) >= k else None
+            if c in kept:
+                p = shares[c].get(x, 0.0) + rest[c] * p
+        return p
+
+    candidates = {(s,) for s in root}
+    for k in range(1, depth + 1):
+        follow = collections.defaultdict(collections.Counter)
+        for ws in train:
+            s = [None, *map(sym, ws)]
+            for i in range(k, len(s)):
+                if tuple(s[i - k : i]) in candidates:
+                    follow[tuple(s[i - k : i])][s[i]] += 1
+        low = max(2.0, least * share)
+        while sum(c >= low for f in follow.values() for c in f.values()) > most:
+            low *= 2
+        levels.append(candidates)
+        new, longer = set(), set()
+        for c in candidates:
+            total = max(sum(follow[c].values()), 1)
+            entries = {x: n for x, n in follow[c].items() if n >= low}
+            shares[c] = {x: max(n - discount, 0) / total for x, n in entries.items()}
+            rest[c] = max(1 - sum(shares[c].values()), 0)
+            short = {x: probability(c[1:], x) for x in entries}
+            gain = sum(n / total * math.log(n / total / short[x]) for x, n in entries.items())
+            left = max(1 - sum(entries.values()) / total, 0)
+            if left > 1e-12:
+                gain += left * math.log(left / max(1 - sum(short.values()), 1e-12))
+            if gain >= divergence and total >= least:
+                new.add(c)
+            longer |= {(*c, x) for x, n in entries.items() if n >= least and x is not None and (*c[1:], x) in candidates}
+        kept |= new
+        candidates = longer
+    for k in range(depth, 1, -1):
+        kept |= {c[1:] for c in kept if len(c) == k}
+
+    def score(ws):
+        s, total = [None, *map(sym, ws)], 0.0
+        for i, w in enumerate(ws, 1):
+            p = probability(tuple(s[max(0, i - depth) : i]), s[i])
+            total += math.log10(p * ((count[w] + 0.1) / rare if s[i] == 0 else 1.0))
+        return total
+
+    return {i: score(ws) for i, ws in tokens.items()}
+
+
 def targets(sizes, weights, most=3):
     out, free, rest = {}, dict(enumerate(sizes)), sum(sizes)
     while free:

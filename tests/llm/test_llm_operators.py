@@ -431,7 +431,7 @@ def test_tree_sums_to_one(spark):
     count = collections.Counter(w for t in train for w in t)
     n = sum(count.values())
     often = sorted((word_hash(w), c) for w, c in count.items() if w in ("a", "b", "c"))
-    tree = suffix_tree.grow(chunked, np.array([o[0] for o in often], np.uint64), np.array([o[1] for o in often]), count[None], n, len(count), parts)
+    tree = suffix_tree.grow(chunked, np.array([o[0] for o in often], np.uint64), np.array([o[1] for o in often]), count[None], n, len(count), parts, 2.0)
     assert tree.root.sum() == pytest.approx(1) and len(tree.levels) == 3
     for k, level in enumerate(tree.levels):
         for at in range(len(level.keys)):
@@ -441,9 +441,30 @@ def test_tree_sums_to_one(spark):
     pairs = collections.Counter((a, b) for t in train for a, b in zip([None, *t[:-1]], t, strict=True))
     sym = {w: i + 1 for i, w in enumerate(sorted(("a", "b", "c"), key=word_hash))} | {None: tree.size - 1}
     first = tree.levels[0]
-    for key, c in zip(first.entry_keys.tolist(), first.entry_counts.tolist(), strict=True):
+    for key, share in zip(first.entry_keys.tolist(), first.entry_shares.tolist(), strict=True):
         a, b = divmod(key, tree.size)
-        assert c == sum(m for (x, y), m in pairs.items() if sym.get(x, 0) == a and sym.get(y, 0) == b)
+        c, total = (sum(m for (x, y), m in pairs.items() if sym.get(x, 0) == a and (w is None or sym.get(y, 0) == w)) for w in (b, None))
+        assert share == pytest.approx((c - suffix_tree.DISCOUNT) / total)
+
+
+@pytest.mark.parametrize(("least", "most"), [(3, 1 << 20), (8, 1 << 20), (2, 12)])
+def test_suffix_tree_scores(spark, monkeypatch, least, most):
+    """Every score against a plain suffix tree; with few entries allowed, the least counts double."""
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join(words[(3 * i + k // 2 + (rng.random() < 0.3) * rng.randrange(40)) % 40] for k in range(rng.randrange(0, 70))) for i in range(90)] + ["", None, "W1 w2", "W1 w2"]
+    rows = list(enumerate(texts))
+    monkeypatch.setattr(suffix_tree, "LEAST", least)
+    for name in ("MAX_SYMBOLS", "MAX_ENTRIES"):
+        monkeypatch.setattr(suffix_tree, name, most)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in suffix_tree.score_documents(df).collect()}
+    want = brute.tree_scores(rows, least, most, suffix_tree.SHARE, suffix_tree.DEPTH, suffix_tree.DIVERGENCE, suffix_tree.DISCOUNT)
+    assert {i: round(r.score, 6) for i, r in got.items()} == {i: round(v, 6) for i, v in want.items()}
+    if most > 100:
+        assert sum(r.score for r in got.values() if r.held_out) > sum(r.base_score for r in got.values() if r.held_out)
+    twice = [r.score for r in suffix_tree.score_documents(df.unionByName(df)).collect()]
+    assert len(twice) == 2 * len(rows)
 
 
 # 8
