@@ -139,7 +139,7 @@ def import_gate(spark: SparkSession, folder: str) -> DataFrame:
     return found.groupBy(F.coalesce(gate["error_type"], F.lit("OK")).alias("outcome")).agg(F.count("*").alias("n"))
 
 
-@query("""WITH p AS (SELECT p_partkey AS person_id, 'u' || p_partkey AS linkedin_url, 'e' || (p_partkey % 900) AS email FROM part WHERE p_partkey < 1000), b AS (SELECT c_custkey AS row_id, 'u' || (c_custkey * 3) AS linkedin_url, 'e' || c_custkey AS email FROM customer),
+@query("""WITH p AS (SELECT p_partkey AS person_id, 'u' || p_partkey AS linkedin_url, 'e' || (p_partkey % 900) AS email FROM part), b AS (SELECT c_custkey AS row_id, 'u' || (c_custkey * 3) AS linkedin_url, 'e' || c_custkey AS email FROM customer),
 e AS (SELECT email, min(person_id) AS x FROM p GROUP BY email HAVING count(*) = 1)
 SELECT row_id, coalesce(p.person_id, e.x) AS person_id FROM b LEFT JOIN p ON b.linkedin_url = p.linkedin_url LEFT JOIN e ON b.email = e.email""")
 def person_resolution(spark: SparkSession, folder: str) -> DataFrame:
@@ -180,7 +180,7 @@ def targeted_repair(spark: SparkSession, folder: str) -> DataFrame:
     return merge.demote(rows, rows.filter("id % 10 = 0"), "id", "status", "REVIEW")
 
 
-@query("""WITH h AS (SELECT event_id, user_id AS company_id, event_type AS status, row_number() OVER (PARTITION BY user_id ORDER BY event_id)::INT AS attempt_count FROM events WHERE event_id % 2 = 0)
+@query("""WITH h AS (SELECT event_id, user_id AS company_id, event_type AS status, row_number() OVER (PARTITION BY user_id ORDER BY event_id)::INT AS attempt_count FROM events)
 SELECT company_id, count(*) AS n, max(attempt_count) AS attempts FROM (SELECT company_id, attempt_count FROM h UNION ALL SELECT c_custkey, coalesce(m, 0) + 1 FROM customer LEFT JOIN (SELECT company_id, max(attempt_count) AS m FROM h GROUP BY 1) ON company_id = c_custkey) GROUP BY 1""")
 def append_attempts(spark: SparkSession, folder: str) -> DataFrame:
     h = table(spark, folder, "events").select("event_id", F.col("user_id").alias("company_id"), F.col("event_type").alias("status"))

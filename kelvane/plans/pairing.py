@@ -12,7 +12,7 @@ from ..sources.tables import table
 from ._registry import query
 
 
-@query("""WITH p AS (SELECT p_partkey, p_brand, list_distinct(list_filter(string_split(p_name, ' '), lambda x: x <> '')) AS t FROM part WHERE p_size <= 12),
+@query("""WITH p AS (SELECT p_partkey, p_brand, list_distinct(list_filter(string_split(p_name, ' '), lambda x: x <> '')) AS t FROM part),
 j AS (SELECT a.p_partkey AS a, b.p_partkey AS b, round(CASE WHEN len(a.t) > 0 AND len(b.t) > 0 THEN len(list_intersect(a.t, b.t))::DOUBLE / len(list_distinct(list_concat(a.t, b.t))) ELSE 0 END, 6) AS jaccard FROM p a JOIN p b ON a.p_brand = b.p_brand AND a.p_partkey <> b.p_partkey)
 SELECT a, b, jaccard, place FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY jaccard DESC, b) AS place FROM j) WHERE place <= 3""")
 def name_jaccard_topk(spark: SparkSession, folder: str) -> DataFrame:
@@ -47,7 +47,7 @@ def _pairs(spark: SparkSession, folder: str) -> DataFrame:
 _SIM = "CASE WHEN c % 100 = k THEN 100.0 ELSE round((55 + 45) * (1.0 / 3), 2) END"
 
 
-@query(f"""WITH p AS (SELECT c_custkey AS c, s_suppkey AS k FROM customer JOIN supplier ON c_nationkey = s_nationkey WHERE c_custkey < 400),
+@query(f"""WITH p AS (SELECT c_custkey AS c, s_suppkey AS k FROM customer JOIN supplier ON c_nationkey = s_nationkey),
 s AS (SELECT c, k, {_SIM} AS sim, CASE WHEN c % 9 = 0 AND c % 100 = k THEN 100 ELSE 0 END + CASE WHEN c % 40 = k % 40 THEN 80 ELSE 0 END + CASE WHEN c % 60 = k % 60 THEN 60 ELSE 0 END AS base FROM p),
 t AS (SELECT c, k, least(base + CASE WHEN sim >= 95 THEN 55 WHEN sim >= 85 THEN 45 WHEN sim >= 70 THEN 30 WHEN sim >= 55 THEN 15 ELSE 0 END, 100)::DOUBLE AS score FROM s),
 b AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY score DESC, k) AS rn FROM t)
