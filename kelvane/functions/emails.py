@@ -42,7 +42,7 @@ def extract_emails(c: Column, ignored: Sequence[str] = IGNORED) -> Column:
 
 def mailto_emails(href: Column) -> Column:
     """Recipients of a mailto link; its query is ignored."""
-    return F.when(F.lower(href).startswith("mailto:"), extract_emails(F.regexp_replace(F.substring(href, 8, 1 << 20), r"\?.*$", ""))).otherwise(F.array().cast("array<string>"))
+    return F.when(F.lower(href).startswith("mailto:"), extract_emails(F.regexp_replace(F.regexp_replace(href, "(?i)^mailto:", ""), r"(?s)\?.*$", ""))).otherwise(F.array().cast("array<string>"))
 
 
 def on_domain(email: Column, site: Column) -> Column:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import ids
 from ..functions.text import squeeze
 from . import identity, merge
+from .relational import top_per_key
 
 RECORD = (
     "source string, external_id string, canonical_name string, registration_number string, tax_number string, address string, observed_at string, raw_json string, seq long, "
@@ -58,10 +59,14 @@ def ingest(records: DataFrame, tables: dict[str, DataFrame], keep: Callable[[Dat
     placed = identity.resolve_people(who, old["people"])
     own = ids.entity_key(F.coalesce("linkedin_url", "email", F.concat_ws("|", "company_id", F.lower("full_name"))))
     placed = keep(placed.withColumn("person_id", F.coalesce("person_id", own)))
-    one = placed.groupBy("person_id").agg(*[F.max(c).alias(c) for c in ("full_name", "email", "linkedin_url")])
+    # one person's columns come from one record: the one that says most, then the first by its values
+    said = F.struct(*[F.col(c).isNull().cast("int").alias(f"no_{c}") for c in ("linkedin_url", "email", "full_name")], *[F.coalesce(c, F.lit("")).alias(c) for c in ("full_name", "email", "linkedin_url")])
+    one = placed.groupBy("person_id").agg(F.min_by(F.struct("full_name", "email", "linkedin_url"), said).alias("p")).select("person_id", "p.*")
     people = merge.fill_blanks(old["people"], one, ["person_id"]).drop("conflicts")
-    roles = placed.select("company_id", "person_id", F.explode("roles").alias("r")).select("company_id", "person_id", "r.*").select(*old["roles"].columns).dropDuplicates(["company_id", "person_id", "role_type", "title", "source_role_id"])
-    shares = known.select("company_id", F.explode("ownership").alias("o")).select("company_id", "o.*").select(*old["ownership"].columns).dropDuplicates(["company_id", "source_share_id", "owner_raw_name"])
+    roles = placed.select("company_id", "person_id", F.explode("roles").alias("r")).select("company_id", "person_id", "r.*").select(*old["roles"].columns)
+    roles = _least(roles, ["company_id", "person_id", "role_type", "title", "source_role_id"])
+    shares = known.select("company_id", F.explode("ownership").alias("o")).select("company_id", "o.*").select(*old["ownership"].columns)
+    shares = _least(shares, ["company_id", "source_share_id", "owner_raw_name"])
     return {
         "companies": companies, "source_records": source_records, "observations": observations, "people": people,
         "roles": merge.coalescing_upsert(old["roles"], roles, ["company_id", "person_id", "role_type", "title", "source_role_id"]),
@@ -71,6 +76,11 @@ def ingest(records: DataFrame, tables: dict[str, DataFrame], keep: Callable[[Dat
     }
 
 
+def _least(rows: DataFrame, key: list[str]) -> DataFrame:
+    """One row of each key: the least by its other columns in turn."""
+    return top_per_key(rows, key, 1, *[F.col(c).asc_nulls_last() for c in rows.columns if c not in key])
+
+
 def import_statistics(outcomes: DataFrame, status: str) -> DataFrame:
     """One row: resolved, unresolved, duplicate and failed rows of an import."""
     s = F.col(status)

@@ -61,9 +61,9 @@ def fill_blanks(target: DataFrame, source: DataFrame, key: Sequence[str]) -> Dat
 
 
 def insert_new(target: DataFrame, source: DataFrame, key: Sequence[str], order: str | None = None) -> DataFrame:
-    """Target and those source rows whose key it lacks, one for each key: insert or ignore."""
+    """Target and those source rows whose key it lacks, one for each key: insert or ignore. Without ``order`` the least row of a key is taken, by its columns in turn."""
     key = list(key)
-    fresh = top_per_key(source, key, 1, F.col(order).asc()) if order else source.dropDuplicates(key)
+    fresh = top_per_key(source, key, 1, *([F.col(order).asc()] if order else [F.col(c).asc() for c in source.columns if c not in key] or [F.lit(1)]))
     return target.unionByName(fresh.join(target.select(key), key, "left_anti").select(*target.columns))
 
 
@@ -82,7 +82,7 @@ def insert_active(tasks: DataFrame, new: DataFrame, key: Sequence[str], active:
 
 def back_fill(records: DataFrame, found: DataFrame, key: Sequence[str], column: str) -> DataFrame:
     """``records`` with a null column filled from ``found`` (key, column)."""
-    other = found.select(*key, F.col(column).alias("__found")).dropDuplicates(list(key))
+    other = found.groupBy(*key).agg(F.min(column).alias("__found"))
     return records.join(other, list(key), "left").withColumn(column, F.coalesce(F.col(column), F.col("__found"))).drop("__found").select(*records.columns)
 
 

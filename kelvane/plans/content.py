@@ -27,7 +27,7 @@ SCOPES = (("http://ththre.example.com/fr/",), ("https://blog.tionsh.example.net/
 CASE WHEN regexp_matches(upper(regexp_replace(substr(c_name, 10), '\s', '', 'g')), '^[0-9]+$') THEN upper(regexp_replace(substr(c_name, 10), '\s', '', 'g')) END AS identifier FROM customer""")
 def normalize_identifier_cols(spark: SparkSession, folder: str) -> DataFrame:
     c = F.col("c_name")
-    return table(spark, folder, "customer").select("c_custkey", ids.digits(c).alias("registration_number"), ids.person_name(c).alias("person_name"), ids.strict_identifier(F.substring(c, 10, 100)).alias("identifier"))
+    return table(spark, folder, "customer").select("c_custkey", ids.digits(c).alias("registration_number"), ids.person_name(c).alias("person_name"), ids.strict_identifier(F.substring(c, F.lit(10), F.length(c))).alias("identifier"))
 
 
 @query("SELECT doc_id, md5(trim(regexp_replace(strip_accents(lower(text)), '[^a-z0-9]+', ' ', 'g'))) AS folded FROM documents")

@@ -1,11 +1,13 @@
 """Snapshots: a table is a folder of versions and a pointer to the current one.
 
-A version is written whole, checked, and then named by an empty marker file, which a store creates atomically; a
-reader takes the highest named version. A failed writer leaves an unnamed folder that nobody reads.
+A version is written whole into a folder of its own, checked, and then named by a marker file, which a store creates
+atomically and which holds the folder's name; a reader takes the highest named version. So writers never touch one
+another's files, and a failed one leaves an unnamed folder that nobody reads.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,14 +30,19 @@ class Snapshots:
 
     def read(self, version: int | None = None) -> DataFrame | None:
         known = self.versions()
-        return self.spark.read.parquet(f"{self.path}/v{known[-1] if version is None else version}") if known else None
+        return self.spark.read.parquet(f"{self.path}/{self._folder(known[-1] if version is None else version)}") if known else None
+
+    def _folder(self, version: int) -> str:
+        return self.spark.read.text(f"{self.path}/v{version}.done").first().value
 
     def publish(self, df: DataFrame, check: Callable[[DataFrame], None] | None = None) -> int:
         """Write the next version; ``check`` raises to reject what was written. Only one of two writers of a version wins."""
-        n = (self.versions() or [0])[-1] + 1
-        df.write.mode("overwrite").parquet(f"{self.path}/v{n}")
+        n, folder = (self.versions() or [0])[-1] + 1, uuid.uuid4().hex
+        df.write.parquet(f"{self.path}/{folder}")
         if check:
-            check(self.spark.read.parquet(f"{self.path}/v{n}"))
+            check(self.spark.read.parquet(f"{self.path}/{folder}"))
         fs, path = self._fs()
-        fs.create(path(f"{self.path}/v{n}.done"), False).close()
+        marker = fs.create(path(f"{self.path}/v{n}.done"), False)  # fails where another writer was first
+        marker.write(bytearray(folder.encode()))
+        marker.close()
         return n
