@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import urls
+
 
 def latest_per_key(df: DataFrame, key: str | Sequence[str], *order: str | Column) -> DataFrame:
     """The row with the greatest order in each key; ties need a further order column to be decided."""
@@ -140,3 +142,23 @@ def manifest(ids: DataFrame, source: DataFrame, key: str, position: str) -> Data
     """Source rows of the wanted ids in their order; ``missing`` is true where there is none."""
     found = source.withColumn("__there", F.lit(True))
     return ids.join(found, key, "left").withColumn("missing", F.col("__there").isNull()).drop("__there").orderBy(position)
+
+
+def active(df: DataFrame, current: str = "is_current", until: str = "valid_to") -> DataFrame:
+    """Rows that are current and have no end."""
+    return df.filter((F.col(current).cast("int") == 1) & F.col(until).isNull())
+
+
+def page_after(df: DataFrame, key: str, after, n: int) -> DataFrame:
+    """The next ``n`` rows by ``key`` after a given one: the key's bound is pushed to the scan, and no row before it is read again."""
+    return df.filter(F.col(key) > F.lit(after)).orderBy(key).limit(n)
+
+
+def home_first(link: Column, ending: str = ".si") -> list[Column]:
+    """Sort keys that put links to hosts with an ending first; what follows them keeps its order."""
+    return [urls.domain(link).endswith(ending).desc()]
+
+
+def without_columns(df: DataFrame, *hidden: str) -> DataFrame:
+    """All columns but the hidden ones; names that are not there do not matter."""
+    return df.select(*[c for c in df.columns if c not in hidden])
