@@ -59,6 +59,16 @@ def observations(df: DataFrame, key: str, body: str, ignored=emails.IGNORED) ->
     return df.select(key, F.explode(F.concat(*parts)).alias("o")).select(key, "o.*")
 
 
+def incidental(df: DataFrame, key: str, body: str, company_name: str, tax: str, registration: str) -> DataFrame:
+    """(key, kind, value): a text that names the company or one of its numbers is an identity mention, and any text that is not blank a description; neither asserts anything."""
+    from .ownership import entity_context
+
+    said = F.coalesce(F.col(body), F.lit(""))
+    named = entity_context(said, F.col(company_name), F.col(tax), F.col(registration))
+    kinds = F.array_compact(F.array(F.when(named, "COMPANY_IDENTITY"), F.when(F.trim(F.regexp_replace(said, r"\s+", " ")) != "", "BUSINESS_DESCRIPTION")))
+    return df.select(key, F.explode(kinds).alias("kind"), said.alias("value"))
+
+
 def exclude_identifiers(candidates: DataFrame, known: DataFrame, key: str) -> DataFrame:
     """Phone candidates whose digits are a known identifier (key, kind, value) of the same company become exclusions."""
     digits = F.regexp_replace(F.substring_index(F.col("value"), ";", 1), r"\D", "")

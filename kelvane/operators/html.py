@@ -140,7 +140,7 @@ def _objects(value: object) -> Iterator[dict]:
 
 
 def json_ld(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """(key, kind, name, url): organisations, and publishers of WebSite objects, at any depth of a page's ld+json scripts."""
+    """(key, position, kind, name, url): organisations, and publishers of WebSite objects, at any depth of a page's ld+json scripts."""
     kind = pages.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,10 +157,10 @@ def json_ld(pages: DataFrame, key: str, html: str) -> DataFrame:
                         types = [types] if isinstance(types, str) else types
                         name = lambda x: str(x.get("legalName") or x.get("name") or "")
                         if any(t in ORGANISATIONS for t in types):
-                            rows.append({key: k, "kind": "ORGANIZATION", "name": name(o), "url": str(o.get("url") or "")})
+                            rows.append({key: k, "position": len(rows), "kind": "ORGANIZATION", "name": name(o), "url": str(o.get("url") or "")})
                         if "WebSite" in types and isinstance(o.get("publisher"), dict):
-                            rows.append({key: k, "kind": "PUBLISHER", "name": name(o["publisher"]), "url": str(o.get("url") or "")})
-            schema = pa.schema([(key, batch.schema.field(0).type), ("kind", pa.string()), ("name", pa.string()), ("url", pa.string())])
+                            rows.append({key: k, "position": len(rows), "kind": "PUBLISHER", "name": name(o["publisher"]), "url": str(o.get("url") or "")})
+            schema = pa.schema([(key, batch.schema.field(0).type), ("position", pa.int32()), ("kind", pa.string()), ("name", pa.string()), ("url", pa.string())])
             yield from pa.Table.from_pylist(rows, schema=schema).to_batches()
 
-    return pages.select(key, html).mapInArrow(run, f"`{key}` {kind}, kind string, name string, url string")
+    return pages.select(key, html).mapInArrow(run, f"`{key}` {kind}, position int, kind string, name string, url string")

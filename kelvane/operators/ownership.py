@@ -75,6 +75,32 @@ def page_signals(company: dict[str, Column], url: Column, title: Column, visible
     return F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in flags.items()]))
 
 
+#: What says in folded text who runs a site, as a fixed value; the company's folded name follows.
+OPERATED = r"(?:website (?:is )?(?:operated|owned) by|upravljavec (?:spletne strani|spletnega mesta))\s*[:\-]?\s*"
+
+
+def page_facts(pages: DataFrame, key: str = "page_id") -> DataFrame:
+    """``pages`` (one row for each key) with page_type, operator_match, operator_scope, group_context, legal_conflict and site_brand_match.
+
+    Columns: company_name, page_url, page_title, visible, html, policy. A page's operator is named by a statement in its
+    text, or as the publisher of a WebSite object in whose scope the page lies; that object's address is the scope (the
+    last one's, of several). An Organization object alone names nobody's operator.
+    """
+    from .html import json_ld
+
+    c, visible = F.col, text.fold(F.col("visible"))
+    told = json_ld(pages, key, "html").filter("kind = 'PUBLISHER' and url <> ''").join(pages.select(key, "company_name", "page_url"), key)
+    told = told.filter(text.contains_name(c("name"), c("company_name")) & urls.in_scope(c("page_url"), c("url")))
+    scopes = told.groupBy(key).agg(F.max_by("url", "position").alias("__scope"))
+    kind = page_type(c("page_url"), c("policy"), c("page_title"), c("visible"))
+    stated = F.rlike(visible, F.concat(F.lit(OPERATED), text.core_name(c("company_name")), F.lit(r"\b")))
+    out = pages.join(scopes, key, "left").withColumn("page_type", kind)
+    return out.select(
+        *pages.columns, "page_type", (c("__scope").isNotNull() | stated).alias("operator_match"), F.coalesce("__scope", F.lit("")).alias("operator_scope"), ((c("page_type") == "GROUP") | any_in(visible, GROUP_BODIES)).alias("group_context"),
+        text.legal_conflict(c("page_title"), c("company_name")).alias("legal_conflict"), text.contains_name(c("page_title"), c("company_name")).alias("site_brand_match"),
+    )
+
+
 def evaluate_ownership(pages: DataFrame, key: str = "company_id") -> DataFrame:
     """(key, status, relationship, scope, reason) from a company's pages.
 

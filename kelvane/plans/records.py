@@ -259,6 +259,27 @@ def contact_blocks(spark: SparkSession, folder: str) -> DataFrame:
     return html.blocks(_page(spark), "id", "html").select("id", F.element_at("headings", 1).alias("heading"), "visible_email")
 
 
+@query("""SELECT * FROM (VALUES (1, 'COMPANY_PAGE', true, 'https://alfa.si/', false, false, true), (2, 'COMPANY_PAGE', true, '', false, false, false), (3, 'GROUP', false, '', true, false, false), (4, 'COMPANY_PAGE', false, '', true, true, true), (5, 'THIRD_PARTY', false, '', false, false, false), (6, 'COMPANY_PAGE', false, '', false, false, true)) t(page_id, page_type, operator_match, operator_scope, group_context, legal_conflict, site_brand_match)""")
+def page_operators(spark: SparkSession, folder: str) -> DataFrame:
+    """A publisher in scope, a statement, a group's path, another legal form beside a group's words, a listing, and an organisation that is no publisher."""
+    site = '<script type="application/ld+json">{"@type": "WebSite", "url": "%s", "publisher": {"name": "ALFA d.o.o."}}</script>'
+    firm = '<script type="application/ld+json">{"@type": "Organization", "name": "ALFA d.o.o."}</script>'
+    rows = [
+        (1, "https://alfa.si/kontakt", "ALFA", "", site % "https://alfa.si/", None), (2, "https://splet.si/a", "x", "Upravljavec spletne strani: ALFA, d.o.o., Kranj", site % "https://drugje.si/", None), (3, "https://x.si/skupina/a", "x", "", None, None),
+        (4, "https://alfa.si/", "ALFA d.d.", "Podjetja v skupini", "", None), (5, "https://y.si/", "x", "", "", "BLOCK_AS_OFFICIAL"), (6, "https://alfa.si/", "ALFA", "nekaj", firm, None),
+    ]
+    pages = spark.createDataFrame([(*r, "ALFA d.o.o.") for r in rows], "page_id int, page_url string, page_title string, visible string, html string, policy string, company_name string")
+    return ownership.page_facts(pages).select("page_id", "page_type", "operator_match", "operator_scope", "group_context", "legal_conflict", "site_brand_match")
+
+
+@query("""SELECT * FROM (VALUES (1, 'COMPANY_IDENTITY'), (1, 'BUSINESS_DESCRIPTION'), (2, 'BUSINESS_DESCRIPTION'), (3, 'COMPANY_IDENTITY'), (3, 'BUSINESS_DESCRIPTION'), (5, 'BUSINESS_DESCRIPTION')) t(id, kind)""")
+def incidental_observations(spark: SparkSession, folder: str) -> DataFrame:
+    """The name, another text, a number, blanks, and a name inside an address only."""
+    texts = ["O podjetju ALFA d.o.o.", "Izdelujemo okna", "ID za DDV: SI12345678", " \n ", "info@alfa.si"]
+    df = spark.createDataFrame([(i, t, "ALFA d.o.o.", "SI12345678", None) for i, t in enumerate(texts, 1)], "id int, t string, n string, tax string, reg string")
+    return extract.incidental(df, "id", "t", "n", "tax", "reg").select("id", "kind")
+
+
 _DETAIL = """<div id="accordianBody1"><div class="row"><span class="text-thin">Firma</span><b>ALFA d.o.o.</b></div><div class="row"><span class="text-thin">Matična številka</span><b>7654321 000</b></div>
 <div class="row"><span class="text-thin">Status subjekta</span><b>vpisan</b></div><div class="row"><span class="text-thin">Osnovni kapital</span><b>ni vpisa</b></div></div>
 <div id="accordianBody3"><div class="matchHeight"><div class="row"><span class="text-thin">Osebno ime</span><b>Oseba Ena</b></div><div class="row"><span class="text-thin">Vrsta zastopnika</span><b>direktor</b></div><div class="row"><span class="text-thin">Naslov</span><b>Doma 1</b></div><div class="row"><span class="text-thin">Datum podelitve pooblastila</span><b>1.2.2020</b></div></div></div>
