@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -25,13 +26,39 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_WRITTEN: list[str] = []  # tables of this process that are still there
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: lineage ends there and sizes become known."""
+    """Write ``df`` as a table in the shared folder and read it back: lineage ends there and sizes become known. The table goes when the process ends."""
     path = f"{shared_dir(df.sparkSession)}/kelvane/{uuid.uuid4().hex}"
+    if not _WRITTEN:
+        atexit.register(_drop, df.sparkSession, _WRITTEN)
+    _WRITTEN.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written() -> int:
+    """How many tables of this process are there."""
+    return len(_WRITTEN)
+
+
+def settled(spark: SparkSession, make: Callable[[], DataFrame], since: int) -> DataFrame:
+    """``cut`` of what ``make`` gives. Tables beyond the first ``since`` that were written before it are removed: the caller's own, that nothing needs now."""
+    out = cut(make())
+    _drop(spark, _WRITTEN[since:-1])
+    del _WRITTEN[since:-1]
+    return out
+
+
+def _drop(spark: SparkSession, paths: list[str]) -> None:
+    with contextlib.suppress(Exception):  # at the end of a process the session may be gone before its tables
+        for path in paths:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
