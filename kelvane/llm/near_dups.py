@@ -4,10 +4,13 @@ A text is the multiset of its five-word shingles (of one shingle, where it has f
 a shingle is an element of its own with the shingle's inverse document frequency as weight, so the similarity of
 two texts is the weighted Jaccard similarity of their TF-IDF vectors. Improved consistent weighted sampling draws
 64 samples of each text; bands of four samples make buckets. In every bucket each text is verified against the
-smallest; where that leaves texts of one family (all that met one smallest text) in different components, all its
-pairs are compared exactly, block by block, inside tasks that return only the links that join components. So
-buckets have no cap and no pairs of a large group are written out. Classes are the connected components of
-verified links of 0.8 or more.
+smallest. Where that leaves texts of one family (all that met one smallest text) in different components, a prefix
+filter finds the texts that can still have a link to another component: with elements in one order, rarest first, two
+texts of similarity t share an element among those that come before a share of 1 - t of either text's weight is
+passed. These texts, but for the family's largest component, are compared with all such texts of the family, block by
+block, inside tasks that return only the links that join components. So buckets have no cap, no pairs of a large
+group are written out, and texts of a family that have nothing rare in common are not compared at all. Classes are
+the connected components of verified links of 0.8 or more.
 
 Document frequencies are counted over all documents in a table of 2**18 hashed counters, less the counters' median
 (what rare shingles add by chance). The weight is (1 + ln((N + 1) / (df + 1)) / ln(N + 1)) / 2: from 1 for a rare
@@ -34,7 +37,7 @@ from ._text import Words, mix, pieces
 SHINGLE, THRESHOLD = 5, 0.8
 SAMPLES, BAND = 64, 4
 COUNTERS = 18
-#: Texts of a block when a family is compared whole.
+#: Texts of a block or slice of a family when its texts are compared.
 BLOCK = 140
 
 _SALT = np.uint64(0x9E3779B97F4A7C15)
@@ -69,7 +72,6 @@ class Elements:
         self.keys = mix(shingles + nth.astype(np.uint64) * _SALT)
         self.first = np.searchsorted(doc, np.arange(n + 1))
 
-
     @staticmethod
     def of(column: pa.Array) -> Elements:
         """Of a whole column, taken in pieces."""
@@ -165,13 +167,13 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
                 old = held.setdefault(slot, [np.zeros(part, np.int64), 0])
                 old[0] += np.frombuffer(blob, "<u4")
                 old[1] += n
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([v[0].astype("<u4").tobytes() for v in held.values()], pa.binary()), pa.array([v[1] for v in held.values()], pa.int64())], names=["slot", "blob", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([v[0].astype("<i8").tobytes() for v in held.values()], pa.binary()), pa.array([v[1] for v in held.values()], pa.int64())], names=["slot", "blob", "n"])
 
     schema = "slot int, blob binary, n long"
     found = docs.select("text").mapInArrow(count, schema)
     counts, n = np.zeros(size, np.int64), 0
     for r in found.repartition(16, "slot").mapInArrow(add, schema).collect():  # 16 blobs of a fixed size
-        counts[r.slot * part : (r.slot + 1) * part] += np.frombuffer(r.blob, "<u4")
+        counts[r.slot * part : (r.slot + 1) * part] += np.frombuffer(r.blob, "<i8")
         n += r.n
     return counts, n
 
@@ -191,10 +193,10 @@ def intersections(a: Elements, b: Elements, idf: np.ndarray) -> np.ndarray:
     return common / np.maximum(weight[0] + weight[1] - common, 1e-12)
 
 
-def all_similarities(e: Elements, idf: np.ndarray, columns: int = 4096) -> np.ndarray:
-    """Weighted Jaccard similarities of all pairs of the texts of ``e``."""
-    n, weight = len(e.first) - 1, idf[e.counter].astype(np.float64)
-    total, common = np.bincount(e.doc, weight, minlength=n), np.zeros((n, n))
+def similarities(e: Elements, idf: np.ndarray, right: np.ndarray, columns: int = 4096) -> np.ndarray:
+    """Weighted Jaccard similarities of the texts of ``e`` that are not ``right`` (rows) with those that are (columns)."""
+    n, weight = len(right), idf[e.counter].astype(np.float64)
+    total, common = np.bincount(e.doc, weight, minlength=n), np.zeros((n - right.sum(), right.sum()))
     _, feature, times = np.unique(e.keys, return_inverse=True, return_counts=True)
     shared = np.flatnonzero(times[feature] > 1)
     renamed, feature = np.unique(feature[shared], return_inverse=True)
@@ -204,8 +206,22 @@ def all_similarities(e: Elements, idf: np.ndarray, columns: int = 4096) -> np.nd
         a, b = np.searchsorted(feature, (i, i + columns))
         part = np.zeros((n, min(columns, len(renamed) - i)), np.float32)
         part[e.doc[shared[a:b]], feature[a:b] - i] = np.sqrt(weight[shared[a:b]])
-        common += part @ part.T
-    return common / np.maximum(total[:, None] + total[None, :] - common, 1e-12)
+        common += part[~right] @ part[right].T
+    return common / np.maximum(total[~right][:, None] + total[right][None, :] - common, 1e-12)
+
+
+def prefixes(e: Elements, idf: np.ndarray, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
+    """(text, key) of the elements, rarest first, that no more than a share of 1 - ``threshold`` of the text's weight precedes.
+
+    Texts of that similarity have the first of their common elements there: what precedes it is in one of them only.
+    """
+    weight = idf[e.counter].astype(np.float64)
+    order = np.lexsort((e.keys, -weight, e.doc))
+    doc, weight = e.doc[order], weight[order]
+    passed = np.append(0.0, np.cumsum(weight))
+    total = passed[e.first[1:]] - passed[e.first[:-1]]
+    early = passed[:-1] - passed[e.first[doc]] <= (1 - threshold + 1e-6) * total[doc]  # with room for rounding
+    return doc[early], e.keys[order][early]
 
 
 def text_classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
@@ -267,18 +283,14 @@ def text_classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFra
     classes = cut(connected_components(links))
 
     # families whose texts, but for the smallest, are still in several components: their pairs were not all compared
-    placed = family.join(classes, family["tid"] == classes["node"], "left").select("leader", "tid", F.coalesce("root", "tid").alias("root"))
-    open_ = placed.groupBy("leader").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).filter("low <> high").select("leader", "n")
-    open_ = cut(open_)
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = placed.join(open_, "leader").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("tid"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("leader", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "tid", "root").join(bodies, "tid")
+    placed = cut(family.join(classes, family["tid"] == classes["node"], "left").select("leader", "tid", F.coalesce("root", "tid").alias("root")))
+    open_ = cut(placed.groupBy("leader").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("leader"))
+    dealt = deal(placed.join(open_, "leader"), bodies, shared_idf, threshold)
 
     def compare(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("tid")
-        tids, roots, block = rows.column("tid").to_pylist(), rows.column("root").to_pylist(), np.asarray(rows.column("block"))
-        near = all_similarities(Elements.of(rows.column("text").combine_chunks()), shared_idf.value) >= threshold - 1e-9
+        tids, roots, right = rows.column("tid").to_pylist(), rows.column("root").to_pylist(), rows.column("right").to_numpy()
+        near = similarities(Elements.of(rows.column("text").combine_chunks()), shared_idf.value, right) >= threshold - 1e-9
         up = {r: r for r in roots}
 
         def top(x: bytes) -> bytes:
@@ -287,9 +299,10 @@ def text_classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFra
             return x
 
         a, b = [], []
-        across = rows.column("i")[0].as_py() != rows.column("j")[0].as_py()
-        for x, y in np.argwhere(np.triu(near, 1)).tolist():
-            if (not across or block[x] != block[y]) and (p := top(roots[x])) != (q := top(roots[y])):
+        rows_, columns = np.flatnonzero(~right), np.flatnonzero(right)
+        at = np.argwhere(near)
+        for x, y in zip(rows_[at[:, 0]].tolist(), columns[at[:, 1]].tolist(), strict=True):
+            if (p := top(roots[x])) != (q := top(roots[y])):
                 up[p] = q
                 a.append(tids[x])
                 b.append(tids[y])
@@ -301,6 +314,42 @@ def text_classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFra
     return signed.select("doc_id", "tid"), classes
 
 
+def deal(members: DataFrame, bodies: DataFrame, idf, threshold: float = THRESHOLD) -> DataFrame:
+    """Texts to compare in each group (leader, i, j): those of block i outside their family's largest component, with those (``right``) of slice j of the family.
+
+    ``members`` (leader, tid, root) are the families, ``bodies`` (tid, text) their texts, ``idf`` the broadcast weights.
+    Only texts stay that share an element of their prefixes with a text of another component.
+    """
+
+    def early(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, d, o in pieces(batch.column(2)):
+                doc, keys = prefixes(Elements(d, o), idf.value, threshold)
+                part = batch.slice(i, j - i).select([0, 1]).take(pa.array(doc))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(keys.view(np.int64))], names=["tid", "root", "key"])
+
+    texts = members.select("tid", "root").distinct().join(bodies, "tid").select("tid", "root", "text")
+    found = cut(texts.mapInArrow(early, "tid binary, root binary, key long"))
+    across = cut(found.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key"))
+    able = cut(found.join(across, "key").select("tid").distinct())
+    members = cut(members.join(able, "tid"))
+    sizes = members.groupBy("leader", "root").agg(F.count("*").alias("n")).groupBy("leader")
+    sizes = sizes.agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("largest")).filter("n > largest.n")
+    blocks, slices = F.ceil((F.col("n") - F.col("largest.n")) / BLOCK).cast("int"), F.ceil(F.col("n") / BLOCK).cast("int")
+    sizes = cut(sizes.select("leader", F.col("largest.root").alias("largest"), blocks.alias("blocks"), slices.alias("slices")))
+    members = members.join(sizes, "leader")
+
+    def one_of(count: str):
+        return F.pmod(F.xxhash64("tid"), F.col(count)).cast("int")
+
+    def each_of(count: str):
+        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+
+    left = members.filter("root <> largest").select("leader", one_of("blocks").alias("i"), each_of("slices").alias("j"), F.lit(False).alias("right"), "tid", "root")
+    right = members.select("leader", each_of("blocks").alias("i"), one_of("slices").alias("j"), F.lit(True).alias("right"), "tid", "root")
+    return left.unionByName(right).join(bodies, "tid")
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id and class_id of each row: the smallest doc_id of its class."""
     rows, classes = text_classes(docs, threshold)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import itertools
 import random
 import sys
 import time
@@ -584,11 +585,50 @@ def test_families_are_compared_whole(spark):
     texts = [base, *arms, *[edited(rng, a, 1) for a in arms for _ in range(6)]]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
     got = {r.doc_id: r.class_id for r in near_dups.near_duplicates(df).collect()}
-    want = brute.near_classes(texts)
-    wrong = [i for i in got if got[i] != want[i]]
-    bags = brute.weighted(texts)
-    close = sum(abs(brute.jaccard(a, b) - 0.8) < 2e-3 for k, a in enumerate(bags) for b in bags[:k])
-    assert not wrong or close
+    # weights come from hashed counters, so a similarity may differ from the plain one by a little
+    sure, possible = brute.near_classes(texts, 0.802), brute.near_classes(texts, 0.798)
+    assert len(set(sure)) < len(texts)
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        assert sure[i] != sure[j] or got[i] == got[j]
+        assert got[i] != got[j] or possible[i] == possible[j]
+
+
+def elements_of(texts):
+    raw = [t.encode() for t in texts]
+    return near_dups.Elements(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0] + [len(r) for r in raw]))
+
+
+def test_similar_texts_share_a_prefix_element():
+    rng = random.Random(12)
+    base = prose(rng, 80)
+    texts = [edited(rng, base, rng.randrange(5)) for _ in range(40)] + ["", "one", "a b a b a b a b a b a b"]
+    e = elements_of(texts)
+    idf = (0.5 + np.random.default_rng(1).random(1 << near_dups.COUNTERS) / 2).astype(np.float32)
+    doc, keys = near_dups.prefixes(e, idf)
+    early = [set(keys[doc == i].tolist()) for i in range(len(texts))]
+    half = np.arange(len(texts)) % 2 == 0
+    near = near_dups.similarities(e, idf, half)
+    seen = 0
+    for (x, i), (y, j) in itertools.product(enumerate(np.flatnonzero(~half)), enumerate(np.flatnonzero(half))):
+        if near[x, y] >= 0.8:
+            seen += 1
+            assert early[i] & early[j]
+    assert seen > 20
+    assert sum(map(len, early[:40])) < len(e.keys) / 3
+
+
+def test_a_family_without_links_is_not_compared(spark):
+    """Texts that share two thirds with each other, and nothing rare, go to no block; one copy of one brings two texts there."""
+    rng = random.Random(13)
+    base = prose(rng, 60)
+    texts = [base + " " + " ".join(f"own{i}x{k}" for k in range(30)) for i in range(600)]
+    idf = spark.sparkContext.broadcast(near_dups.inverse_frequencies(*near_dups.document_frequencies(spark.createDataFrame([(t,) for t in texts], "text string"))))
+    for more in ([], [edited(rng, texts[5], 1)]):
+        rows = [(b"all", b"%d" % i, b"%d" % i, t) for i, t in enumerate(texts + more)]
+        df = spark.createDataFrame(rows, "leader binary, tid binary, root binary, text string")
+        dealt = near_dups.deal(df.select("leader", "tid", "root"), df.select("tid", "text"), idf).collect()
+        assert {bytes(r.tid) for r in dealt} == ({b"5", b"600"} if more else set())
+        assert len(dealt) == 3 * len(more)
 
 
 def test_sampling_estimates_weighted_jaccard():
