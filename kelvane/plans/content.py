@@ -30,12 +30,17 @@ def normalize_identifier_cols(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "customer").select("c_custkey", ids.digits(c).alias("registration_number"), ids.person_name(c).alias("person_name"), ids.strict_identifier(F.substring(c, F.lit(10), F.length(c))).alias("identifier"))
 
 
-@query("SELECT doc_id, md5(trim(regexp_replace(strip_accents(lower(text)), '[^a-z0-9]+', ' ', 'g'))) AS folded FROM documents")
+def _folded(c: str) -> str:
+    return f"trim(regexp_replace(strip_accents(lower({c})), '[^a-z0-9]+', ' ', 'g'))"
+
+
+@query(f"SELECT doc_id, md5({_folded('text')}) AS folded FROM documents")
 def fold_text(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select("doc_id", F.md5(text.fold(F.col("text"))).alias("folded"))
 
 
-@query()
+# the same SQL: letters of Latin alphabets and their accents fold alike in both forms
+@query(f"SELECT doc_id, md5({_folded('text')}) AS folded FROM documents")
 def fold_text_exact(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select("doc_id", F.md5(text.fold_exact(F.col("text"))).alias("folded"))
 
@@ -131,12 +136,15 @@ def html_social_links(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "pages").select("page_id", *extract.social_links(F.col("html")))
 
 
-@query(r"""SELECT page_id, length(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<!--.*?-->', ' ', 'g'), '(?is)<script\b[^>]*>.*?</script\s*>', ' ', 'g'), '(?is)<style\b[^>]*>.*?</style\s*>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))) AS visible_chars FROM pages""")
+_VISIBLE = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<!--.*?-->', ' ', 'g'), '(?is)<script\b[^>]*>.*?</script\s*>', ' ', 'g'), '(?is)<style\b[^>]*>.*?</style\s*>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))"""
+
+
+@query(f"SELECT page_id, length({_VISIBLE}) AS visible_chars FROM pages")
 def html_visible_text_len(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "pages").select("page_id", F.length(extract.visible_text(F.col("html"))).cast("long").alias("visible_chars"))
 
 
-@query()
+@query(f"SELECT page_id, {_VISIBLE} AS visible FROM pages")
 def html_visible_parsed(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "pages").select("page_id", html.visible(F.col("html")).alias("visible"))
 
@@ -178,21 +186,36 @@ def domain_policy_join(spark: SparkSession, folder: str) -> DataFrame:
 _PATH = "CASE WHEN regexp_extract({0}, '^[^:]+://[^/?#]*([^?#]*)', 1) IN ('', '/') THEN '/' ELSE regexp_replace(regexp_extract({0}, '^[^:]+://[^/?#]*([^?#]*)', 1), '/+$', '') END"
 
 
-@query(f"""WITH p AS (SELECT page_id, {_DOMAIN} AS host, {_PATH.format("url")} AS path FROM pages),
+_IN_SCOPE = f"""WITH p AS (SELECT page_id, {_DOMAIN} AS host, {_PATH.format("url")} AS path FROM pages),
 s AS (SELECT url AS scope, {_DOMAIN} AS host, {_PATH.format("url")} AS base FROM (VALUES {", ".join(f"('{s[0]}')" for s in SCOPES)}) v(url))
-SELECT page_id, scope FROM p JOIN s USING (host) WHERE base = '/' OR path = base OR starts_with(path, base || '/')""")
+SELECT page_id, scope FROM p JOIN s USING (host) WHERE base = '/' OR path = base OR starts_with(path, base || '/')"""
+
+
+@query(_IN_SCOPE)
 def path_scope_join(spark: SparkSession, folder: str) -> DataFrame:
     scopes = spark.createDataFrame(list(SCOPES), "scope string")
     return domains.scope_join(table(spark, folder, "pages").select("page_id", "url"), scopes, exact=False).select("page_id", "scope")
 
 
-@query()
+# the same SQL: the pages have no dot segments or escapes in their paths, where the two forms differ
+@query(_IN_SCOPE)
 def path_scope_join_exact(spark: SparkSession, folder: str) -> DataFrame:
     scopes = spark.createDataFrame(list(SCOPES), "scope string")
     return domains.scope_join(table(spark, folder, "pages").select("page_id", "url"), scopes).select("page_id", "scope")
 
 
-@query()
+def _any_in(c: str, words: tuple[str, ...]) -> str:
+    return "(" + " OR ".join(f"contains({c}, '{w}')" for w in words) + ")"
+
+
+_REGISTRY = ", ".join(f"('{d}', '{p}')" for (_, p), ds in domains.REGISTRY.items() for d in ds)
+_PAGE_TITLE = r"regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"
+
+
+@query(f"""WITH f AS (SELECT page_id, {_DOMAIN} AS host, lower(regexp_extract(url, '^[^:]+://[^/?#]*([^?#]*)', 1)) AS u, {_folded(_PAGE_TITLE)} AS t, {_folded(_VISIBLE)} AS b FROM pages),
+r AS (SELECT f.*, policy AS p, row_number() OVER (PARTITION BY page_id ORDER BY length(suffix) DESC NULLS LAST) AS rn FROM f LEFT JOIN (VALUES {_REGISTRY}) v(suffix, policy) ON host = suffix OR ends_with(host, '.' || suffix))
+SELECT CASE WHEN p = 'BLOCK_AS_OFFICIAL' THEN 'THIRD_PARTY' WHEN p = 'GROUP_REVIEW' THEN 'GROUP' WHEN {_any_in('u', ownership.STRUCTURAL)} OR {_any_in('t', ownership.DIRECTORY_TITLES)} OR {_any_in('b', ownership.DIRECTORY_BODIES)} THEN 'THIRD_PARTY'
+WHEN {_any_in('t', ownership.PROFILE_TITLES)} OR {_any_in('u', ('/company/', '/companies/', '/dealers/'))} THEN 'PROFILE' WHEN {_any_in('u', ownership.GROUP_PATHS)} OR {_any_in('t', ownership.GROUP_TITLES)} THEN 'GROUP' ELSE 'COMPANY_PAGE' END AS page_type, count(*) AS n FROM r WHERE rn = 1 GROUP BY 1""")
 def page_types(spark: SparkSession, folder: str) -> DataFrame:
     pages = domains.with_policy(table(spark, folder, "pages"), "url", domains.registry(spark))
     kind = ownership.page_type(F.col("url"), F.col("policy"), extract.title(F.col("html")), extract.visible_text(F.col("html")))

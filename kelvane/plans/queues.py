@@ -56,10 +56,13 @@ def freshness_due(spark: SparkSession, folder: str) -> DataFrame:
     return jobs.due(table(spark, folder, "customer").select("c_custkey"), done, "c_custkey", "o_orderdate", F.lit("2001-06-01 00:00:00").cast("timestamp_ntz"))
 
 
-@query("""WITH e AS (SELECT user_id, event_id, ts, CASE WHEN event_type = 'purchase' THEN 'SUCCESS' ELSE 'RETRYABLE_ERROR' END AS s FROM events),
+_ATTEMPTS = """WITH e AS (SELECT user_id, event_id, ts, CASE WHEN event_type = 'purchase' THEN 'SUCCESS' ELSE 'RETRYABLE_ERROR' END AS s FROM events),
 l AS (SELECT * FROM (SELECT *, coalesce(max((s = 'SUCCESS')::INT) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done, row_number() OVER (PARTITION BY user_id ORDER BY event_id)::INT AS attempt FROM e) WHERE done = 0 AND attempt <= 3),
 g AS (SELECT user_id, max(attempt) AS attempts, max_by(s, attempt) AS last_status, max_by(ts, attempt) AS last_ts FROM l GROUP BY 1)
-SELECT user_id, attempts, CASE WHEN last_status = 'SUCCESS' THEN 'DONE' WHEN attempts >= 3 THEN 'ERROR' ELSE 'PENDING' END AS task_status, CASE WHEN last_status <> 'SUCCESS' AND attempts < 3 THEN last_ts + INTERVAL 15 MINUTE * attempts END AS not_before FROM g""")
+SELECT user_id, attempts, CASE WHEN last_status = 'SUCCESS' THEN 'DONE' WHEN attempts >= 3 THEN 'ERROR' ELSE 'PENDING' END AS task_status"""
+
+
+@query(_ATTEMPTS + """, CASE WHEN last_status <> 'SUCCESS' AND attempts < 3 THEN last_ts + INTERVAL 15 MINUTE * attempts END AS not_before FROM g""")
 def retry_backoff_fold(spark: SparkSession, folder: str) -> DataFrame:
     events = table(spark, folder, "events").withColumn("s", F.when(F.col("event_type") == "purchase", "SUCCESS").otherwise("RETRYABLE_ERROR"))
     return jobs.retry_fold(events, "user_id", "s", "ts", "event_id").select("user_id", "attempts", "task_status", "not_before")
@@ -95,7 +98,10 @@ def changed_inputs(spark: SparkSession, folder: str) -> DataFrame:
 
 def _folder(spark: SparkSession) -> str:
     """A fresh folder that driver and executors share."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kelvane-stream-")
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    base = base or tempfile.mkdtemp(prefix="kelvane-stream-")
     return f"{base}/kelvane-stream/{uuid.uuid4().hex}"
 
 
@@ -128,7 +134,7 @@ def stream_quota(spark: SparkSession, folder: str) -> DataFrame:
     return _drained(keyed, spark, "k", None).select("event_type", "day", "used", "allowed")
 
 
-@query()
+@query(_ATTEMPTS + " FROM g")
 def stream_task_states(spark: SparkSession, folder: str) -> DataFrame:
     events = _events(spark, folder).withColumn("s", F.when(F.col("event_type") == "purchase", "SUCCESS").otherwise("RETRYABLE_ERROR")).select("user_id", "s", "event_id")
     return _drained(task_states(events, "user_id", "s", "event_id"), spark, "user_id", None)
