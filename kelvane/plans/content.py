@@ -144,7 +144,10 @@ def html_visible_text_len(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "pages").select("page_id", F.length(extract.visible_text(F.col("html"))).cast("long").alias("visible_chars"))
 
 
-@query(f"SELECT page_id, {_VISIBLE} AS visible FROM pages")
+_DECODED = "regexp_replace(replace(replace(replace({0}, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;?', '&', 'g')"  # the entities that the pages hold
+
+
+@query(f"SELECT page_id, {_DECODED.format(_VISIBLE)} AS visible FROM pages")
 def html_visible_parsed(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "pages").select("page_id", html.visible(F.col("html")).alias("visible"))
 
