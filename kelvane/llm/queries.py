@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, conv_quality, line_runs, mixing, near_dups, neighbours, packing, rules, substrings, suffix_tree
+from . import chat, conv_quality, fm_index, line_runs, mixing, near_dups, neighbours, packing, rules, substrings, suffix_tree
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": mixing.query,
@@ -19,5 +19,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_substrings": substrings.query,
     "op9_near_duplicates": near_dups.query,
     "op10_line_runs": line_runs.query,
+    "op11_fm_index": fm_index.query,
 }
 ORACLES: dict[str, str] = {"op3_chat_format": chat.ORACLE, "op10_line_runs": line_runs.ORACLE}
