@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from ._spark import cut, table
 from ._text import Words, mix, pieces
@@ -350,24 +351,56 @@ def deal(members: DataFrame, bodies: DataFrame, idf, threshold: float = THRESHOL
     return left.unionByName(right).join(bodies, "tid")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id and class_id of each row: the smallest doc_id of its class."""
+def _rooted(docs: DataFrame, threshold: float) -> DataFrame:
+    """(doc_id, tid, root) of each row with an id and words, written: the identity of its words, and of its class."""
     rows, classes = text_classes(docs, threshold)
-    rooted = rows.join(classes, rows["tid"] == classes["node"], "left").select("doc_id", F.coalesce("root", "tid").alias("root"))
-    rooted = cut(rooted)
+    return cut(rows.join(classes, rows["tid"] == classes["node"], "left").select("doc_id", "tid", F.coalesce("root", "tid").alias("root")))
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id and class_id of each row: the smallest doc_id of its class (of several texts with one doc_id, the smallest of all their classes)."""
+    rooted = _rooted(docs, threshold)
     named = cut(rooted.groupBy("root").agg(F.min("doc_id").alias("class_id")))
     found = rooted.join(named, "root").groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
     return docs.select("doc_id").join(found, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
+def identified(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` and, as ``name``, the identity of each text's words (null for texts without words)."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, d, o in pieces(batch.column(at)):
+                e = Elements(d, o)
+                tids = pa.array([t if n else None for t, n in zip(identities(e.identity).to_pylist(), e.counts.tolist(), strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, tids], names=[*batch.schema.names, name])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, BinaryType())]))
+
+
 def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` with the smallest doc_id of their class, one for each; rows without an id all stay."""
-    found = near_duplicates(docs, threshold).filter("doc_id = class_id").groupBy("doc_id").agg(F.count("*").alias("n"))
-    found = cut(found)
-    kept = docs.join(found.select("doc_id"), "doc_id", "left_semi")
-    if not found.filter("n > 1").limit(1).isEmpty():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
+    """Of each class the row with the smallest doc_id (then by words), and all rows without an id or without words.
+
+    Where a doc_id stands at several rows, rows are told apart by their words: different texts of one doc_id that are
+    no near duplicates all stay; of rows with equal doc_id and words one stays, with the smallest text.
+    """
+    rooted = _rooted(docs, threshold)
+    best = cut(rooted.groupBy("root").agg(F.min(F.struct("doc_id", "tid")).alias("best")).select("best.doc_id", "best.tid"))
+    if docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).isEmpty():
+        others = rooted.select("doc_id", "tid").join(best, ["doc_id", "tid"], "left_anti")
+        return docs.join(others.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    tid = "tid"
+    while tid in docs.columns:
+        tid = f"_{tid}"
+    named = cut(identified(docs, tid))
+    c = lambda n: F.col("`" + n.replace("`", "``") + "`")
+    apart = c("doc_id").isNull() | c(tid).isNull()
+    best = best.select(F.col("doc_id").alias("_best_id"), F.col("tid").alias("_best_tid"))
+    rows = named.filter(~apart).select("doc_id", c(tid).alias("_tid"), "text", F.struct(*[c(n) for n in docs.columns]).alias("_row"))
+    rows = rows.join(best, (F.col("doc_id") == F.col("_best_id")) & (F.col("_tid") == F.col("_best_tid")), "left_semi")
+    one = rows.groupBy("doc_id", "_tid").agg(F.min_by("_row", "text").alias("_row"))
+    return named.filter(apart).select(*[c(n) for n in docs.columns]).unionByName(one.select(*[F.col("_row")[n].alias(n) for n in docs.columns]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
