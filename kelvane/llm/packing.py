@@ -343,8 +343,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP)
         held = [b for b in batches if b.num_rows]
         if held:
             rows = pa.Table.from_batches(held).combine_chunks()
-            order = np.lexsort([rows.column(c).to_numpy(zero_copy_only=False) for c in ("ids_crc32", "piece", "doc_id")])
-            rows = rows.take(pa.array(order))  # the same groups give the same sequences, however the rows arrived
+            rows = rows.sort_by([(c, "ascending") for c in ("doc_id", "piece", "ids_crc32")])  # the same groups give the same sequences, however the rows arrived
             sequence, offset = pack(rows.column(at).to_numpy(), capacity)
             sequence += TaskContext.get().partitionId() << 40
             for b in rows.append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset)).to_batches(10_000):
