@@ -35,7 +35,7 @@ def counted(grams: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return grams[first], np.add.reduceat(times, first) if len(first) else times
 
 
-def repeated_grams(docs: DataFrame, grams_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], parts: int, bits: int, many: int) -> tuple[np.ndarray, np.ndarray]:
+def repeated_grams(docs: DataFrame, grams_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], parts: int, bits: int, many: int = 1 << 62) -> tuple[np.ndarray, np.ndarray]:
     """The packed bitmap of grams that ``grams_of`` gives more than once, and those that it gives more than ``many`` times.
 
     Each task of the second step owns a range of slots and counts the grams in it, so it packs its share of the bitmap

@@ -15,8 +15,8 @@ decide. A gram with so many surroundings that they would not fit a task is split
 gram, so no batch sends a task more than LOCAL runs of one gram. So each byte that is covered by a window which also
 starts earlier is found, and no other.
 
-Edge cases: a null text is empty; texts below LENGTH bytes never match; rows with equal doc_id are ordered by text
-hash, null ids last; of repeated rows all but one stand later; an empty table gives an empty result; other columns
+Edge cases: a null text is empty; texts below LENGTH bytes never match; ids may be of any type that Spark orders; rows
+with equal doc_id are ordered by text hash, null ids last; of repeated rows all but one stand later; an empty table gives an empty result; other columns
 are never read. Long texts are taken in segments that overlap, so memory does not grow with them.
 """
 
@@ -31,6 +31,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._grams import bits_for, repeated_grams, told
 from ._spark import cut, table
 from ._text import bytes_of, fingerprints, mix, pieces, prefix_sums, release
 
@@ -39,8 +40,6 @@ LENGTH, GRAM = 100, 36
 SEGMENT, BATCH = 1 << 19, 1 << 17
 #: Bytes of text whose runs make up a part, about.
 PART_BYTES = 1 << 24
-#: Slots (2**BITS at most) of the bitmap of grams that anchor more than one run.
-BITS = 30
 #: Different surroundings of one gram that a batch sends as runs, and suffixes whose windows are compared at once.
 LOCAL, CHUNK = 256, 8192
 
@@ -286,60 +285,17 @@ def _parts(size: int) -> int:
     return n
 
 
-def shared_grams(docs: DataFrame, shape: Shape, parts: int, bits: int) -> np.ndarray:
-    """A bitmap of 2**bits slots for anchors' gram hashes: set where a gram is the anchor of more than one run. Other slots hold no match."""
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-
-        def send() -> pa.RecordBatch:
-            grams, times = np.unique(np.concatenate(held), return_counts=True)
-            rows = [(_by_part((g >> np.uint64(8)).astype(np.int64) % parts, g), kind) for kind, g in enumerate((grams[times == 1], grams[times > 1]))]
-            columns = [np.concatenate([found for (found, _), _ in rows]), np.concatenate([np.full(len(found), kind, np.int32) for (found, _), kind in rows])]
-            return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array([b for (_, (blobs,)), _ in rows for b in blobs], pa.binary())], names=["part", "kind", "grams"])
-
-        for batch in batches:
-            for _, _, data, offsets in segments(batch.column(0), shape.length):
-                held.append(runs_of(data, offsets, shape)[-1])
-                size += len(held[-1])
-                if size >= 8 * BATCH:
-                    yield send()
-                    held, size = [], 0
-        if held:
-            yield send()
-        release()
-
-    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice = np.zeros(0, np.uint64), [np.zeros(0, np.uint64)]
-        for batch in batches:
-            lists: list[list[np.ndarray]] = [[], []]
-            for kind, blob in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                lists[kind].append(np.frombuffer(blob, np.uint64))
-            every = np.sort(np.concatenate([once, *lists[0], *lists[1]]))
-            twice = [np.unique(np.concatenate([*twice, *lists[1], every[1:][every[1:] == every[:-1]]]))]
-            once = np.unique(every)
-        yield pa.RecordBatch.from_arrays([pa.array([np.unique(twice[0] >> np.uint64(64 - bits)).astype("<u4").tobytes()], pa.binary())], names=["slots"])
-
-    def union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros(1 << bits, bool)
-        for batch in batches:
-            for blob in batch.column(0).to_pylist():
-                out[np.frombuffer(blob, "<u4")] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(out).tobytes()], pa.binary())], names=["slots"])
-
-    sent = docs.select("text").mapInArrow(scan, "part int, kind int, grams binary").repartitionById(parts, "part")
-    bitmap = np.zeros(1 << (bits - 3), np.uint8)
-    for r in cut(sent.mapInArrow(settle, "slots binary")).coalesce(4).mapInArrow(union, "slots binary").toLocalIterator():  # 4 bitmaps of at most 2**BITS
-        bitmap |= np.frombuffer(r.slots, np.uint8)
-    return bitmap
-
-
 def covered_spans(docs: DataFrame, shape: Shape = Shape(), batch_runs: int = BATCH, local: int = LOCAL, chunk: int = CHUNK) -> tuple[DataFrame, int]:  # noqa: B008
     """Rows (part, docs, starts, ends) of spans that are covered by earlier windows, dealt by doc_id modulo the second value. ``docs``: unique non-null long doc_id, text."""
     size_ = int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     parts, length, gram = _parts(size_), shape.length, shape.gram
-    bits = min(BITS, max(20, (size_ >> 4).bit_length()))
-    shared = docs.sparkSession.sparkContext.broadcast(shared_grams(docs, shape, parts, bits))
+    bits = bits_for(size_)
+
+    def grams_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for _, _, data, offsets in segments(batch.column(0), length):
+            yield runs_of(data, offsets, shape)[-1]
+
+    shared = docs.sparkSession.sparkContext.broadcast(repeated_grams(docs.select("text"), grams_of, parts, bits)[0])
 
     def split(array: Suffixes, at: np.ndarray) -> Iterator[pa.RecordBatch]:
         """Windows of the keys at ``at``: those that stand earlier among them are covered, the others go on."""
@@ -368,8 +324,7 @@ def covered_spans(docs: DataFrame, shape: Shape = Shape(), batch_runs: int = BAT
             ids = np.asarray(batch.column(0)).astype("<i8")
             for rows, begin, data, offsets in segments(batch.column(1), length):
                 doc, start, count, anchor, grams = runs_of(data, offsets, shape)
-                slot = (grams >> np.uint64(64 - bits)).astype(np.int64)
-                again = np.flatnonzero(bitmap[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1)
+                again = np.flatnonzero(told(bitmap, grams, bits))
                 doc, start, count, anchor = (v[again] for v in (doc, start, count, anchor))
                 if len(doc):
                     keys = keys_of(data, start, count, anchor, shape)
@@ -529,9 +484,9 @@ def _keep(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """doc_id, spans (removed runs of bytes, maximal) and kept (the bytes that remain) of each row of ``docs``."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    odd = docs.groupBy("doc_id").count().filter("count > 1 or doc_id is null").limit(1)
-    if odd.isEmpty():
+    whole = docs.schema["doc_id"].dataType.typeName() in ("long", "integer", "short", "byte")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id") if whole else "doc_id", "text")
+    if whole and docs.groupBy("doc_id").count().filter("count > 1 or doc_id is null").limit(1).isEmpty():
         return _keep(docs, length, gram)
     # rows without an id of their own are numbered in the order that decides which of two places is the earlier: the
     # number that Spark gives to rows of a sorted table grows with its partitions, and within them
