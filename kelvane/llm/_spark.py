@@ -8,6 +8,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -26,30 +27,48 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-_WRITTEN: list[str] = []  # tables of this process that are still there
+_WRITTEN: list[str] = []  # tables of this process that no run owns
+_OWNER: ContextVar[list[str]] = ContextVar("tables that are written now", default=_WRITTEN)
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: lineage ends there and sizes become known. The table goes when the process ends."""
+    """Write ``df`` as a table in the shared folder and read it back: lineage ends there and sizes become known. The table goes when the process ends, or with its run."""
     path = f"{shared_dir(df.sparkSession)}/kelvane/{uuid.uuid4().hex}"
-    if not _WRITTEN:
+    if df.sparkSession not in _ENDING:
+        _ENDING.append(df.sparkSession)
         atexit.register(_drop, df.sparkSession, _WRITTEN)
-    _WRITTEN.append(path)
+    _OWNER.get().append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def written() -> int:
-    """How many tables of this process are there."""
-    return len(_WRITTEN)
+_ENDING: list[SparkSession] = []
 
 
-def settled(spark: SparkSession, make: Callable[[], DataFrame], since: int) -> DataFrame:
-    """``cut`` of what ``make`` gives. Tables beyond the first ``since`` that were written before it are removed: the caller's own, that nothing needs now."""
-    out = cut(make())
-    _drop(spark, _WRITTEN[since:-1])
-    del _WRITTEN[since:-1]
-    return out
+class Run:
+    """A run of steps, each of which is written before the next one reads it. What a step writes on its way goes when the step is written, and the step's table when the next one is.
+
+    Only tables that are written inside ``settled`` belong to the run: those of other runs, in other threads too, and of DataFrames that were made outside stay.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.last = spark, []
+
+    def settled(self, make: Callable[[], DataFrame]) -> DataFrame:
+        mine: list[str] = []
+        token = _OWNER.set(mine)
+        try:
+            out = cut(make())
+            kept = mine.pop()
+            _drop(self.spark, mine + self.last)
+            for path in self.last:
+                _WRITTEN.remove(path)
+            _WRITTEN.append(kept)
+            self.last, mine = [kept], []
+            return out
+        finally:
+            _OWNER.reset(token)
+            _WRITTEN.extend(mine)  # of a step that failed
 
 
 def _drop(spark: SparkSession, paths: list[str]) -> None:

@@ -14,7 +14,7 @@ pytest.importorskip("kelvane.llm")
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 sys.path.insert(0, str(Path(__file__).parent))
 import brute  # noqa: E402
-from kelvane.llm import near_dups  # noqa: E402
+from kelvane.llm import fm_index, line_runs, mixing, near_dups, packing, rules, substrings  # noqa: E402
 from test_llm_operators import CLASH, SCHEMA, clash_unchanged, prose  # noqa: E402
 
 LABELS = "doc_id long, quality int, toxic int"
@@ -37,12 +37,62 @@ def test_odd_rows(spark, tmp_path):
         now = stage(spark, now, folder).cache()
         assert now.columns == docs.columns and clash_unchanged(now), name
     ids = collections.Counter(r.doc_id for r in now.collect())
-    assert {1, 2, 6} - set(ids) <= {2} and not {3, 4, 5} & set(ids) and ids[1] <= 3
+    assert {1, 2, 6} <= set(ids) and not {3, 4, 5} & set(ids) and ids[1] <= 3  # the second text of doc_id 2 is like no other
     other = near_dups.near_duplicates(docs)  # not read yet: its tables must stay
     found = corpus_pipeline.run(spark, folder).collect()
     assert {r.doc_id for r in found} == set(ids) and other.count() == len(rows)
 
 
+def test_no_distinct_text_goes(spark):
+    rng = random.Random(9)
+    one, two, three = (prose(rng, 60) for _ in range(3))
+    rows = [(2, one), (2, two), (3, three), (3, three + " tail"), (4, one), (4, one), (5, two + " tail"), (2, None), (2, ""), (None, one), (None, one)]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], SCHEMA).withColumns({k: F.lit(v) for k, v in (CLASH | {"tid": "t", "_tid": "u"}).items()})
+    for parts in (1, 3):
+        kept = near_dups.drop_near_duplicates(docs.repartition(parts))
+        assert kept.columns == docs.columns
+        got = collections.Counter((r.doc_id, r.text) for r in kept.collect())
+        assert {k: n for k, n in got.items() if k[0] != 3} == {(2, one): 1, (2, two): 1, (2, None): 1, (2, ""): 1, (None, one): 2}
+        assert sum(n for k, n in got.items() if k[0] == 3) == 1
+    named = docs.withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")))
+    assert collections.Counter((r.doc_id, r.text) for r in near_dups.drop_near_duplicates(named).collect())[("d2", two)] == 1
+
+
+def test_string_and_null_ids(spark):
+    rng = random.Random(8)
+    rows = [(None, prose(rng, 40)), (None, prose(rng, 40)), ("b", prose(rng, 60)), ("a", prose(rng, 9)), ("a", None)]
+    rows += [("c", rows[2][1]), (None, rows[0][1])]
+    docs = spark.createDataFrame([(i, t, None, "s", None) for i, t in rows], SCHEMA.replace("doc_id long", "doc_id string"))
+    packed = packing.pack_documents(docs).collect()
+    assert sorted(r.doc_id or "" for r in packed) == sorted(i or "" for i, _ in rows)
+    found = substrings.digest(substrings.without_repeats(docs)).collect()
+    assert sorted((r.doc_id or "", r.n_removed > 0) for r in found) == [("", False), ("", False), ("", True), ("a", False), ("a", False), ("b", False), ("c", True)]
+    for operator in (mixing.mix_sources, line_runs.without_runs, near_dups.near_duplicates, fm_index.without_passages):
+        assert operator(docs).count() == len(rows)
+    assert rules.with_stats(docs).count() == len(rows)
+
+
+def test_runs_own_their_tables(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from kelvane.llm._spark import Run, cut
+
+    def one(k):
+        steps, df = Run(spark), spark.range(5)
+        for _ in range(3):
+            df = steps.settled(lambda df=df: cut(df).withColumn("k", F.lit(k)).select("id"))
+        return df.count()
+
+    outside = cut(spark.range(3))
+    steps = Run(spark)
+    steps.settled(lambda: spark.range(2))
+    lazy = cut(spark.range(4))
+    steps.settled(lambda: spark.range(2))
+    with ThreadPoolExecutor(4) as pool:
+        assert list(pool.map(one, range(8))) == [5] * 8
+    assert (outside.count(), lazy.count()) == (3, 4)
+
+
 def test_nothing_to_do(spark, tmp_path):
     none = spark.createDataFrame([], SCHEMA)
     assert corpus_pipeline.run(spark, write(tmp_path / "a", none, spark.createDataFrame([], LABELS))).count() == 0
