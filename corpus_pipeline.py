@@ -4,8 +4,8 @@ Every stage takes all rows that the one before it kept; all but the last return
 stage returns is written as Parquet and read again before the next; tables that no later stage needs are removed.
 
 Edge cases: null and empty texts have no words, so the rules reject them; rows with a null or repeated doc_id pass the
-rules one by one, repeated rows lose no lines to one another, one row of each doc_id stays among near duplicates (all
-of a null one), and rows of one doc_id are mixed together; a null source is a source of its own; very long texts are
+rules one by one, repeated rows lose no lines to one another, near duplicates are told apart by their words where a
+doc_id is repeated (all rows of a null one stay), and rows of one doc_id are mixed together; a null source is a source of its own; very long texts are
 taken whole by every stage; an empty table, or one of which the rules keep nothing, gives an empty result; without
 labels only the base rule rejects; other columns pass through all stages but the last, whatever their names.
 """
@@ -18,7 +18,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 
 from kelvane.llm import line_runs, mixing, near_dups, packing, rules
-from kelvane.llm._spark import settled, table, written
+from kelvane.llm._spark import Run, table
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +59,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows over the whole of documents."""
-    docs, before = table(spark, sf_dir, "documents"), written()
+    docs, steps = table(spark, sf_dir, "documents"), Run(spark)
     for _, stage in STAGES[:-1]:
-        docs = settled(spark, partial(stage, spark, docs, sf_dir), before)
+        docs = steps.settled(partial(stage, spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
