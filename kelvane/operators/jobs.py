@@ -25,7 +25,9 @@ def claim(tasks: DataFrame, now: Column, budgets: DataFrame, used: DataFrame, n:
     order = [F.col("priority").asc(), F.col("created_at").asc(), F.col("id").asc()]
     nth = F.row_number().over(Window.partitionBy("source").orderBy(*order))
     left = F.col("daily_limit") - F.coalesce("used_count", F.lit(0))
-    allowed = fit.withColumn("__n", nth).filter(F.col("daily_limit").isNull() | (F.col("__n") <= left))
+    # no source gives more than n: with a literal bound, Spark drops the rest before it shuffles
+    first = fit.withColumn("__n", nth).filter(F.col("__n") <= n)
+    allowed = first.filter(F.col("daily_limit").isNull() | (F.col("__n") <= left))
     return allowed.drop("__n", "daily_limit", "used_count").orderBy(*order).limit(n)
 
 

@@ -162,3 +162,14 @@ def home_first(link: Column, ending: str = ".si") -> list[Column]:
 def without_columns(df: DataFrame, *hidden: str) -> DataFrame:
     """All columns but the hidden ones; names that are not there do not matter."""
     return df.select(*[c for c in df.columns if c not in hidden])
+
+
+def distinct_members(df: DataFrame, group: list[str], member: str, times: str, size: str) -> DataFrame:
+    """A row for each distinct ``member`` of a group: how often it stands (``times``) and how many the group has (``size``).
+
+    What a concatenation of distinct values says, without a cell that grows with its group.
+    """
+    each = df.groupBy(*group, member).agg(F.count("*").alias(times))
+    sizes = each.groupBy(*[F.col(g).alias(f"of_{g}") for g in group]).agg(F.count(member).alias(size))
+    same = [F.col(g).eqNullSafe(F.col(f"of_{g}")) for g in group]
+    return each.join(sizes, same).drop(*[f"of_{g}" for g in group])

@@ -13,7 +13,7 @@ from ._registry import query
 
 #: The tables' addresses are all under reserved example hosts, so the list that drops those is left out here.
 IGNORED = ("noreply", "no-reply", "donotreply")
-_EMAIL = emails.EMAIL.replace("'", "''").replace("(?:", "(?:")
+_EMAIL = emails.EMAIL.replace("'", "''")
 _HOST = r"regexp_extract(lower(url), '^[a-z]+://(?:[^/?#]*@)?([^/?#:]*)', 1)"
 _DOMAIN = rf"regexp_replace({_HOST}, '^www\.', '')"
 #: The pages link to invented words, so these stand in for contact, about and the like.
@@ -73,10 +73,14 @@ def email_score_rank(spark: SparkSession, folder: str) -> DataFrame:
     return rel.numbered(scored, "doc_id", "place", F.col("score").desc(), "email").select("doc_id", "email", "score", F.col("place").cast("long").alias("place"))
 
 
-@query(rf"""SELECT split_part(email, '@', 2) AS host, count(DISTINCT doc_id) AS docs, count(*) AS n, string_agg(DISTINCT email, '; ' ORDER BY email) AS emails FROM ({_SCORED}) GROUP BY 1""")
+@query(rf"""WITH e AS ({_SCORED}) SELECT host, email, n, emails, docs FROM (SELECT split_part(email, '@', 2) AS host, email, count(*) AS n, count(*) OVER (PARTITION BY split_part(email, '@', 2)) AS emails FROM e GROUP BY email)
+JOIN (SELECT split_part(email, '@', 2) AS host, count(DISTINCT doc_id) AS docs FROM e GROUP BY 1) USING (host)""")
 def contact_resolution(spark: SparkSession, folder: str) -> DataFrame:
+    """Addresses of each host with how many documents name them, a row for each."""
     found = table(spark, folder, "documents").select("doc_id", F.explode(emails.extract_emails(F.col("text"), ())).alias("email"))
-    return found.groupBy(F.substring_index("email", "@", -1).alias("host")).agg(F.count_distinct("doc_id").alias("docs"), F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("email")), "; ").alias("emails"))
+    found = found.withColumn("host", F.substring_index("email", "@", -1))
+    docs = found.groupBy("host").agg(F.count_distinct("doc_id").alias("docs"))
+    return rel.distinct_members(found, ["host"], "email", "n", "emails").join(docs, "host")
 
 
 @query(r"""WITH p AS (SELECT doc_id, regexp_replace(unnest(regexp_extract_all(text, '\+?[0-9][0-9 ()/.-]{5,20}[0-9]')), '[^0-9]', '', 'g') AS d FROM documents)

@@ -122,13 +122,13 @@ def interleave_sources(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("turn").cast("long").alias("turn"), "source", "doc_id")
 
 
-@query("""WITH c AS (SELECT o_orderpriority AS region, c_name AS name, o_orderkey FROM orders JOIN customer ON c_custkey = o_custkey)
-SELECT region, string_agg(DISTINCT name, '; ' ORDER BY name) AS names, count(DISTINCT name) AS n FROM c GROUP BY region""")
+@query("""WITH c AS (SELECT o_orderpriority AS region, c_name AS name, count(*) AS orders FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2)
+SELECT region, name, orders, count(*) OVER (PARTITION BY region) AS n FROM c""")
 def names_by_region(spark: SparkSession, folder: str) -> DataFrame:
+    """Distinct names of each region and their number, a row for each: one cell would grow with the table."""
     orders = table(spark, folder, "orders").select("o_custkey", F.col("o_orderpriority").alias("region"))
-    named = orders.join(table(spark, folder, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name"), "o_custkey")
-    names = F.array_sort(F.collect_set("c_name"))
-    return named.groupBy("region").agg(F.array_join(names, "; ").alias("names"), F.size(names).cast("long").alias("n"))
+    named = orders.join(table(spark, folder, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("name")), "o_custkey")
+    return rel.distinct_members(named, ["region"], "name", "orders", "n")
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_partkey IS NOT NULL AND l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 3)")

@@ -1,4 +1,4 @@
-"""Runs, observations, attributions and registry pages over a few invented rows; the SQL names the rows that the rules give."""
+"""Runs over manifests, ingests, result pages and keys."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ids
-from ..operators import contacts, extract, html, ingest, merge, ownership, registry, results, runs
+from ..operators import ingest, merge, results, runs
 from ..operators import relational as rel
 from ..sources.tables import table
 from ._registry import query
@@ -99,21 +99,46 @@ def linked_roles(spark: SparkSession, folder: str) -> DataFrame:
     return merge.link_with_fallback(known, rows, "source_id", ["nation", "role"]).select("k", "matched_id")
 
 
-@query("""SELECT * FROM (VALUES ('companies', 3), ('source_records', 4), ('observations', 4), ('people', 2), ('roles', 2), ('ownership', 1), ('conflicts', 1), ('current_facts', 3)) t(name, n)""")
-def nested_ingest(spark: SparkSession, folder: str) -> DataFrame:
-    """Five records, one of them twice and one that names two companies; the second ingest of the batch changes nothing."""
-    people = [("Ana  Novak", "ANA@a.si", None, [("director", "D", "r1", None, None)]), ("Bo Kos", None, "https://l.example/bo/", [("owner", None, "r2", None, None)])]
-    one = ("reg", "1", "Alfa", "111", "SI 11", "Cesta 1", "d", "{1}", 1, [("status", "ok", None, None), ("size", None, 5.0, 2020)], people, [("Ana", "NATURAL_PERSON", "s1", 50.0, None, None)])
-    rows = [one, (*one[:8], 2, *one[9:]), ("web", "2", "Beta", "222", None, None, "d", "{2}", 3, [("status", "new", None, None)], [], []), ("web", "3", None, None, "33", None, "d", "{3}", 4, [], [], []), ("web", "4", "?", "111", "33", None, "d", "{4}", 5, [], [], []), ("web", "5", "Beta", "222", None, "Pot 2", "d", "{5}", 6, [("status", "old", None, None)], [], [])]
-    records = spark.createDataFrame(rows, ingest.RECORD)
+_FILED = {
+    "k": "c_custkey", "source": "CASE WHEN c_custkey % 3 = 0 THEN 'web' ELSE 'reg' END", "external_id": "'' || c_custkey", "canonical_name": "c_name",
+    "registration_number": "CASE WHEN c_custkey % 10 < 8 THEN (1000000 + c_custkey - c_custkey % 2) || ' ' END",
+    "tax_number": "CASE WHEN c_custkey % 50 = 11 THEN 'SI' || (10000003 + c_custkey) WHEN c_custkey % 10 < 8 AND c_custkey % 2 = 0 THEN 'SI' || (10000000 + c_custkey) WHEN c_custkey % 10 = 8 THEN 'si ' || (20000000 + c_custkey) END",
+    "address": "CASE WHEN c_custkey % 3 > 0 THEN 'Cesta ' || c_custkey END", "observed_at": "'d'", "raw_json": "'{' || c_custkey || '}'", "seq": "c_custkey",
+}
+_NESTED = {
+    "facts": "array(named_struct('fact_key', 'status', 'value_text', 'v' || c_custkey % 4, 'value_number', CAST(NULL AS DOUBLE), 'value_year', CAST(NULL AS INT)), named_struct('fact_key', 'size', 'value_text', CAST(NULL AS STRING), 'value_number', CAST(c_custkey AS DOUBLE), 'value_year', CAST(2020 + c_custkey % 2 AS INT)))",
+    "people": "array(named_struct('full_name', 'Ana  ' || c_custkey, 'email', CASE WHEN c_custkey % 5 > 0 THEN 'Ana' || (c_custkey - c_custkey % 4) || '@a.si' END, 'linkedin_url', CAST(NULL AS STRING), 'roles', array(named_struct('role_type', 'director', 'title', 'D', 'source_role_id', 'r' || c_custkey, 'valid_from', CAST(NULL AS STRING), 'valid_to', CAST(NULL AS STRING)))))",
+    "ownership": "array(named_struct('owner_raw_name', 'Own ' || c_custkey % 7, 'owner_type', 'LEGAL_ENTITY', 'source_share_id', 's1', 'share_percent', 50.0D, 'valid_from', CAST(NULL AS STRING), 'valid_to', CAST(NULL AS STRING)))",
+}
+_FILED_SQL = "SELECT *, nullif(regexp_replace(coalesce(registration_number, ''), '\\D', '', 'g'), '') AS reg, nullif(regexp_replace(coalesce(tax_number, ''), '\\D', '', 'g'), '') AS tax, k % 50 = 11 AS clash FROM (SELECT " + ", ".join(f"{e} AS {c}" for c, e in _FILED.items()) + " FROM customer)"
+
+
+def _ingested(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """Two ingests: all records but those that name two companies, then all of them."""
+    records = table(spark, folder, "customer").selectExpr(*[f"{e} AS {c}" for c, e in (_FILED | _NESTED).items()]).drop("k")
     tables = {k: spark.createDataFrame([], v) for k, v in ingest.TABLES.items()}
-    found = ingest.ingest(records.filter("external_id <> '4'"), tables)
-    found = ingest.ingest(records, {k: found[k] for k in ingest.TABLES})
-    out = None
-    for name, df in found.items():
-        part = df.agg(F.lit(name).alias("name"), F.count("*").cast("int").alias("n"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    found = ingest.ingest(records.filter("seq % 50 <> 11"), tables)
+    return ingest.ingest(records, {k: found[k] for k in ingest.TABLES})
+
+
+@query(f"""WITH r AS (SELECT *, coalesce('r' || reg, 't' || tax) AS c FROM ({_FILED_SQL}) WHERE NOT clash)
+SELECT arg_max(canonical_name, k) AS canonical_name, any_value(reg) AS registration_number, any_value(tax) AS tax_number, arg_max(address, k) FILTER (address IS NOT NULL) AS address, count(*) AS n_records, 2 * count(*) AS n_facts, count(*) AS n_roles,
+count(DISTINCT coalesce(CASE WHEN k % 5 > 0 THEN 'ana' || (k - k % 4) END, c || k)) AS n_people, count(DISTINCT k % 7) AS n_shares FROM r WHERE c IS NOT NULL GROUP BY c""")
+def nested_ingest(spark: SparkSession, folder: str) -> DataFrame:
+    """Every customer as a nested record, two of which make a company; ingesting them again changes nothing."""
+    made = _ingested(spark, folder)
+    count = lambda name, *of: made[name].groupBy("company_id").agg(*of)
+    out = made["companies"].join(count("source_records", F.count("*").alias("n_records")), "company_id").join(count("observations", F.count("*").alias("n_facts")), "company_id")
+    out = out.join(count("roles", F.count("*").alias("n_roles"), F.count_distinct("person_id").alias("n_people")), "company_id").join(count("ownership", F.count("*").alias("n_shares")), "company_id")
+    return out.drop("company_id")
+
+
+@query(f"""WITH r AS ({_FILED_SQL}) SELECT x.reg AS identifier_value, 'registration_number' AS identifier_type, b.tax AS other_tax FROM r x JOIN r b ON b.tax = x.tax AND NOT b.clash WHERE x.clash""")
+def ingest_conflicts(spark: SparkSession, folder: str) -> DataFrame:
+    """The journal of records whose identifiers name two companies."""
+    made = _ingested(spark, folder)
+    other = made["companies"].select(F.col("company_id").alias("entity_b"), F.col("tax_number").alias("other_tax"))
+    return made["conflicts"].join(other, "entity_b").select("identifier_value", "identifier_type", "other_tax")
 
 
 @query("SELECT count(*) FILTER (event_id % 4 = 0) AS resolved, count(*) FILTER (event_id % 4 = 1) AS unresolved, count(*) FILTER (event_id % 4 = 2) AS duplicates, count(*) FILTER (event_id % 4 = 3) AS errors FROM events")
@@ -169,153 +194,7 @@ def evicted_keys(spark: SparkSession, folder: str) -> DataFrame:
     return rel.pending(rows.filter("o_orderkey % 2 = 0"), rows.filter("o_orderkey % 3 > 0"), "o_orderkey")
 
 
-# Attribution
-
-
-_PAGES = "company_id int, company_name string, candidate_url string, page_url string, page_title string, page_no int, signals array<string>, page_type string, operator_match boolean, operator_scope string, group_context boolean, legal_conflict boolean, known_group boolean, assessment string"
-
-
-@query("""SELECT * FROM (VALUES (1, 'VERIFIED', 'LEGAL_ENTITY', 'https://alfa.si/'), (2, 'REVIEW', 'THIRD_PARTY', ''), (3, 'REVIEW', 'UNRESOLVED', ''), (4, 'GROUP_REVIEW', 'GROUP_PARENT', ''), (5, 'REVIEW', 'UNRESOLVED', ''), (6, 'REVIEW', 'UNRESOLVED', ''),
-(7, 'VERIFIED', 'LEGAL_ENTITY', 'https://skupina.si/alfa/x/'), (8, 'REVIEW', 'THIRD_PARTY', ''), (9, 'GROUP_REVIEW', 'GROUP_PARENT', ''), (10, 'VERIFIED', 'LEGAL_ENTITY', 'https://alfa.si/')) t(company_id, status, relationship, scope)""")
-def ownership_verdicts(spark: SparkSession, folder: str) -> DataFrame:
-    """One company in ten settings: its own site, a listing, a name alone, a group, another legal form, stored verdicts, an operator inside a group, a parked domain, a known group, evidence over two pages."""
-    page = lambda i, url, title, signals, kind="COMPANY_PAGE", operator=False, group=False, known=False, verdict=None, no=1: (i, "ALFA d.o.o.", url, url, title, no, signals, kind, operator, "", group, False, known, verdict)
-    full = ["tax_exact", "company_name_exact"]
-    rows = [
-        page(1, "https://alfa.si/", "ALFA d.o.o.", full), page(2, "https://imenik.si/alfa", "x", full, "THIRD_PARTY"), page(3, "https://alfa.si/", "ALFA", ["company_name_exact"]), page(4, "https://koncern.si/alfa", "Koncern", full, "GROUP"),
-        page(5, "https://alfa.si/", "ALFA d.d.", full), page(6, "https://alfa.si/", "ALFA", full, verdict="UNCERTAIN"), page(7, "https://skupina.si/alfa/x", "Skupina", full, operator=True, group=True),
-        page(8, "https://alfa.si/", "ALFA", [*full, "parked_domain"]), page(9, "https://alfa.si/", "ALFA", full, known=True), page(10, "https://alfa.si/", "ALFA", []), page(10, "https://alfa.si/kontakt", "Kontakt", full, no=2),
-    ]
-    return ownership.evaluate_ownership(spark.createDataFrame(rows, _PAGES)).select("company_id", "status", "relationship", "scope")
-
-
-_MAILS = "n int, company_name string, tax_number string, registration_number string, email string, visible_email string, source_url string, source_type string, publication string, status string, scope string, in_group_scope boolean, block_target boolean, block_other boolean, block_single_page boolean, page_named boolean"
-
-
-@query("""SELECT * FROM (VALUES (1, true, 'Entity context on verified scope'), (2, false, 'Displayed e-mail and link target disagree'), (3, false, 'Site ownership unresolved'), (4, false, 'Outside the verified scope'), (5, false, 'Agency context'), (6, false, 'Insufficient entity context'),
-(7, true, 'Entity context on verified scope'), (8, false, 'Contact block of another entity'), (9, false, 'Listing source'), (10, false, 'Outside the group''s site'), (11, true, 'Explicit entity block'), (12, false, 'No explicit entity'), (13, false, 'Different legal entity'), (14, false, 'Site ownership unresolved')) t(n, attributable, reason)""")
-def email_attributions(spark: SparkSession, folder: str) -> DataFrame:
-    """One address in fourteen settings, each of which meets one rule of the gate first."""
-    names = [f.split()[0] for f in _MAILS.split(", ")]
-    base = dict(zip(names, (0, "ALFA d.o.o.", None, None, "info@alfa.si", "", "https://alfa.si/k", "COMPANY_PAGE", "Kontakt ALFA", "VERIFIED", "https://alfa.si/", False, None, None, None, False), strict=True))
-    cases = [
-        {}, {"visible_email": "x@y.si"}, {"status": "REVIEW"}, {"source_url": "https://b.si/"}, {"publication": "ALFA, powered by X"}, {"publication": "pišite"}, {"publication": "pišite", "page_named": True}, {"block_other": True, "block_target": False},
-        {"source_type": "THIRD_PARTY"}, {"status": "GROUP_REVIEW"}, {"status": "GROUP_REVIEW", "in_group_scope": True}, {"status": "GROUP_REVIEW", "in_group_scope": True, "publication": "x"}, {"publication": "ALFA d.d.", "block_target": True}, {"status": None},
-    ]
-    rows = [tuple((base | c | {"n": i + 1})[k] for k in names) for i, c in enumerate(cases)]
-    return ownership.email_attribution(spark.createDataFrame(rows, _MAILS)).select("n", "attributable", "reason")
-
-
-_SEEN = "company_id int, company_name string, kind string, observation_id string, seq int, normalized_value string, source_kind string, on_scope boolean, page_bad boolean, visible_email string, display_conflict boolean, publication string, headings array<string>, block_target boolean, block_other boolean, block_single_page boolean, block_section boolean, block_explicit boolean, identity_match boolean, other_host boolean"
-
-
-def _contacts(spark: SparkSession) -> DataFrame:
-    o = lambda n, value, said, kind="EMAIL", source="FETCHED_PAGE", scope=True, bad=False, target=True, single=False: (1, "ALFA d.o.o.", kind, f"o{n}", n, value, source, scope, bad, "", False, said, [], target, False, single, False, False, True, True)
-    rows = [
-        o(1, "ana.novak@alfa.si", "ALFA"), o(2, "prodaja@alfa.si", "ALFA prodaja"), o(3, "info@alfa.si", "ALFA"), o(4, "info@alfa.si", "x", source="SEARCH_RESULT"), o(5, "+38612345678", "ALFA centrala", "PHONE"), o(6, "+4930123456", "ALFA", "PHONE"),
-        o(7, "a@alfa.si", "ALFA", scope=False), o(8, "b@alfa.si", "ALFA", bad=True), o(9, "c@alfa.si", "x", source="SEARCH_RESULT"), o(10, "d@alfa.si", "ALFA", target=False), o(11, "e@alfa.si", "ALFA", target=False, single=True), o(12, "e@alfa.si", "x", source="SEARCH_RESULT"),
-    ]
-    return contacts.resolve(spark.createDataFrame(rows, _SEEN))
-
-
-@query("""SELECT * FROM (VALUES ('ana.novak@alfa.si', 'ATTRIBUTED', 'PERSON', 40, 'o1'), ('prodaja@alfa.si', 'ATTRIBUTED', 'SALES', 20, 'o2'), ('info@alfa.si', 'ATTRIBUTED', 'GENERAL', 15, 'o3;o4'), ('+38612345678', 'ATTRIBUTED', 'UNKNOWN', -2, 'o5'), ('+4930123456', 'ATTRIBUTED', 'UNKNOWN', 120, 'o6'),
-('a@alfa.si', 'UNCERTAIN', 'UNKNOWN', 25, 'o7'), ('b@alfa.si', 'REJECTED', 'UNKNOWN', 25, 'o8'), ('c@alfa.si', 'CANDIDATE', 'UNKNOWN', 25, 'o9'), ('d@alfa.si', 'UNCERTAIN', 'UNKNOWN', 25, 'o10'), ('e@alfa.si', 'ATTRIBUTED', 'UNKNOWN', 25, 'o11;o12')) t(normalized_value, status, role, default_rank, supporting)""")
-def resolved_contacts(spark: SparkSession, folder: str) -> DataFrame:
-    return _contacts(spark).select("normalized_value", "status", "role", "default_rank", F.array_join("supporting", ";").alias("supporting"))
-
-
-@query("SELECT * FROM (VALUES ('EMAIL', 'info@alfa.si'), ('PHONE', '+38612345678')) t(kind, normalized_value)")
-def default_contacts(spark: SparkSession, folder: str) -> DataFrame:
-    return contacts.defaults(_contacts(spark)).select("kind", "normalized_value")
-
-
-# Texts and pages
-
-
-@query("""SELECT * FROM (VALUES (1, 'EMAIL_CANDIDATE', 'info@alfa.si'), (1, 'PHONE_CANDIDATE', '+38612345678'), (1, 'REGISTERED_ACTIVITY', '62.010'), (1, 'REGISTRATION_NUMBER', '1234567'), (1, 'WEBSITE_CANDIDATE', 'https://www.alfa.si/'), (2, 'TAX_NUMBER', '12345678'), (2, 'PHONE_EXCLUSION', '12345678')) t(id, kind, value)""")
-def labelled_observations(spark: SparkSession, folder: str) -> DataFrame:
-    """What two texts say, a number that is the company's own identifier being no phone."""
-    rows = [(1, "Tel: +386 1 234 5678, matična številka: 1234567, SKD 2025: 62.010, piši na info@alfa.si ali www.alfa.si."), (2, "Davčna številka: SI 12345678. Telefon: 12345678"), (3, None)]
-    found = extract.observations(spark.createDataFrame(rows, "id int, t string"), "id", "t")
-    known = spark.createDataFrame([(2, "TAX_NUMBER", "SI12345678")], "id int, kind string, value string")
-    return extract.exclude_identifiers(found, known, "id").select("id", "kind", "value").distinct()
-
-
-_HTML = """<html lang="sl"><head><title>ALFA d.o.o.</title><script type="application/ld+json">{"@graph": [{"@type": "WebSite", "url": "https://alfa.si/", "publisher": {"name": "ALFA d.o.o."}}, {"@type": ["Store"], "legalName": "ALFA d.o.o."}]}</script></head>
-<body><p hidden>skrito</p><section><h2>ALFA d.o.o.</h2><a href="mailto:info@alfa.si?subject=x">info@alfa.si</a></section><a href="/kontakt">Kontakt</a></body></html>"""
-
-
-def _page(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(1, _HTML), (2, None)], "id int, html string")
-
-
-@query("SELECT * FROM (VALUES (1, 'ORGANIZATION', 'ALFA d.o.o.'), (1, 'PUBLISHER', 'ALFA d.o.o.')) t(id, kind, name)")
-def json_ld_names(spark: SparkSession, folder: str) -> DataFrame:
-    return html.json_ld(_page(spark), "id", "html").select("id", "kind", "name")
-
-
-@query("SELECT 1 AS id, 'ALFA d.o.o.' AS heading, 'info@alfa.si' AS visible_email")
-def contact_blocks(spark: SparkSession, folder: str) -> DataFrame:
-    return html.blocks(_page(spark), "id", "html").select("id", F.element_at("headings", 1).alias("heading"), "visible_email")
-
-
-@query("""SELECT * FROM (VALUES (1, 'COMPANY_PAGE', true, 'https://alfa.si/', false, false, true), (2, 'COMPANY_PAGE', true, '', false, false, false), (3, 'GROUP', false, '', true, false, false), (4, 'COMPANY_PAGE', false, '', true, true, true), (5, 'THIRD_PARTY', false, '', false, false, false), (6, 'COMPANY_PAGE', false, '', false, false, true)) t(page_id, page_type, operator_match, operator_scope, group_context, legal_conflict, site_brand_match)""")
-def page_operators(spark: SparkSession, folder: str) -> DataFrame:
-    """A publisher in scope, a statement, a group's path, another legal form beside a group's words, a listing, and an organisation that is no publisher."""
-    site = '<script type="application/ld+json">{"@type": "WebSite", "url": "%s", "publisher": {"name": "ALFA d.o.o."}}</script>'
-    firm = '<script type="application/ld+json">{"@type": "Organization", "name": "ALFA d.o.o."}</script>'
-    rows = [
-        (1, "https://alfa.si/kontakt", "ALFA", "", site % "https://alfa.si/", None), (2, "https://splet.si/a", "x", "Upravljavec spletne strani: ALFA, d.o.o., Kranj", site % "https://drugje.si/", None), (3, "https://x.si/skupina/a", "x", "", None, None),
-        (4, "https://alfa.si/", "ALFA d.d.", "Podjetja v skupini", "", None), (5, "https://y.si/", "x", "", "", "BLOCK_AS_OFFICIAL"), (6, "https://alfa.si/", "ALFA", "nekaj", firm, None),
-    ]
-    pages = spark.createDataFrame([(*r, "ALFA d.o.o.") for r in rows], "page_id int, page_url string, page_title string, visible string, html string, policy string, company_name string")
-    return ownership.page_facts(pages).select("page_id", "page_type", "operator_match", "operator_scope", "group_context", "legal_conflict", "site_brand_match")
-
-
-@query("""SELECT * FROM (VALUES (1, 'COMPANY_IDENTITY'), (1, 'BUSINESS_DESCRIPTION'), (2, 'BUSINESS_DESCRIPTION'), (3, 'COMPANY_IDENTITY'), (3, 'BUSINESS_DESCRIPTION'), (5, 'BUSINESS_DESCRIPTION')) t(id, kind)""")
-def incidental_observations(spark: SparkSession, folder: str) -> DataFrame:
-    """The name, another text, a number, blanks, and a name inside an address only."""
-    texts = ["O podjetju ALFA d.o.o.", "Izdelujemo okna", "ID za DDV: SI12345678", " \n ", "info@alfa.si"]
-    df = spark.createDataFrame([(i, t, "ALFA d.o.o.", "SI12345678", None) for i, t in enumerate(texts, 1)], "id int, t string, n string, tax string, reg string")
-    return extract.incidental(df, "id", "t", "n", "tax", "reg").select("id", "kind")
-
-
-_DETAIL = """<div id="accordianBody1"><div class="row"><span class="text-thin">Firma</span><b>ALFA d.o.o.</b></div><div class="row"><span class="text-thin">Matična številka</span><b>7654321 000</b></div>
-<div class="row"><span class="text-thin">Status subjekta</span><b>vpisan</b></div><div class="row"><span class="text-thin">Osnovni kapital</span><b>ni vpisa</b></div></div>
-<div id="accordianBody3"><div class="matchHeight"><div class="row"><span class="text-thin">Osebno ime</span><b>Oseba Ena</b></div><div class="row"><span class="text-thin">Vrsta zastopnika</span><b>direktor</b></div><div class="row"><span class="text-thin">Naslov</span><b>Doma 1</b></div><div class="row"><span class="text-thin">Datum podelitve pooblastila</span><b>1.2.2020</b></div></div></div>
-<div id="accordianBody2"><div class="col-md-6"><h4>DRUŽBENIKI</h4><div style="page-break-inside: avoid"><div class="row"><span class="text-thin">Zap. št. družbenika</span><b>1</b></div><div class="row"><span class="text-thin">Osebno ime</span><b>Oseba Ena</b></div><div class="row"><span class="text-thin">Naslov</span><b>Doma 1</b></div></div></div>
-<div class="col-md-6"><h4>POSLOVNI DELEŽI</h4><div style="page-break-inside: avoid"><div class="row"><span class="text-thin">Zap. št. deleža</span><b>7</b></div><div class="row"><span class="text-thin">Imetniki</span><b>Zap. št. družbenika 1</b></div><div class="row"><span class="text-thin">Delež v odstotku ali ulomku</span><b>50,5 %</b></div></div></div></div>"""
-
-
-@query("""SELECT * FROM (VALUES ('company', 'ALFA d.o.o.', '7654321000'), ('fact', 'registry_status', 'vpisan'), ('person', 'Oseba Ena', 'direktor 2020-02-01 [REDACTED]'), ('share', 'NATURAL_PERSON', '50.5 [REDACTED]')) t(what, name, value)""")
-def registry_page(spark: SparkSession, folder: str) -> DataFrame:
-    """A detail page's company, facts, people and owners; addresses of people are not kept."""
-    pages = spark.createDataFrame([(1, "https://r.example.com/podjetje.asp?e=42", _DETAIL)], "id int, url string, html string")
-    found = registry.details(pages, "id", "html").join(pages.select("id", "url"), "id")
-    out = registry.companies(found, "id", "url").select(F.lit("company").alias("what"), F.col("canonical_name").alias("name"), F.col("registration_number").alias("value"))
-    out = out.unionAll(registry.facts(found, "id").select(F.lit("fact"), "fact_key", "value"))
-    out = out.unionAll(registry.people(found, "id").select(F.lit("person"), "full_name", F.concat_ws(" ", "title", "valid_from", F.col("raw_fields")["Naslov"])))
-    return out.unionAll(registry.ownership(found, "id").select(F.lit("share"), "owner_type", F.concat_ws(" ", F.col("share_percent").cast("string"), F.col("raw_fields")["Naslov"])))
-
-
-@query("""SELECT * FROM (VALUES (1, 'OK', '7654321', 'https://r.example.com/podjetje.asp?e=5'), (2, 'NO_RESULT', NULL, NULL), (3, 'LOGIN_REQUIRED', NULL, NULL)) t(id, status, registration_number, detail_url)""")
-def registry_search(spark: SparkSession, folder: str) -> DataFrame:
-    shown = '<table><tr><th>Firma</th><th>Matična številka</th><th>Davčna številka</th></tr><tr><td><a href="podjetje.asp?e=5">ALFA</a></td><td>765 4321</td><td>SI 12345678</td></tr><tr><td>kratka</td></tr></table>'
-    pages = spark.createDataFrame([(1, shown), (2, "Ni zadetkov"), (3, "PRIJAVA V SISTEM")], "id int, html string")
-    return registry.search_candidates(pages, "id", "html", "https://r.example.com/").select("id", "status", "registration_number", "detail_url")
-
-
-@query("""SELECT * FROM (VALUES (1, 1234.5, 'PARTIAL'), (2, NULL, 'PARSE_ERROR'), (3, NULL, 'PARSE_ERROR'), (4, 1.0, 'OK')) t(id, revenue_2025, financial_status)""")
-def financial_cells(spark: SparkSession, folder: str) -> DataFrame:
-    rows = [(1, 0, "1.234,50", "Prihodki"), (1, 1, "-", "Čisti poslovni izid"), (1, 2, "7", "Zaposleni"), (2, 0, "x", "Prihodki"), (3, 0, "5", "?"), (4, 0, "1", "Prihodki"), (4, 1, "2", "Dobiček"), (4, 2, "3", "Zaposleni")]
-    return registry.financials(spark.createDataFrame(rows, "id int, cell_no int, raw string, label string"), "id").select("id", F.col("revenue_2025").cast("decimal(5,1)").alias("revenue_2025"), "financial_status")
-
-
-@query("""SELECT * FROM (VALUES (1, 0, 'ALFA d.o.o.', '7654321', '12345678', '42', '4000 Kranj')) t(id, row_no, company_name, registration_number, tax_number, external_id, municipality)""")
-def result_rows(spark: SparkSession, folder: str) -> DataFrame:
-    item = '<li class="x newsearchIcon"><h3>ALFA d.o.o.</h3><div class="address">Cesta 1, 4000 Kranj</div><span class="registrationNumber">Matična: 7654321</span><span class="taxNumber">Davčna: 12345678</span><a href="/d?CompanyId=42">več</a></li><li class="newsearchIcon"><h3> </h3></li>'
-    pages = spark.createDataFrame([(1, f"<ul>{item}</ul>")], "id int, html string")
-    return results.company_rows(pages, "id", "html", "https://r.example.com/").select("id", "row_no", "company_name", "registration_number", "tax_number", "external_id", "municipality")
+# Pages
 
 
 @query("""WITH p AS (SELECT c_nationkey AS page, list_sort(list(DISTINCT c_mktsegment)) AS ids FROM customer GROUP BY 1) SELECT page, substr(sha256(array_to_string(ids, chr(10))), 1, 20) AS fingerprint, min(page) OVER (PARTITION BY ids) AS first_page FROM p""")
@@ -323,7 +202,6 @@ def repeated_pages(spark: SparkSession, folder: str) -> DataFrame:
     return results.distinct_pages(table(spark, folder, "customer").select(F.col("c_nationkey").alias("page"), "c_mktsegment"), "page", F.col("c_mktsegment"))
 
 
-@query("SELECT md5(string_agg(sha256('reg' || chr(31) || c_custkey), '' ORDER BY c_custkey)) AS keys FROM customer")
+@query("SELECT c_custkey, sha256('reg' || chr(31) || c_custkey) AS key FROM customer")
 def stable_keys(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "customer").select("c_custkey", ids.entity_key(F.lit("reg"), F.col("c_custkey")).alias("key"))
-    return rows.agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "key"))), lambda r: r["key"]), "")).alias("keys"))
+    return table(spark, folder, "customer").select("c_custkey", ids.entity_key(F.lit("reg"), F.col("c_custkey")).alias("key"))
