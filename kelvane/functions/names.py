@@ -31,7 +31,11 @@ def matching_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def name_similarity(a: Column, b: Column, ratio: Column | None = None) -> Column:
     """0 to 100 from two raw names: 0.55 of the character ratio and 0.45 of the word overlap. ``ratio`` replaces the Python part."""
-    x, y = match_name(a), match_name(b)
+    return similarity_of(match_name(a), match_name(b), ratio)
+
+
+def similarity_of(x: Column, y: Column, ratio: Column | None = None) -> Column:
+    """``name_similarity`` of names in the matcher's form."""
     both = F.round(55 * (matching_ratio(x, y) if ratio is None else ratio) + 45 * jaccard(x, y), 2)
     return F.when((x == "") | (y == ""), 0.0).when(x == y, 100.0).otherwise(both)
 

@@ -1,28 +1,120 @@
-"""Candidate matching: score the candidates of each input row and keep the best."""
+"""Candidate matching: the candidates of each input row that can reach a score, exactly and without comparing all with all.
+
+Points come from equal identifiers, mail domains and telephone tails, and from the similarity of names. A pair that
+reaches the gate either has such an equal value, which is one equi join on (kind, value), or its names alone bring the
+points. Names that similar share most of their words: if 55 * ratio + 45 * overlap is to reach s, the overlap is
+(s - 55) / 45 at least, whatever the characters say. So names are joined as sets of words, by a prefix filter: with
+words in one order, rarest first, two sets of overlap t share a word among the first n - ceil(t * n) + 1 of each.
+Everything is normalised once for each row; pairs compare finished values.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import names
+from ..functions import names, phones, urls
+from ..functions.text import match_name
 from .relational import top_per_key
 
+IN = ("name", "email", "phone", "registration_number", "tax_number")
+CANDIDATE = ("name", "domain", "email_domain", "phone", "registration_number", "tax_number")
+
+
+def _trimmed(c: str) -> Column:
+    return F.trim(F.coalesce(F.col(c), F.lit("")))
+
+
+def _tail(c: str) -> Column:
+    """What telephone numbers are compared by: the last eight digits, or all of a shorter one."""
+    number = phones.match_phone(F.col(c))
+    return F.when(F.length(number) >= 8, F.right(number, F.lit(8))).otherwise(F.concat(F.lit("="), F.nullif(number, F.lit(""))))
+
+
+def prepared_inputs(left: DataFrame, input_id: str) -> DataFrame:
+    """(input_id, x, kept): the matcher's name, and a struct of the values that are compared."""
+    values = F.struct(_trimmed("in_registration_number").alias("registration"), _trimmed("in_tax_number").alias("tax"), urls.email_domain(F.col("in_email")).alias("domain"), _tail("in_phone").alias("phone"))
+    return left.select(F.col(input_id), match_name(F.col("in_name")).alias("x"), values.alias("a"))
+
+
+def prepared_candidates(right: DataFrame, cand_id: str) -> DataFrame:
+    plain = lambda c: F.coalesce(F.col(c), F.lit(""))
+    values = F.struct(
+        plain("cand_registration_number").alias("registration"), plain("cand_tax_number").alias("tax"), urls.match_domain(F.col("cand_domain")).alias("domain"), urls.match_domain(F.col("cand_email_domain")).alias("email_domain"), _tail("cand_phone").alias("phone"),
+    )
+    return right.select(F.col(cand_id), match_name(F.col("cand_name")).alias("y"), values.alias("b"))
+
+
+def least_overlap(gate: float) -> float | None:
+    """The least word overlap of names whose points alone reach the gate; None if no names' points do."""
+    enough = [least for least, worth, _ in names.NAME_STEPS if worth >= gate]
+    return max((min(enough) - 0.005 - 55) / 45, 1e-9) if enough else None
+
 
-def score_pairs(pairs: DataFrame, exact: bool = True) -> DataFrame:
-    """``pairs`` (columns in_* and cand_*: name, email, phone, registration_number, tax_number; cand_domain, cand_email_domain) with score, confidence and reasons.
+def similar_names(left: DataFrame, right: DataFrame, overlap: float) -> DataFrame:
+    """(x, y, overlap) of distinct names whose words overlap by ``overlap`` or more: a set-similarity join by prefixes.
+
+    ``left`` (x) and ``right`` (y) hold distinct names that are not blank.
+    """
+    every = left.select(F.col("x").alias("name"), F.lit(True).alias("asks")).unionByName(right.select(F.col("y").alias("name"), F.lit(False).alias("asks")))
+    words = every.select("name", "asks", F.explode(names.tokens(F.col("name"))).alias("word"))
+    often = words.groupBy("word").agg(F.count("*").alias("n"))
+    # a name's words stay together by (name, asks): one row for each word meets its frequency, then they are gathered again
+    ordered = words.join(often, "word").groupBy("name", "asks").agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("w"))
+    size = F.size("w")
+    reach = size - F.ceil(F.lit(overlap) * size - 1e-9).cast("int") + 1
+    first = ordered.select("asks", "name", F.transform("w", lambda v: v["word"]).alias("words"), F.explode(F.slice("w", F.lit(1), reach)).alias("p"))
+    first = first.select("asks", "name", "words", F.col("p.word").alias("word"))
+    a = first.filter("asks").select("word", F.col("name").alias("x"), F.col("words").alias("xs"))
+    b = first.filter("not asks").select("word", F.col("name").alias("y"), F.col("words").alias("ys"))
+    fits = (F.size("ys") >= overlap * F.size("xs") - 1e-9) & (F.size("xs") >= overlap * F.size("ys") - 1e-9)
+    common = F.size(F.array_intersect("xs", "ys"))
+    met = a.join(b, "word").filter(fits)
+    # a pair that shares several prefix words is met once for each: only the first of them speaks
+    met = met.filter(F.col("word") == F.element_at(F.array_intersect("xs", "ys"), 1))
+    return met.select("x", "y", (common / (F.size("xs") + F.size("ys") - common)).alias("overlap")).filter(F.col("overlap") >= overlap - 1e-9)
+
+
+def met_pairs(inputs: DataFrame, candidates: DataFrame, input_id: str, cand_id: str, gate: float = 50, n: int = 1) -> DataFrame:
+    """(input_id, cand_id) of all pairs that can reach the gate and be among the n best of their input.
+
+    Of candidates with one name that meet an input by it alone, all have the same points: the first n stand for them.
+    """
+    kinds = lambda v, fields: F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"{v}.{f}").alias("value")) for f, k in fields])).alias("k")
+    asked = inputs.select(input_id, kinds("a", (("registration", 1), ("tax", 2), ("domain", 3), ("phone", 4)))).select(input_id, "k.*").filter("value <> ''")
+    known = candidates.select(cand_id, kinds("b", (("registration", 1), ("tax", 2), ("domain", 3), ("email_domain", 3), ("phone", 4)))).select(cand_id, "k.*").filter("value <> ''")
+    pairs = asked.join(known, ["kind", "value"]).select(input_id, cand_id)
+    overlap = least_overlap(gate)
+    if overlap is not None:
+        near = similar_names(inputs.filter("x <> ''").select("x").distinct(), candidates.filter("y <> ''").select("y").distinct(), overlap)
+        holders = top_per_key(candidates.filter("y <> ''").select("y", cand_id), ["y"], n, F.col(cand_id).asc())
+        pairs = pairs.unionByName(inputs.select(input_id, "x").join(near, "x").join(holders, "y").select(input_id, cand_id))
+    return pairs.distinct()
+
+
+def score_met(pairs: DataFrame, inputs: DataFrame, candidates: DataFrame, input_id: str, cand_id: str, exact: bool = True) -> DataFrame:
+    """``pairs`` with similarity, score, confidence and reasons.
 
     ``exact`` uses the character ratio, an Arrow UDF; without it the word overlap stands in for it.
     """
-    c = lambda n: F.col(n)
-    ratio = None if exact else names.jaccard(names.match_name(c("in_name")), names.match_name(c("cand_name")))
-    similarity = names.name_similarity(c("in_name"), c("cand_name"), ratio)
-    scored = pairs.withColumn("similarity", similarity)
-    found = names.candidate_score(
-        c("similarity"), names.equal_and_present(c("in_registration_number"), c("cand_registration_number")), names.equal_and_present(c("in_tax_number"), c("cand_tax_number")),
-        names.same_domain(c("in_email"), c("cand_domain"), c("cand_email_domain")), names.same_phone(c("in_phone"), c("cand_phone")),
-    )
-    return scored.withColumn("__s", found).select(*pairs.columns, "similarity", "__s.score", "__s.confidence", "__s.reasons")
+    joined = pairs.join(inputs, input_id).join(candidates, cand_id)
+    both = lambda f, g: (F.col(f"a.{f}") != "") & (F.col(f"a.{f}") == F.col(f"b.{g}"))
+    x, y = F.col("x"), F.col("y")
+    scored = joined.withColumn("similarity", names.similarity_of(x, y, None if exact else names.jaccard(x, y)))
+    domain = both("domain", "domain") | both("domain", "email_domain")
+    found = names.candidate_score(F.col("similarity"), both("registration", "registration"), both("tax", "tax"), domain, F.coalesce(F.col("a.phone") == F.col("b.phone"), F.lit(False)))
+    return scored.withColumn("s", found).select(input_id, cand_id, "similarity", "s.score", "s.confidence", "s.reasons")
+
+
+def matches(left: DataFrame, right: DataFrame, input_id: str, cand_id: str, gate: float = 50, n: int = 1, exact: bool = True) -> DataFrame:
+    """The n best candidates of each input row among those that reach the gate, by score and then by ``cand_id``; equal to scoring all pairs.
+
+    ``left`` has in_* columns, ``right`` cand_* columns (``IN``, ``CANDIDATE``), both an id of their own.
+    """
+    inputs, candidates = prepared_inputs(left, input_id), prepared_candidates(right, cand_id)
+    pairs = met_pairs(inputs, candidates, input_id, cand_id, gate, n)
+    scored = score_met(pairs, inputs, candidates, input_id, cand_id, exact).filter(F.col("score") >= gate)
+    return best_matches(scored, input_id, cand_id, n)
 
 
 def best_matches(scored: DataFrame, input_id: str, ordinal: str, n: int = 1) -> DataFrame:

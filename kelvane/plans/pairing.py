@@ -28,40 +28,63 @@ def name_jaccard_topk(spark: SparkSession, folder: str) -> DataFrame:
     return best.select("a", "b", "jaccard", F.col("place").cast("long").alias("place"))
 
 
-def _pairs(spark: SparkSession, folder: str) -> DataFrame:
-    c, s = table(spark, folder, "customer"), table(spark, folder, "supplier")
-    none, text = F.lit(""), lambda x: x.cast("string")
-    left = c.select(
-        F.col("c_custkey").alias("input_id"), F.col("c_nationkey").alias("block"), F.concat(F.lit("Supplier "), text(F.col("c_custkey") % 100)).alias("in_name"), F.concat(F.lit("info@host"), text(F.col("c_custkey") % 40), F.lit(".example.com")).alias("in_email"),
-        F.lpad(text(F.col("c_custkey") % 60 + 41000000), 9, "0").alias("in_phone"), F.when(F.col("c_custkey") % 9 == 0, text(F.col("c_custkey") % 100)).otherwise(none).alias("in_registration_number"), none.alias("in_tax_number"),
-    )
-    right = s.select(
-        F.col("s_suppkey").alias("cand_id"), F.col("s_nationkey").alias("block"), F.concat(F.lit("Supplier "), text(F.col("s_suppkey"))).alias("cand_name"), F.concat(F.lit("https://www.host"), text(F.col("s_suppkey") % 40), F.lit(".example.com/x")).alias("cand_domain"),
-        none.alias("cand_email_domain"), F.concat(F.lit("+386 "), text(F.col("s_suppkey") % 60 + 41000000)).alias("cand_phone"), text(F.col("s_suppkey")).alias("cand_registration_number"), none.alias("cand_tax_number"),
-    )
-    # scoring is by the pair, so that even a small file of customers is worth several tasks
-    tasks = max(c.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism)
-    return matching.blocked_pairs(left.repartition(tasks, "input_id"), right, "block")
+_WORDS = "alfa beta gama delta epsilon zeta eta theta iota kapa lambda mi ni ksi omikron pi ro sigma tau"
+_ASKING = {
+    "input_id": "c_custkey",
+    "in_name": f"""CASE c_custkey % 4 WHEN 0 THEN 'Supplier ' || c_custkey % 100 WHEN 1 THEN c_custkey % 100 || ', SUPPLIER d.o.o.' WHEN 2 THEN 'Supplier ' || c_custkey % 100 || ' {_WORDS}' ELSE '{_WORDS} Supplier ' || c_custkey % 100 || ' ipsilon' END""",
+    "in_email": "'info@host' || c_custkey % 400 || '.example.com'", "in_phone": "CASE WHEN c_custkey % 3 = 0 THEN '0' || (41000000 + c_custkey % 600) ELSE '' END",
+    "in_registration_number": "CASE WHEN c_custkey % 9 = 0 THEN '' || c_custkey % 100 ELSE '' END", "in_tax_number": "CASE WHEN c_custkey % 7 = 0 THEN ' T' || c_custkey % 300 END",
+}
+_OFFERED = {
+    "cand_id": "s_suppkey", "cand_name": f"CASE WHEN s_suppkey % 4 < 2 THEN 'Supplier ' || s_suppkey ELSE 'Supplier ' || s_suppkey || ' {_WORDS}' END", "cand_domain": "CASE WHEN s_suppkey % 2 = 0 THEN 'https://www.host' || s_suppkey % 400 || '.example.com/x' END",
+    "cand_email_domain": "CASE WHEN s_suppkey % 5 = 0 THEN 'x@host' || (s_suppkey + 1) % 400 || '.example.com' ELSE '' END", "cand_phone": "'+386 ' || (41000000 + s_suppkey % 600)", "cand_registration_number": "'' || s_suppkey", "cand_tax_number": "CASE WHEN s_suppkey % 2 = 1 THEN 'T' || s_suppkey END",
+}
+
+
+def _sides(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    made = lambda name, columns: table(spark, folder, name).selectExpr(*[f"{e} AS {c}" for c, e in columns.items()])
+    return made("customer", _ASKING), made("supplier", _OFFERED)
+
 
+def _listed(name: str, columns: dict[str, str]) -> str:
+    return "(SELECT " + ", ".join(f"{e} AS {c}" for c, e in columns.items()) + f" FROM {name})"
 
-_SIM = "CASE WHEN c % 100 = k THEN 100.0 ELSE round((55 + 45) * (1.0 / 3), 2) END"
 
+def _plain_name(c: str) -> str:
+    return f"list_filter(string_split(trim(regexp_replace(regexp_replace(lower({c}), 'd\\.o\\.o\\.?', ' doo '), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: w NOT IN ('doo', ''))"
 
-@query(f"""WITH p AS (SELECT c_custkey AS c, s_suppkey AS k FROM customer JOIN supplier ON c_nationkey = s_nationkey),
-s AS (SELECT c, k, {_SIM} AS sim, CASE WHEN c % 9 = 0 AND c % 100 = k THEN 100 ELSE 0 END + CASE WHEN c % 40 = k % 40 THEN 80 ELSE 0 END + CASE WHEN c % 60 = k % 60 THEN 60 ELSE 0 END AS base FROM p),
-t AS (SELECT c, k, least(base + CASE WHEN sim >= 95 THEN 55 WHEN sim >= 85 THEN 45 WHEN sim >= 70 THEN 30 WHEN sim >= 55 THEN 15 ELSE 0 END, 100)::DOUBLE AS score FROM s),
-b AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY score DESC, k) AS rn FROM t)
-SELECT c AS input_id, k AS cand_id, score, CASE WHEN score >= 90 THEN 'HIGH' WHEN score >= 70 THEN 'MEDIUM' WHEN score >= 50 THEN 'LOW' ELSE 'REJECT' END AS confidence,
-CASE WHEN score >= 90 THEN 'CONFIRMED' WHEN score >= 50 THEN 'REVIEW' ELSE 'NO_MATCH' END AS match_status FROM b WHERE rn = 1""")
+
+_POINTS = rf"""a AS (SELECT *, {_plain_name('in_name')} AS x, split_part(in_email, '@', 2) AS d, right(in_phone, 8) AS t FROM {_listed('customer', _ASKING)}),
+b AS (SELECT *, {_plain_name('cand_name')} AS y, regexp_extract(cand_domain, 'www\.([^/]+)', 1) AS d1, split_part(cand_email_domain, '@', 2) AS d2, right(cand_phone, 8) AS t FROM {_listed('supplier', _OFFERED)}),
+j AS (SELECT input_id, cand_id, CASE WHEN x = y THEN 100.0 ELSE round(100 * (len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y)))::DOUBLE), 2) END AS sim, CASE WHEN in_registration_number <> '' AND in_registration_number = cand_registration_number THEN 100 ELSE 0 END
+ + CASE WHEN coalesce(trim(in_tax_number) = cand_tax_number, false) THEN 100 ELSE 0 END + CASE WHEN coalesce(a.d = d1, false) OR a.d = d2 THEN 80 ELSE 0 END + CASE WHEN in_phone <> '' AND a.t = b.t THEN 60 ELSE 0 END AS base FROM a CROSS JOIN b),
+s AS (SELECT input_id, cand_id, least(base + CASE WHEN sim >= 95 THEN 55 WHEN sim >= 85 THEN 45 WHEN sim >= 70 THEN 30 WHEN sim >= 55 THEN 15 ELSE 0 END, 100)::DOUBLE AS score FROM j)"""
+
+
+@query(f"""WITH {_POINTS}, best AS (SELECT *, row_number() OVER (PARTITION BY input_id ORDER BY score DESC, cand_id) AS k FROM s WHERE score >= 50)
+SELECT c_custkey AS input_id, cand_id, coalesce(score, 0) AS score, CASE WHEN score >= 90 THEN 'HIGH' WHEN score >= 70 THEN 'MEDIUM' WHEN score >= 50 THEN 'LOW' ELSE 'REJECT' END AS confidence,
+CASE WHEN score >= 90 THEN 'CONFIRMED' WHEN score >= 50 THEN 'REVIEW' ELSE 'NO_MATCH' END AS match_status FROM customer LEFT JOIN best ON input_id = c_custkey AND k = 1""")
 def candidate_score_gate(spark: SparkSession, folder: str) -> DataFrame:
-    scored = matching.score_pairs(_pairs(spark, folder), exact=False)
-    return matching.with_status(matching.best_matches(scored, "input_id", "cand_id")).select("input_id", "cand_id", "score", "confidence", "match_status")
+    """The best candidate of every customer among all suppliers; those that none reaches the gate for have no match."""
+    left, right = _sides(spark, folder)
+    best = matching.matches(left, right, "input_id", "cand_id", exact=False)
+    found = left.select("input_id").join(best, "input_id", "left").withColumns({"score": F.coalesce("score", F.lit(0.0)), "confidence": F.coalesce("confidence", F.lit("REJECT"))})
+    return matching.with_status(found).select("input_id", "cand_id", "score", "confidence", "match_status")
+
+
+@query(f"""WITH {_POINTS} SELECT input_id, cand_id, score, k AS place FROM (SELECT *, row_number() OVER (PARTITION BY input_id ORDER BY score DESC, cand_id) AS k FROM s WHERE score >= 30) WHERE k <= 3""")
+def candidate_score_top(spark: SparkSession, folder: str) -> DataFrame:
+    """The three best of every customer down to names that are good only."""
+    left, right = _sides(spark, folder)
+    best = matching.matches(left, right, "input_id", "cand_id", gate=30, n=3, exact=False)
+    return rel.numbered(best, "input_id", "place", F.col("score").desc(), "cand_id").select("input_id", "cand_id", "score", F.col("place").cast("long").alias("place"))
 
 
 @query()
 def candidate_score_exact(spark: SparkSession, folder: str) -> DataFrame:
-    scored = matching.score_pairs(_pairs(spark, folder))
-    return matching.with_status(matching.best_matches(scored, "input_id", "cand_id", 3)).select("input_id", "cand_id", "similarity", "score", "confidence", "reasons", "match_status")
+    """The three best with the character ratio; tests hold them against all pairs."""
+    left, right = _sides(spark, folder)
+    return matching.with_status(matching.matches(left, right, "input_id", "cand_id", n=3))
 
 
 @query("""WITH latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events) WHERE rn = 1),

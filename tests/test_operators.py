@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from kelvane.operators import contacts, domains, extract, html, identity, jobs, keywords, matching, merge, ownership, registry
+from kelvane.operators import contacts, domains, extract, html, identity, jobs, keywords, merge, ownership, registry
 from kelvane.operators import relational as rel
 
 
@@ -199,15 +199,6 @@ def test_financials(spark):
     assert got == {1: (1234.5, "PARTIAL"), 2: (None, "PARSE_ERROR"), 3: (None, "PARSE_ERROR"), 4: (1.0, "OK")}
 
 
-def test_matching(spark):
-    schema = "i int, in_name string, in_email string, in_phone string, in_registration_number string, in_tax_number string, cand int, cand_name string, cand_domain string, cand_email_domain string, cand_phone string, cand_registration_number string, cand_tax_number string"
-    row = lambda c, name, domain="", phone="", reg="": (1, "ALFA d.o.o.", "x@alfa.si", "01 234 5678", "11", "", c, name, domain, "", phone, reg, "")
-    df = spark.createDataFrame([row(1, "Alfa", "www.alfa.si"), row(2, "Beta", "", "+386 1 2345678"), row(3, "Gama", reg="11"), row(4, "Alfa", "www.alfa.si")], schema)
-    best = matching.with_status(matching.best_matches(matching.score_pairs(df), "i", "cand", 4)).orderBy("cand").collect()
-    assert [(r.score, r.match_status) for r in best] == [(100.0, "CONFIRMED"), (60.0, "REVIEW"), (100.0, "CONFIRMED"), (100.0, "CONFIRMED")]
-    assert matching.best_matches(matching.score_pairs(df), "i", "cand").first().cand == 1
-
-
 def test_queue(spark):
     schema = "id int, source string, priority int, created_at timestamp, status string, attempts int, max_attempts int, not_before timestamp"
     t = "2024-01-0{}".format
