@@ -7,7 +7,7 @@ publishers. Only these need a parser; what a regular expression can find is in `
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -108,25 +108,34 @@ def contact_block(node: Node) -> Node:
 BLOCKS = "href string, publication string, headings array<string>, page_headings array<string>, visible_email string"
 
 
-def blocks(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """One row for each mailto and tel link: its block's text (2,000 characters), the block's and the page's headings."""
+def page_blocks(source: str | None) -> list[dict]:
+    """What ``blocks`` gives for one page."""
+    root, rows = parse(source), []
+    every = [n.text() for n in root.walk() if n.tag in _HEADINGS]
+    for a in root.walk():
+        href = a.attrs.get("href", "")
+        if a.tag == "a" and href.lower().startswith(("mailto:", "tel:")):
+            block, shown = contact_block(a), a.text()
+            rows.append({"href": href, "publication": block.text()[:2000], "headings": [n.text() for n in block.walk() if n.tag in _HEADINGS], "page_headings": every, "visible_email": shown if "@" in shown else ""})
+    return rows
+
+
+def _exploded(pages: DataFrame, key: str, html: str, found: Callable[[str | None], list[dict]], fields: pa.Schema, schema: str) -> DataFrame:
+    """``key`` and the rows that ``found`` gives for each page."""
     kind = pages.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for k, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                root = parse(source)
-                every = [n.text() for n in root.walk() if n.tag in _HEADINGS]
-                for a in root.walk():
-                    href = a.attrs.get("href", "")
-                    if a.tag == "a" and href.lower().startswith(("mailto:", "tel:")):
-                        block, shown = contact_block(a), a.text()
-                        rows.append({key: k, "href": href, "publication": block.text()[:2000], "headings": [n.text() for n in block.walk() if n.tag in _HEADINGS], "page_headings": every, "visible_email": shown if "@" in shown else ""})
-            schema = pa.schema([(key, batch.schema.field(0).type), ("href", pa.string()), ("publication", pa.string()), ("headings", pa.list_(pa.string())), ("page_headings", pa.list_(pa.string())), ("visible_email", pa.string())])
-            yield from pa.Table.from_pylist(rows, schema=schema).to_batches()
+            rows = [{key: k, **row} for k, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for row in found(source)]
+            yield from pa.Table.from_pylist(rows, schema=pa.schema([(key, batch.schema.field(0).type), *fields])).to_batches()
 
-    return pages.select(key, html).mapInArrow(run, f"`{key}` {kind}, {BLOCKS}")
+    return pages.select(key, html).mapInArrow(run, f"`{key}` {kind}, {schema}")
+
+
+def blocks(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """One row for each mailto and tel link: its block's text (2,000 characters), the block's and the page's headings."""
+    fields = pa.schema([("href", pa.string()), ("publication", pa.string()), ("headings", pa.list_(pa.string())), ("page_headings", pa.list_(pa.string())), ("visible_email", pa.string())])
+    return _exploded(pages, key, html, page_blocks, fields, BLOCKS)
 
 
 def _objects(value: object) -> Iterator[dict]:
@@ -139,28 +148,29 @@ def _objects(value: object) -> Iterator[dict]:
             yield from _objects(v)
 
 
+OBJECTS = "position int, kind string, name string, url string"
+
+
+def page_objects(source: str | None) -> list[dict]:
+    """What ``json_ld`` gives for one page."""
+    rows: list[dict] = []
+    for script in (n for n in parse(source).walk() if n.tag == "script" and n.attrs.get("type") == "application/ld+json"):
+        try:
+            found = json.loads(script.text(seen_only=False))
+        except ValueError:
+            continue
+        for o in _objects(found):
+            types = o.get("@type") or []
+            types = [types] if isinstance(types, str) else types
+            name = lambda x: str(x.get("legalName") or x.get("name") or "")
+            if any(t in ORGANISATIONS for t in types):
+                rows.append({"position": len(rows), "kind": "ORGANIZATION", "name": name(o), "url": str(o.get("url") or "")})
+            if "WebSite" in types and isinstance(o.get("publisher"), dict):
+                rows.append({"position": len(rows), "kind": "PUBLISHER", "name": name(o["publisher"]), "url": str(o.get("url") or "")})
+    return rows
+
+
 def json_ld(pages: DataFrame, key: str, html: str) -> DataFrame:
     """(key, position, kind, name, url): organisations, and publishers of WebSite objects, at any depth of a page's ld+json scripts."""
-    kind = pages.schema[key].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for k, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for script in (n for n in parse(source).walk() if n.tag == "script" and n.attrs.get("type") == "application/ld+json"):
-                    try:
-                        found = json.loads(script.text(seen_only=False))
-                    except ValueError:
-                        continue
-                    for o in _objects(found):
-                        types = o.get("@type") or []
-                        types = [types] if isinstance(types, str) else types
-                        name = lambda x: str(x.get("legalName") or x.get("name") or "")
-                        if any(t in ORGANISATIONS for t in types):
-                            rows.append({key: k, "position": len(rows), "kind": "ORGANIZATION", "name": name(o), "url": str(o.get("url") or "")})
-                        if "WebSite" in types and isinstance(o.get("publisher"), dict):
-                            rows.append({key: k, "position": len(rows), "kind": "PUBLISHER", "name": name(o["publisher"]), "url": str(o.get("url") or "")})
-            schema = pa.schema([(key, batch.schema.field(0).type), ("position", pa.int32()), ("kind", pa.string()), ("name", pa.string()), ("url", pa.string())])
-            yield from pa.Table.from_pylist(rows, schema=schema).to_batches()
-
-    return pages.select(key, html).mapInArrow(run, f"`{key}` {kind}, position int, kind string, name string, url string")
+    fields = pa.schema([("position", pa.int32()), ("kind", pa.string()), ("name", pa.string()), ("url", pa.string())])
+    return _exploded(pages, key, html, page_objects, fields, OBJECTS)

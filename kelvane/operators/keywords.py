@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,12 +40,61 @@ def with_family(df: DataFrame, text: str) -> DataFrame:
     return df.withColumn("matches", matches(F.col(text), FAMILY_RULES)).withColumn("score", score(F.col("matches"))).withColumn("family_status", family_status(F.col("score")))
 
 
-def score_by_rules(df: DataFrame, key: str, text: str, rules: DataFrame) -> DataFrame:
-    """The same with rules as a (small, broadcast) table (category, score, keyword): one row per key with score and matches."""
-    rules = F.broadcast(rules.select("category", "keyword", F.col("score").alias("points")))
-    hits = df.join(rules, F.lower(F.col(text)).contains(F.lower(F.col("keyword"))))
-    found = hits.groupBy(key).agg(F.sum("points").alias("score"), F.array_sort(F.collect_list(F.struct("category", "keyword"))).alias("matches"))
-    return df.select(key).join(found, key, "left").withColumn("score", F.coalesce("score", F.lit(0).cast("long")))
+#: Bytes of keywords that one automaton is made of, and so that a task holds; more rules are taken in several passes.
+AUTOMATON_BYTES = 16 << 20
+
+
+def rule_parts(rules: DataFrame, most: int = AUTOMATON_BYTES) -> list[DataFrame]:
+    """The rules in parts of about ``most`` bytes of keywords, by hash; usually one."""
+    size = rules.agg(F.sum(F.octet_length("keyword"))).first()[0] or 0
+    parts = -(-size // most) or 1
+    return [rules] if parts == 1 else [rules.filter(F.pmod(F.xxhash64("keyword"), F.lit(parts)) == k) for k in range(parts)]
+
+
+def rule_hits(df: DataFrame, key: str, text: str, rules: DataFrame, most: int = AUTOMATON_BYTES) -> DataFrame:
+    """(key, category, keyword, score) of the rules whose keyword stands in a text, whatever its case.
+
+    The keywords of a part make one Aho-Corasick automaton, which reads a text once and meets all that stand in it: the
+    cost of a text does not depend on the number of rules. Lower case is Spark's on both sides; blank keywords match
+    every text, as an empty string stands in any.
+    """
+    low = df.select(key, F.lower(F.coalesce(F.col(text), F.lit(""))).alias("low"))
+    kind = df.schema[key].dataType.simpleString()
+    out = None
+    for part in rule_parts(rules.select("category", "keyword", F.col("score").cast("int").alias("score")), most):
+        listed = part.withColumn("low", F.lower("keyword")).toArrow().to_pylist()  # bounded by ``most``
+        held = df.sparkSession.sparkContext.broadcast([(r["low"], r["category"], r["keyword"], r["score"]) for r in listed])
+
+        def scan(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+            import ahocorasick
+
+            rules_, words = held.value, {}
+            for k, (word, *_) in enumerate(rules_):
+                words.setdefault(word, []).append(k)
+            always, machine = words.pop("", []), ahocorasick.Automaton()
+            for word, of in words.items():
+                machine.add_word(word, of)
+            machine.make_automaton()
+            for batch in batches:
+                at, hit = [], []
+                for i, body in enumerate(batch.column(1).to_pylist()):
+                    found = {k for _, of in machine.iter(body) for k in of} if len(machine) else set()
+                    found |= set(always)
+                    at += [i] * len(found)
+                    hit += sorted(found)
+                columns = [pa.array([rules_[k][c] for k in hit], t) for c, t in ((1, pa.string()), (2, pa.string()), (3, pa.int32()))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *columns], names=[key, "category", "keyword", "score"])
+
+        hits = low.mapInArrow(scan, f"`{key}` {kind}, category string, keyword string, score int")
+        out = hits if out is None else out.unionByName(hits)
+    return out
+
+
+def score_by_rules(df: DataFrame, key: str, text: str, rules: DataFrame, most: int = AUTOMATON_BYTES) -> DataFrame:
+    """One row for each key: the sum of the scores of the rules (category, score, keyword) that match, and how many do. ``key`` is unique."""
+    found = rule_hits(df, key, text, rules, most).groupBy(key).agg(F.sum("score").alias("score"), F.count("*").alias("n_matches"))
+    zero = F.lit(0).cast("long")
+    return df.select(key).join(found, key, "left").select(key, F.coalesce("score", zero).alias("score"), F.coalesce("n_matches", zero).alias("n_matches"))
 
 
 def load_rules(path: str | Path) -> list[tuple[str, int, str]]:

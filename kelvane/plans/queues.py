@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import jobs
 from ..operators import relational as rel
+from ..sources.shared import shared_folder
 from ..sources.tables import table
 from ..streaming import latest_status, quota_use, task_states
 from ._registry import query
@@ -96,18 +94,9 @@ def changed_inputs(spark: SparkSession, folder: str) -> DataFrame:
     return jobs.changed_inputs(now, now.filter("user_id % 2 <> 0"), "user_id", "signature")
 
 
-def _folder(spark: SparkSession) -> str:
-    """A fresh folder that driver and executors share."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    base = base or tempfile.mkdtemp(prefix="kelvane-stream-")
-    return f"{base}/kelvane-stream/{uuid.uuid4().hex}"
-
-
 def _drained(stream: DataFrame, spark: SparkSession, key: str, seq: str | None, mode: str = "update") -> DataFrame:
     """Run a stream over what is there and give each key's last row."""
-    base = _folder(spark)
+    base = shared_folder(spark, "stream")
 
     def save(batch: DataFrame, n: int) -> None:
         batch.withColumn("__batch", F.lit(n)).write.mode("overwrite").parquet(f"{base}/out/b={n}")

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import ids
 from ..operators import ingest, merge, results, runs
 from ..operators import relational as rel
+from ..sources.catalog import Catalog
+from ..sources.shared import shared_folder
 from ..sources.tables import table
 from ._registry import query
 
@@ -114,11 +116,17 @@ _FILED_SQL = "SELECT *, nullif(regexp_replace(coalesce(registration_number, ''),
 
 
 def _ingested(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """Two ingests: all records but those that name two companies, then all of them."""
+    """Two ingests, each under one commit of all tables: all records but those that name two companies, then all of them."""
     records = table(spark, folder, "customer").selectExpr(*[f"{e} AS {c}" for c, e in (_FILED | _NESTED).items()]).drop("k")
-    tables = {k: spark.createDataFrame([], v) for k, v in ingest.TABLES.items()}
-    found = ingest.ingest(records.filter("seq % 50 <> 11"), tables)
-    return ingest.ingest(records, {k: found[k] for k in ingest.TABLES})
+    catalog = Catalog(spark, shared_folder(spark, "catalog"))
+    tables, at = {k: spark.createDataFrame([], v) for k, v in ingest.TABLES.items()}, 0
+    for batch in (records.filter("seq % 50 <> 11"), records):
+        change = catalog.begin()
+        for name, df in ingest.ingest(batch, tables).items():
+            change.replace(name, df, [df.columns[0]], 4)
+        at = change.commit()
+        tables = {k: catalog.read(k, at) for k in ingest.TABLES}
+    return tables
 
 
 @query(f"""WITH r AS (SELECT *, coalesce('r' || reg, 't' || tax) AS c FROM ({_FILED_SQL}) WHERE NOT clash)
