@@ -79,10 +79,13 @@ def exclude_identifiers(candidates: DataFrame, known: DataFrame, key: str) -> Da
     return out.withColumns({"kind": F.when(hit, "PHONE_EXCLUSION").otherwise(F.col("kind")), "exclusion_reason": F.when(hit, F.concat(F.lit("MATCHES_"), F.col("__kind")))}).drop("__key", "__kind", "__digits")
 
 
-def search_candidates(results: DataFrame, company_name: str) -> DataFrame:
-    """Observations of search results (company_id, query_type, rank, url, title, body), with whether they name the company."""
+def search_candidates(results: DataFrame, company_name: str, tax: str | None = None, registration: str | None = None) -> DataFrame:
+    """Observations of search results (url, title, body), with whether they name the legal entity: its whole name, or one of its numbers."""
+    from .ownership import entity_specific
+
+    number = lambda c: F.col(c) if c else F.lit(None).cast("string")
     said = F.concat_ws("\n", F.coalesce("title", F.lit("")), F.coalesce("body", F.lit("")))
-    df = results.withColumn("__said", said).withColumn("identity_match", text.contains_name(said, F.col(company_name)))
+    df = results.withColumn("__said", said).withColumn("identity_match", entity_specific(said, F.col(company_name), number(tax), number(registration)))
     own = F.transform(F.filter(F.array(urls.url(F.col("url"))), lambda u: u != ""), lambda u: F.struct(F.lit("WEBSITE_CANDIDATE").alias("kind"), F.lit("search_url").alias("method"), u.alias("value")))
     said_urls = F.transform(found_urls(F.col("__said")), lambda u: F.struct(F.lit("WEBSITE_CANDIDATE").alias("kind"), F.lit("snippet_url").alias("method"), u.alias("value")))
     mails = emails.extract_emails(F.col("__said"))

@@ -31,6 +31,11 @@ def claim(tasks: DataFrame, now: Column, budgets: DataFrame, used: DataFrame, n:
     return allowed.drop("__n", "daily_limit", "used_count").orderBy(*order).limit(n)
 
 
+def released(tasks: DataFrame, leased: tuple[str, ...] = ("claimed_by", "lease_until")) -> DataFrame:
+    """Tasks whose lease columns are emptied where they are pending: nobody holds them."""
+    return tasks.withColumns({c: F.when(F.col("status") != "PENDING", F.col(c)) for c in leased})
+
+
 def retry_fold(events: DataFrame, key: str, status: str, ts: str, *order: str, base_minutes: int = 15, max_attempts: int = 3) -> DataFrame:
     """The state of each task after its ordered results: attempts, status and earliest next time.
 

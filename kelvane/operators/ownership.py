@@ -38,6 +38,22 @@ def any_in(c: Column, words: tuple[str, ...]) -> Column:
     return F.coalesce(c.rlike("|".join(re.escape(w) for w in words)), F.lit(False))
 
 
+#: Words that keep a search result from being a candidate, as fixed values.
+NO_CANDIDATES = ("mojedelo", "bettercareer", "job portal", "jobs", "izkusnje zaposlenih", "novice", "news", "company profile", "business directory", "company directory")
+
+
+def candidate_fit(url: Column, policy: Column, title: Column, body: Column) -> Column:
+    """Whether a search result may be a company's own site: by domain policy, kind of page, and the words of its address, title and first 400 characters."""
+    said = text.fold(F.concat_ws(" ", url, F.coalesce(title, F.lit("")), F.substring(F.coalesce(body, F.lit("")), 1, 400)))
+    blocked = F.coalesce(policy == "BLOCK_AS_OFFICIAL", F.lit(False))
+    return ~blocked & (page_type(url, policy, title, body) == "COMPANY_PAGE") & ~any_in(said, NO_CANDIDATES)
+
+
+def entity_specific(publication: Column, company_name: Column, tax: Column, registration: Column) -> Column:
+    """Whether a mention names the legal entity itself: its whole name with the legal form, or one of its numbers."""
+    return text.contains_phrase(text.fold(publication), text.fold(company_name)) | names_number(publication, tax) | names_number(publication, registration)
+
+
 def page_type(url: Column, policy: Column, title: Column, body: Column, signals: Column | None = None) -> Column:
     """THIRD_PARTY, GROUP, PROFILE or COMPANY_PAGE; the domain policy comes first."""
     path = F.lower(F.coalesce(F.try_url_decode(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[^:]+://[^/?#]*([^?#]*)", 1)), F.lit("")))

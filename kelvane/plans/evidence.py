@@ -72,7 +72,7 @@ _SECOND = _OWNED | {
 }
 
 
-@query(f"""WITH pages_ AS (SELECT *, company_name AS n FROM (SELECT * FROM {_sql("customer", _OWNED)} UNION ALL SELECT * FROM {_sql("customer", _SECOND)} WHERE company_id % 4 = 1)),
+_VERDICTS = f"""WITH pages_ AS (SELECT *, company_name AS n FROM (SELECT * FROM {_sql("customer", _OWNED)} UNION ALL SELECT * FROM {_sql("customer", _SECOND)} WHERE company_id % 4 = 1)),
 a AS (SELECT *, {_CORE} AS core, {_host("page_url")} AS host, {_host("candidate_url")} AS other, {_path("page_url")} AS path, string_split(signals, ',') AS s FROM pages_),
 b AS (SELECT *, string_split(host, '.') AS labels, string_split(core, ' ') AS words, replace(core, ' ', '') AS brand, {_names("page_title")} AS titled, {_conflicts("page_title")} AS title_conflict, {_within("page_url", "operator_scope")} AS own_scope,
  regexp_extract(page_url, '^([^:]+://[^/]+)', 1) AS root FROM a),
@@ -86,7 +86,10 @@ f AS (SELECT company_id, bool_or((exact AND (named OR placed)) OR (named AND pla
  bool_or(operator_match AND exact) AS entity, bool_or(known_group) OR coalesce(max(assessment) = 'LIKELY_GROUP_OR_PARENT', false) AS known, max(assessment) AS assessment, arg_min(scope, page_no) FILTER (scope IS NOT NULL) AS scope FROM e GROUP BY company_id),
 g AS (SELECT *, CASE WHEN assessment = 'LIKELY_THIRD_PARTY' THEN 1 WHEN assessment = 'UNCERTAIN' THEN 2 WHEN third THEN 3 WHEN known OR (grouped AND NOT entity) THEN 4 WHEN conflict THEN 5 WHEN identity AND scope IS NOT NULL THEN 6 ELSE 7 END AS v FROM f)
 SELECT company_id, ['REVIEW', 'REVIEW', 'REVIEW', 'GROUP_REVIEW', 'REVIEW', 'VERIFIED', 'REVIEW'][v] AS status, ['THIRD_PARTY', 'UNRESOLVED', 'THIRD_PARTY', 'GROUP_PARENT', 'UNRESOLVED', 'LEGAL_ENTITY', 'UNRESOLVED'][v] AS relationship, CASE WHEN v = 6 THEN scope ELSE '' END AS scope,
-['Stored assessment', 'Stored assessment', 'Publisher is a directory, database or listing', 'Shared group or parent site', 'Conflicting legal form', 'Identity and site ownership', 'Site operator or scope not established'][v] AS reason FROM g""")
+['Stored assessment', 'Stored assessment', 'Publisher is a directory, database or listing', 'Shared group or parent site', 'Conflicting legal form', 'Identity and site ownership', 'Site operator or scope not established'][v] AS reason FROM g"""
+
+
+@query(_VERDICTS)
 def ownership_verdicts(spark: SparkSession, folder: str) -> DataFrame:
     """A verdict on each customer's site, from one or two of its pages."""
     first = _rows(spark, folder, "customer", _OWNED)
@@ -112,7 +115,9 @@ def _number_in(column: str, number: str) -> str:
     return rf"coalesce(length(regexp_replace({number}, '\D', '', 'g')) >= 7 AND list_contains(regexp_extract_all({column}, '\d+'), regexp_replace({number}, '\D', '', 'g')), false)"
 
 
-@query(f"""WITH m AS (SELECT *, company_name AS n, {_CORE.replace("(n,", "(company_name,")} AS core FROM {_sql("customer", _MAILS)}),
+def _gate(source: str) -> str:
+    """Attribution of the addresses of ``source``, rule by rule."""
+    return f"""WITH m AS (SELECT *, company_name AS n, {_CORE.replace("(n,", "(company_name,")} AS core FROM {source}),
 a AS (SELECT *, {_names(_PROSE)} OR {_number_in("publication", "tax_number")} OR {_number_in("publication", "registration_number")} AS context, {_conflicts("publication")} AS conflict, {_any(_fold("publication"), ownership.CREDITS)} AS vendor,
  replace(lower(split_part(email, '@', 2)), 'www.', '') = {_host("scope")} AS own_host, {_within("source_url", "scope")} AS inside FROM m),
 b AS (SELECT *, CASE WHEN block_target IS NOT NULL THEN block_target AND NOT coalesce(block_other, false) ELSE context AND NOT conflict END AS explicit FROM a),
@@ -120,7 +125,10 @@ c AS (SELECT *, explicit OR (own_host AND (page_named OR block_single_page)) AS
 d AS (SELECT *, CASE WHEN coalesce(visible_email, '') <> '' AND lower(visible_email) <> lower(email) THEN 1 WHEN coalesce(status NOT IN ('VERIFIED', 'GROUP_REVIEW'), true) THEN 2 WHEN source_type = 'THIRD_PARTY' THEN 3 WHEN coalesce(block_other, false) THEN 4
  WHEN status = 'GROUP_REVIEW' AND NOT in_group_scope THEN 5 WHEN status = 'GROUP_REVIEW' AND vendor THEN 6 WHEN status = 'GROUP_REVIEW' THEN CASE WHEN explicit THEN 7 ELSE 8 END WHEN NOT inside THEN 9 WHEN vendor THEN 6 WHEN conflict THEN 10 WHEN accepted THEN 11 ELSE 12 END AS r FROM c)
 SELECT n_, r IN (7, 11) AS attributable, ['Displayed e-mail and link target disagree', 'Site ownership unresolved', 'Listing source', 'Contact block of another entity', 'Outside the group''s site', 'Agency context', 'Explicit entity block', 'No explicit entity', 'Outside the verified scope', 'Different legal entity',
- 'Entity context on verified scope', 'Insufficient entity context'][r] AS reason FROM d""")
+ 'Entity context on verified scope', 'Insufficient entity context'][r] AS reason FROM d"""
+
+
+@query(_gate(_sql("customer", _MAILS)))
 def email_attributions(spark: SparkSession, folder: str) -> DataFrame:
     """An address of each customer through the ordered gate."""
     return ownership.email_attribution(_rows(spark, folder, "customer", _MAILS)).select("n_", "attributable", "reason")
