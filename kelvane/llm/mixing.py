@@ -7,8 +7,8 @@ as are wanting. What a document gives is the words of it that are taken so, repe
 target to the word, however small it is beside the others.
 
 Edge cases: a null text has size 0 and gives nothing; a null source is a source of its own, last in order; a null
-doc_id is an ordinary row; repeated rows (equal doc_id and text) are placed one after the other in one shard; an empty
-table gives an empty result; other columns are never read.
+doc_id is an ordinary row; repeated rows (equal doc_id and text) are dealt to shards one by one; an empty table gives
+an empty result; other columns are never read. More than MAX_SOURCES sources are refused.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ MOST = 3
 BLOCK_WORDS, BLOCKS, SOURCE_BLOCKS = 4096, 1 << 17, 256
 #: Blocks that a shard should hold, and shards in all at most: what the driver apportions over.
 SHARD_BLOCKS, MAX_SHARDS = 256, 1 << 16
+#: Sources at most, since the driver apportions over them; and copies of one row that a task writes out at once.
+MAX_SOURCES, COPIES = 1 << 20, 1 << 16
 
 
 def targets(sizes: list[int], weights: list[float], most: float = MOST) -> list[float]:
@@ -77,11 +79,30 @@ def last_blocks(rest: int, words: int, block: int, rank: int) -> tuple[int, int]
     return min(rest // block, rank), rest - min(rest // block, rank) * block
 
 
+def apart(sized: DataFrame, most: int = COPIES) -> DataFrame:
+    """The rows (doc_id, source, size, key), equal ones with keys of their own: copies of one row are dealt like any others.
+
+    Equal rows are counted, and written out again by number: those of a very frequent row in runs of ``most``, a task's
+    work each, so that no task holds all of them.
+    """
+    rows = cut(sized.groupBy("doc_id", "source", "size", "key").agg(F.count("*").alias("n")))
+    numbers = lambda first, last: F.explode(F.sequence(F.lit(first) if isinstance(first, int) else first, last)).alias("j")
+    few = rows.filter(F.col("n") <= most).select("doc_id", "source", "size", "key", numbers(1, F.col("n")))
+    runs = rows.filter(F.col("n") > most).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / most))).alias("run"))
+    runs = runs.repartition("key", "run")
+    many = runs.select("doc_id", "source", "size", "key", numbers(F.col("run") * most + 1, F.least("n", (F.col("run") + 1) * most)))
+    key = F.when(F.col("j") == 1, F.col("key")).otherwise(F.xxhash64("key", "j"))
+    return few.unionByName(many).select("doc_id", "source", "size", key.alias("key"))
+
+
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, seed: int = 17, text: str = "text") -> DataFrame:
     """doc_id, source, size, source_size, target and taken of each row of ``docs``."""
     spark = docs.sparkSession
-    sized = cut(docs.select("doc_id", "source", text_words(text).alias("size"), F.xxhash64(F.lit(seed), "doc_id", text).alias("key")))
-    found = sized.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("n")).collect()
+    sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), text_words(text).alias("size"), F.xxhash64(F.lit(seed), "doc_id", text).alias("key"))
+    sized = cut(apart(sized))
+    found = sized.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()
+    if len(found) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources: they are apportioned by the driver")
     found = sorted(found, key=lambda r: (r.source is None, (r.source or "").encode()))
     words = [int(r.words) for r in found]
     total = sum(words)
@@ -114,7 +135,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, seed: int
             rows.append((i, int(held[k].shard), n, q // w if n else 0, full, part, step, start))
             k += 1
     quotas = spark.createDataFrame(rows, "q_at int, q_shard int, q_blocks long, q_copies long, q_full long, q_part long, q_step long, q_from long")
-    placed = placed.join(F.broadcast(quotas), (F.col("s_at") == F.col("q_at")) & (F.col("shard") == F.col("q_shard")))
+    placed = placed.join(F.broadcast(quotas) if len(rows) <= 2 * MAX_SHARDS else quotas, (F.col("s_at") == F.col("q_at")) & (F.col("shard") == F.col("q_shard")))
 
     run = Window.partitionBy("s_at", "shard").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = placed.withColumn("end", F.sum("size").over(run)).withColumn("start", F.col("end") - F.col("size"))
