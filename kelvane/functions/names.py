@@ -34,9 +34,9 @@ def name_similarity(a: Column, b: Column, ratio: Column | None = None) -> Column
     return similarity_of(match_name(a), match_name(b), ratio)
 
 
-def similarity_of(x: Column, y: Column, ratio: Column | None = None) -> Column:
-    """``name_similarity`` of names in the matcher's form."""
-    both = F.round(55 * (matching_ratio(x, y) if ratio is None else ratio) + 45 * jaccard(x, y), 2)
+def similarity_of(x: Column, y: Column, ratio: Column | None = None, overlap: Column | None = None) -> Column:
+    """``name_similarity`` of names in the matcher's form; ``overlap`` is that of their words, where it is known."""
+    both = F.round(55 * (matching_ratio(x, y) if ratio is None else ratio) + 45 * (jaccard(x, y) if overlap is None else overlap), 2)
     return F.when((x == "") | (y == ""), 0.0).when(x == y, 100.0).otherwise(both)
 
 

@@ -32,9 +32,9 @@ def _tail(c: str) -> Column:
 
 
 def prepared_inputs(left: DataFrame, input_id: str) -> DataFrame:
-    """(input_id, x, kept): the matcher's name, and a struct of the values that are compared."""
+    """(input_id, x, xs, a): the matcher's name, its words, and a struct of the values that are compared."""
     values = F.struct(_trimmed("in_registration_number").alias("registration"), _trimmed("in_tax_number").alias("tax"), urls.email_domain(F.col("in_email")).alias("domain"), _tail("in_phone").alias("phone"))
-    return left.select(F.col(input_id), match_name(F.col("in_name")).alias("x"), values.alias("a"))
+    return left.select(F.col(input_id), match_name(F.col("in_name")).alias("x"), values.alias("a")).withColumn("xs", names.tokens(F.col("x")))
 
 
 def prepared_candidates(right: DataFrame, cand_id: str) -> DataFrame:
@@ -42,13 +42,17 @@ def prepared_candidates(right: DataFrame, cand_id: str) -> DataFrame:
     values = F.struct(
         plain("cand_registration_number").alias("registration"), plain("cand_tax_number").alias("tax"), urls.match_domain(F.col("cand_domain")).alias("domain"), urls.match_domain(F.col("cand_email_domain")).alias("email_domain"), _tail("cand_phone").alias("phone"),
     )
-    return right.select(F.col(cand_id), match_name(F.col("cand_name")).alias("y"), values.alias("b"))
+    return right.select(F.col(cand_id), match_name(F.col("cand_name")).alias("y"), values.alias("b")).withColumn("ys", names.tokens(F.col("y")))
 
 
-def least_overlap(gate: float) -> float | None:
-    """The least word overlap of names whose points alone reach the gate; None if no names' points do."""
-    enough = [least for least, worth, _ in names.NAME_STEPS if worth >= gate]
-    return max((min(enough) - 0.005 - 55) / 45, 1e-9) if enough else None
+def least_similarity(gate: float) -> float | None:
+    """The least similarity of names whose points alone reach the gate; None if no names' points do."""
+    return min((least for least, worth, _ in names.NAME_STEPS if worth >= gate), default=None)
+
+
+def least_overlap(similarity: float, exact: bool = True) -> float:
+    """The least word overlap of names that similar: the character ratio gives 55 at most, or what the overlap gives where that stands in for it."""
+    return max((similarity - 0.005 - 55) / 45 if exact else (similarity - 0.005) / 100, 1e-9)
 
 
 def similar_names(left: DataFrame, right: DataFrame, overlap: float) -> DataFrame:
@@ -75,35 +79,44 @@ def similar_names(left: DataFrame, right: DataFrame, overlap: float) -> DataFram
     return met.select("x", "y", (common / (F.size("xs") + F.size("ys") - common)).alias("overlap")).filter(F.col("overlap") >= overlap - 1e-9)
 
 
-def met_pairs(inputs: DataFrame, candidates: DataFrame, input_id: str, cand_id: str, gate: float = 50, n: int = 1) -> DataFrame:
+def met_pairs(inputs: DataFrame, candidates: DataFrame, input_id: str, cand_id: str, gate: float = 50, n: int = 1, exact: bool = True) -> DataFrame:
     """(input_id, cand_id) of all pairs that can reach the gate and be among the n best of their input.
 
-    Of candidates with one name that meet an input by it alone, all have the same points: the first n stand for them.
+    Distinct names are compared, and only those that are similar enough meet the rows that bear them. Of candidates with
+    one name that meet an input by it alone, all have the same points: the first n stand for them.
     """
     kinds = lambda v, fields: F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"{v}.{f}").alias("value")) for f, k in fields])).alias("k")
     asked = inputs.select(input_id, kinds("a", (("registration", 1), ("tax", 2), ("domain", 3), ("phone", 4)))).select(input_id, "k.*").filter("value <> ''")
     known = candidates.select(cand_id, kinds("b", (("registration", 1), ("tax", 2), ("domain", 3), ("email_domain", 3), ("phone", 4)))).select(cand_id, "k.*").filter("value <> ''")
     pairs = asked.join(known, ["kind", "value"]).select(input_id, cand_id)
-    overlap = least_overlap(gate)
-    if overlap is not None:
-        near = similar_names(inputs.filter("x <> ''").select("x").distinct(), candidates.filter("y <> ''").select("y").distinct(), overlap)
+    similarity = least_similarity(gate)
+    if similarity is not None:
+        near = similar_names(inputs.filter("x <> ''").select("x").distinct(), candidates.filter("y <> ''").select("y").distinct(), least_overlap(similarity, exact))
+        near = near.filter(names.similarity_of(F.col("x"), F.col("y"), None if exact else F.col("overlap"), F.col("overlap")) >= similarity)
         holders = top_per_key(candidates.filter("y <> ''").select("y", cand_id), ["y"], n, F.col(cand_id).asc())
         pairs = pairs.unionByName(inputs.select(input_id, "x").join(near, "x").join(holders, "y").select(input_id, cand_id))
     return pairs.distinct()
 
 
-def score_met(pairs: DataFrame, inputs: DataFrame, candidates: DataFrame, input_id: str, cand_id: str, exact: bool = True) -> DataFrame:
-    """``pairs`` with similarity, score, confidence and reasons.
+def score_met(pairs: DataFrame, inputs: DataFrame, candidates: DataFrame, input_id: str, cand_id: str, gate: float = 0, exact: bool = True) -> DataFrame:
+    """``pairs`` that reach the gate, with similarity, score, confidence and reasons.
 
     ``exact`` uses the character ratio, an Arrow UDF; without it the word overlap stands in for it.
     """
     joined = pairs.join(inputs, input_id).join(candidates, cand_id)
     both = lambda f, g: (F.col(f"a.{f}") != "") & (F.col(f"a.{f}") == F.col(f"b.{g}"))
     x, y = F.col("x"), F.col("y")
-    scored = joined.withColumn("similarity", names.similarity_of(x, y, None if exact else names.jaccard(x, y)))
     domain = both("domain", "domain") | both("domain", "email_domain")
-    found = names.candidate_score(F.col("similarity"), both("registration", "registration"), both("tax", "tax"), domain, F.coalesce(F.col("a.phone") == F.col("b.phone"), F.lit(False)))
-    return scored.withColumn("s", found).select(input_id, cand_id, "similarity", "s.score", "s.confidence", "s.reasons")
+    flags = (both("registration", "registration"), both("tax", "tax"), domain, F.coalesce(F.col("a.phone") == F.col("b.phone"), F.lit(False)))
+    common = F.size(F.array_intersect("xs", "ys"))
+    overlap = urls.let(common, lambda n: F.coalesce(F.try_divide(n, F.size("xs") + F.size("ys") - n), F.lit(0.0)))
+    scored = joined.select(input_id, cand_id, "x", "y", F.array(*flags).alias("flags"), overlap.alias("overlap"))
+    similarity = names.similarity_of(x, y, None if exact else F.col("overlap"), F.col("overlap"))
+    scored = scored.select(input_id, cand_id, "flags", similarity.alias("similarity"))
+    # the score uses the similarity many times over: bound once, it is computed once; and a filter after the projection would compute it again
+    bound = lambda v: F.struct(v.alias("similarity"), names.candidate_score(v, *[F.col("flags")[k] for k in range(4)]).alias("s"))
+    found = F.filter(F.transform(F.array("similarity"), bound), lambda f: f["s"]["score"] >= gate)
+    return scored.select(input_id, cand_id, F.explode(found).alias("f")).select(input_id, cand_id, "f.similarity", "f.s.score", "f.s.confidence", "f.s.reasons")
 
 
 def matches(left: DataFrame, right: DataFrame, input_id: str, cand_id: str, gate: float = 50, n: int = 1, exact: bool = True) -> DataFrame:
@@ -112,8 +125,8 @@ def matches(left: DataFrame, right: DataFrame, input_id: str, cand_id: str, gate
     ``left`` has in_* columns, ``right`` cand_* columns (``IN``, ``CANDIDATE``), both an id of their own.
     """
     inputs, candidates = prepared_inputs(left, input_id), prepared_candidates(right, cand_id)
-    pairs = met_pairs(inputs, candidates, input_id, cand_id, gate, n)
-    scored = score_met(pairs, inputs, candidates, input_id, cand_id, exact).filter(F.col("score") >= gate)
+    pairs = met_pairs(inputs, candidates, input_id, cand_id, gate, n, exact)
+    scored = score_met(pairs, inputs, candidates, input_id, cand_id, gate, exact)
     return best_matches(scored, input_id, cand_id, n)
 
 
