@@ -229,7 +229,14 @@ def page_types(spark: SparkSession, folder: str) -> DataFrame:
     return pages.groupBy(kind.alias("page_type")).agg(F.count("*").alias("n"))
 
 
-@query()
+_LABELLED = r"(?i)(?:^|[^\p{L}\p{N}_])(mati[čc]na(?:\s+[šs]tevilka)?|registration(?:\s+number)?|company\s+id|dav[čc]na(?:\s+[šs]tevilka)?|vat|id\s+za\s+ddv)\s*[:.]?\s*(?:SI\s*)?(\d[\d .-]{5,}\d)"
+
+
+@query(rf"""SELECT DISTINCT doc_id, 'EMAIL_CANDIDATE' AS kind, m AS raw, m AS value FROM (SELECT doc_id, rtrim(lower(unnest(regexp_extract_all(text, '{_EMAIL}'))), '.') AS m FROM documents) WHERE NOT regexp_matches(m, 'noreply|no-reply|donotreply') AND NOT regexp_matches(m, '\.(png|jpg|jpeg|webp|svg)$')
+UNION ALL SELECT doc_id, 'PHONE_CANDIDATE', raw, CASE WHEN starts_with(trim(raw), '+') OR starts_with(d, '00') THEN '+' ELSE '' END || CASE WHEN starts_with(d, '00') THEN substr(d, 3) ELSE d END FROM (SELECT *, regexp_replace(raw, '\D', '', 'g') AS d FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?i)(?:tel(?:efon)?|phone|mobil(?:ni)?)\s*[:.]?\s*(\+?\d[\d ()/.-]{{5,}}\d)', 1)) AS raw FROM documents)) WHERE length(d) BETWEEN 7 AND 15
+UNION ALL SELECT DISTINCT doc_id, 'WEBSITE_CANDIDATE', u, u FROM (SELECT doc_id, CASE WHEN contains(w, '://') THEN w ELSE 'https://' || w || CASE WHEN contains(w, '/') THEN '' ELSE '/' END END AS u FROM (SELECT doc_id, rtrim(unnest(regexp_extract_all(text, '(?i)(?:^|[^@\w.-])(https?://[^\s<>"\)]+|(?:www\.)?[\w-]+\.(?:si|com|eu|net|org)\b(?:/[^\s<>"\)]*)?)', 1)), '.,;') AS w FROM documents))
+UNION ALL SELECT doc_id, CASE WHEN regexp_matches(lower(label), 'dav|vat|ddv') THEN 'TAX_NUMBER' ELSE 'REGISTRATION_NUMBER' END, label, regexp_replace(value, '\D', '', 'g') FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{_LABELLED}', 1)) AS label, unnest(regexp_extract_all(text, '{_LABELLED}', 2)) AS value FROM documents)
+UNION ALL SELECT doc_id, 'REGISTERED_ACTIVITY', c, c FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?i)\bSKD\s*(?:20\d\d\s*[:/-]?\s*)?[: ]*([A-U]?\s*\d\d\.\d\d\d?)\b', 1)) AS c FROM documents)""")
 def text_observations(spark: SparkSession, folder: str) -> DataFrame:
     return extract.observations(table(spark, folder, "documents"), "doc_id", "text", IGNORED)
 
