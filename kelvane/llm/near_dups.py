@@ -383,7 +383,8 @@ def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataF
     """Of each class the row with the smallest doc_id (then by words), and all rows without an id or without words.
 
     Where a doc_id stands at several rows, rows are told apart by their words: different texts of one doc_id that are
-    no near duplicates all stay; of rows with equal doc_id and words one stays, with the smallest text.
+    no near duplicates all stay; of rows with equal doc_id and words one stays, with the smallest text, and of wordless
+    rows with equal doc_id and text one.
     """
     rooted = _rooted(docs, threshold)
     best = cut(rooted.groupBy("root").agg(F.min(F.struct("doc_id", "tid")).alias("best")).select("best.doc_id", "best.tid"))
@@ -400,7 +401,12 @@ def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataF
     rows = named.filter(~apart).select("doc_id", c(tid).alias("_tid"), "text", F.struct(*[c(n) for n in docs.columns]).alias("_row"))
     rows = rows.join(best, (F.col("doc_id") == F.col("_best_id")) & (F.col("_tid") == F.col("_best_tid")), "left_semi")
     one = rows.groupBy("doc_id", "_tid").agg(F.min_by("_row", "text").alias("_row"))
-    return named.filter(apart).select(*[c(n) for n in docs.columns]).unionByName(one.select(*[F.col("_row")[n].alias(n) for n in docs.columns]))
+    wordless = named.filter(c("doc_id").isNotNull() & c(tid).isNull()).dropDuplicates(["doc_id", "text"])
+    nameless = named.filter(c("doc_id").isNull())
+    out = one.select(*[F.col("_row")[n].alias(n) for n in docs.columns])
+    for rest in (wordless, nameless):
+        out = out.unionByName(rest.select(*[c(n) for n in docs.columns]))
+    return out
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
