@@ -14,8 +14,6 @@ from ..sources.tables import table
 from ._registry import query
 from .decisions import _CORE, _LEGAL, _ROLE, NAME, SAID, _any, _fold
 
-_FORM_OF = _LEGAL.replace("(n,", "(%s,")  # of any text
-
 
 def _rows(spark: SparkSession, folder: str, name: str, columns: dict[str, str]) -> DataFrame:
     return table(spark, folder, name).selectExpr(*[f"{e} AS {c}" for c, e in columns.items()])

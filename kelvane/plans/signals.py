@@ -12,8 +12,8 @@ from ..sources import files
 from ..sources.shared import shared_folder
 from ..sources.tables import table
 from ._registry import query
-from .decisions import _CORE, _any, _fold
-from .evidence import _MAILS, _OWNED, _SECOND, _VERDICTS, _gate, _names, _number_in, _rows, _sql
+from .decisions import _any, _fold
+from .evidence import _MAILS, _OWNED, _SECOND, _VERDICTS, _gate, _number_in, _rows, _sql
 
 # Page signals
 

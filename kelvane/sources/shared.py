@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -13,4 +15,7 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base and spark.sparkContext.master.split("[")[0] != "local":
         raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return f"{(base or tempfile.mkdtemp(prefix='kelvane-')).rstrip('/')}/kelvane-{purpose}/{uuid.uuid4().hex}"
+    if not base:
+        base = tempfile.mkdtemp(prefix="kelvane-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
+    return f"{base.rstrip('/')}/kelvane-{purpose}/{uuid.uuid4().hex}"
