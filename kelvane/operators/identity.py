@@ -67,8 +67,11 @@ def import_gate(status: Column, has_id: Column, exists: Column) -> Column:
 
 
 def ownership_edges(shares: DataFrame, owners: DataFrame, company: str = "company_id") -> DataFrame:
-    """Owner edges from shares whose holders are ids in a text; a share that names none goes to the only owner, if there is just one."""
+    """Owner edges from shares whose holders are ids in a text; a share that names none goes to the only owner, if there is just one.
+
+    Both sides may be parsed from pages, which are many more bytes than estimates say: they are merged, never broadcast.
+    """
     ids = F.transform(F.regexp_extract_all("holders", F.lit(r"(?i)Zap\.?\s*št\.?\s*družbenika\s*(\d+)"), F.lit(1)), lambda x: x)
     single = owners.groupBy(company).agg(F.count("*").alias("n"), F.min("shareholder_id").alias("only")).filter("n = 1").select(company, "only")
-    named = shares.join(single, company, "left").withColumn("__ids", F.when(F.size(ids) > 0, ids).when(F.col("only").isNotNull(), F.array("only")))
-    return named.withColumn("shareholder_id", F.explode("__ids")).drop("__ids", "only").join(owners, [company, "shareholder_id"])
+    named = shares.join(single.hint("merge"), company, "left").withColumn("__ids", F.when(F.size(ids) > 0, ids).when(F.col("only").isNotNull(), F.array("only")))
+    return named.withColumn("shareholder_id", F.explode("__ids")).drop("__ids", "only").join(owners.hint("merge"), [company, "shareholder_id"])

@@ -34,7 +34,8 @@ _PAIRS = pa.map_(pa.string(), pa.string())
 
 
 def _has(node: Node, name: str) -> bool:
-    return name in (node.attrs.get("class") or "").split()
+    value = node.attrs.get("class")
+    return bool(value) and name in value and name in value.split()
 
 
 def _pairs(root: Node) -> dict[str, str]:
@@ -49,21 +50,26 @@ def _pairs(root: Node) -> dict[str, str]:
     return out
 
 
-def _section(root: Node, id_: str) -> Node:
-    return next((n for n in root.walk() if n.attrs.get("id") == id_), Node("[none]", {}, None))
+def _sections(root: Node) -> dict[str, Node]:
+    """The first node of each id."""
+    out: dict[str, Node] = {}
+    for node in root.walk():
+        if "id" in node.attrs:
+            out.setdefault(node.attrs["id"], node)
+    return out
 
 
 def parse_detail(html: str | None) -> dict:
     """Fields, people and ownership blocks of a detail page, all as label to value maps."""
-    root = parse(html)
-    people = [{"role_type": role, "fields": list(_pairs(b).items())} for id_, role in PEOPLE for b in _section(root, id_).walk() if _has(b, "matchHeight")]
+    found, none = _sections(parse(html)), Node("[none]", {}, None)
+    people = [{"role_type": role, "fields": list(_pairs(b).items())} for id_, role in PEOPLE for b in found.get(id_, none).walk() if _has(b, "matchHeight")]
     owners, shares = [], []
-    for column in (n for n in _section(root, "accordianBody2").walk() if _has(n, "col-md-6")):
+    for column in (n for n in found.get("accordianBody2", none).walk() if _has(n, "col-md-6")):
         head = next((n.text(seen_only=False) for n in column.walk() if n.tag == "h4"), "")
         into = {"DRUŽBENIKI": owners, "POSLOVNI DELEŽI": shares}.get(head)
         if into is not None:
             into += [list(_pairs(b).items()) for b in column.walk() if b.tag == "div" and "page-break-inside" in (b.attrs.get("style") or "")]
-    return {"fields": list(_pairs(_section(root, "accordianBody1")).items()), "people": people, "owners": owners, "shares": shares}
+    return {"fields": list(_pairs(found.get("accordianBody1", none)).items()), "people": people, "owners": owners, "shares": shares}
 
 
 def parse_results(html: str | None, base: str) -> tuple[str, list[dict]]:
@@ -107,19 +113,20 @@ def search_candidates(pages: DataFrame, key: str, html: str, base_url: str) -> D
     return raw.select(key, "status", "name", ids.digits(F.col("registration")).alias("registration_number"), ids.tax_number(F.col("tax")).alias("tax_number"), "detail_url")
 
 
-def details(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """(key, fields, people, owners, shares): the nested content of detail pages."""
-    kind = pages.schema[key].dataType.simpleString()
+def details(pages: DataFrame, key: str, html: str, *also: str) -> DataFrame:
+    """(key, fields, people, owners, shares) and the columns ``also``: the nested content of detail pages."""
     person = pa.struct([("role_type", pa.string()), ("fields", _PAIRS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [parse_detail(h) for h in batch.column(1).to_pylist()]
             column = lambda n, t: pa.array([f[n] for f in found], t)
-            yield pa.RecordBatch.from_arrays([batch.column(0), column("fields", _PAIRS), column("people", pa.list_(person)), column("owners", pa.list_(_PAIRS)), column("shares", pa.list_(_PAIRS))], names=[key, "fields", "people", "owners", "shares"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), column("fields", _PAIRS), column("people", pa.list_(person)), column("owners", pa.list_(_PAIRS)), column("shares", pa.list_(_PAIRS)), *batch.columns[2:]], names=[key, "fields", "people", "owners", "shares", *also])
 
     pairs = "map<string, string>"
-    return pages.select(key, html).mapInArrow(run, f"`{key}` {kind}, fields {pairs}, people array<struct<role_type: string, fields: {pairs}>>, owners array<{pairs}>, shares array<{pairs}>")
+    kept = "".join(f", `{c}` {pages.schema[c].dataType.simpleString()}" for c in also)
+    kind = pages.schema[key].dataType.simpleString()
+    return pages.select(key, html, *also).mapInArrow(run, f"`{key}` {kind}, fields {pairs}, people array<struct<role_type: string, fields: {pairs}>>, owners array<{pairs}>, shares array<{pairs}>{kept}")
 
 
 def _first(fields, labels):

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import emails
 from ..operators import contacts, extract, html, ownership, registry, results
-from ..sources.tables import table
+from ..sources.shared import shared_folder
+from ..sources.tables import spread, table
 from ._registry import query
 from .decisions import _CORE, _LEGAL, _ROLE, NAME, SAID, _any, _fold
 
@@ -19,6 +20,11 @@ def _rows(spark: SparkSession, folder: str, name: str, columns: dict[str, str])
     return table(spark, folder, name).selectExpr(*[f"{e} AS {c}" for c, e in columns.items()])
 
 
+def _pages(spark: SparkSession, folder: str, columns: dict[str, str]) -> DataFrame:
+    """A page of each customer: few bytes are read, much is parsed."""
+    return spread(table(spark, folder, "customer").select("c_custkey", "c_name")).selectExpr(*[f"{e} AS {c}" for c, e in columns.items()])
+
+
 def _sql(name: str, columns: dict[str, str]) -> str:
     return "(SELECT " + ", ".join(f"{e} AS {c}" for c, e in columns.items()) + f" FROM {name})"
 
@@ -269,8 +275,11 @@ _REGISTERED = {"id": "c_custkey", "url": "'https://r.example.com/podjetje.asp?e=
 ('share', 'Oseba ' || c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'LEGAL_ENTITY ' ELSE 'NATURAL_PERSON ' END || CASE WHEN c_custkey % 5 > 0 THEN (c_custkey % 100) || '.5 ' ELSE '' END || CASE WHEN c_custkey % 2 = 0 THEN 'Doma 1' ELSE '[REDACTED]' END)) t(what, name, value)) WHERE value IS NOT NULL""")
 def registry_page(spark: SparkSession, folder: str) -> DataFrame:
     """The company, facts, people and owners on a detail page of every customer; addresses of people are not kept."""
-    pages = _rows(spark, folder, "customer", _REGISTERED)
-    found = registry.details(pages, "id", "html").join(pages.select("id", "url"), "id")
+    pages = _pages(spark, folder, _REGISTERED)
+    parsed = registry.details(pages, "id", "html", "url")
+    path = shared_folder(spark, "pages")  # four tables are made of what is parsed once
+    parsed.write.parquet(path)
+    found = spark.read.schema(parsed.schema).parquet(path)
     out = registry.companies(found, "id", "url").select("id", F.lit("company").alias("what"), F.col("canonical_name").alias("name"), F.concat_ws(" ", "registration_number", "tax_number", "address", "external_id").alias("value"))
     out = out.unionAll(registry.facts(found, "id").select("id", F.lit("fact"), "fact_key", "value"))
     out = out.unionAll(registry.people(found, "id").select("id", F.lit("person"), "full_name", F.concat_ws(" ", "role_type", "title", "valid_from", F.col("raw_fields")["Naslov"])))
@@ -284,7 +293,7 @@ _SHOWN = """(CASE c_custkey % 4 WHEN 0 THEN 'Ni zadetkov' WHEN 1 THEN 'PRIJAVA V
 @query("""SELECT c_custkey AS id, 'OK' AS status, c_name AS name, c_custkey || '4321' AS registration_number, '' || (10000000 + c_custkey) AS tax_number, 'https://r.example.com/podjetje.asp?e=' || c_custkey AS detail_url FROM customer WHERE c_custkey % 4 > 1
 UNION ALL SELECT c_custkey, 'OK', 'druga', '77', NULL, NULL FROM customer WHERE c_custkey % 4 = 3 UNION ALL SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'NO_RESULT' ELSE 'LOGIN_REQUIRED' END, NULL, NULL, NULL, NULL FROM customer WHERE c_custkey % 4 < 2""")
 def registry_search(spark: SparkSession, folder: str) -> DataFrame:
-    return registry.search_candidates(_rows(spark, folder, "customer", {"id": "c_custkey", "html": _SHOWN}), "id", "html", "https://r.example.com/")
+    return registry.search_candidates(_pages(spark, folder, {"id": "c_custkey", "html": _SHOWN}), "id", "html", "https://r.example.com/")
 
 
 _FIGURE = "(CASE o_orderkey % 6 WHEN 0 THEN '-' WHEN 1 THEN 'x' WHEN 2 THEN 'skupaj: ' || o_orderkey || ',25' WHEN 3 THEN '1.' || (100 + o_orderkey % 900) || ',5' ELSE '' || o_orderkey END)"
@@ -309,5 +318,5 @@ _LISTED = """('<ul><li class="x newsearchIcon"><h3>' || c_name || '</h3><div cla
 @query("""SELECT c_custkey AS id, 0 AS row_no, c_name AS company_name, 'Cesta 1, ' || (4000 + c_custkey % 100) || ' Kranj' AS address, (4000 + c_custkey % 100) || ' Kranj' AS municipality, '' || (5000000 + c_custkey) AS registration_number, CASE WHEN c_custkey % 2 = 0 THEN '' || (10000000 + c_custkey) END AS tax_number, '' || c_custkey AS external_id, 'https://r.example.com/d?CompanyId=' || c_custkey AS detail_url FROM customer
 UNION ALL SELECT c_custkey, 1, 'Druga &amp; ' || c_custkey, '', '', NULL, NULL, NULL, NULL FROM customer WHERE c_custkey % 3 > 0""")
 def result_rows(spark: SparkSession, folder: str) -> DataFrame:
-    found = results.company_rows(_rows(spark, folder, "customer", {"id": "c_custkey", "html": _LISTED}), "id", "html", "https://r.example.com/")
+    found = results.company_rows(_pages(spark, folder, {"id": "c_custkey", "html": _LISTED}), "id", "html", "https://r.example.com/")
     return found.select("id", "row_no", "company_name", "address", "municipality", "registration_number", "tax_number", "external_id", "detail_url")

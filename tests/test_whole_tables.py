@@ -81,3 +81,12 @@ def test_attempts_of_all_events(spark, bind):
     count = collections.Counter(u for _, u, _ in events)
     got = {r.company_id: (r.n, r.attempts) for r in QUERIES["append_attempts"].run(spark, folder).collect()}
     assert got == {u: (count[u] + (1 <= u < 4),) * 2 for u in {*count, 1, 2, 3}}
+
+
+def test_registry_pages_are_parsed_by_many_tasks_and_never_broadcast(spark, bind):
+    folder = bind(customer=people(range(40)))
+    for name in ("registry_page", "registry_search", "result_rows", "lateral_registry_search", "lateral_registry_fields"):
+        df = QUERIES[name].run(spark, folder)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan
+        assert name == "registry_page" or df.rdd.getNumPartitions() >= 4
