@@ -1,4 +1,4 @@
-"""Parsers of pages as table functions of a session, for LATERAL joins in SQL. Rows reach them in Arrow batches."""
+"""Parsers of pages as table functions of a session, for LATERAL joins in SQL. Rows are pickled in batches: by Arrow, a frame would be made of each page's few rows."""
 
 from __future__ import annotations
 
@@ -77,5 +77,5 @@ FUNCTIONS = {
 def register(spark: SparkSession) -> list[str]:
     """Create the table functions in the session; gives their names."""
     for name, (handler, schema) in FUNCTIONS.items():
-        spark.udtf.register(name, F.udtf(handler, returnType=schema, useArrow=True))
+        spark.udtf.register(name, F.udtf(handler, returnType=schema, useArrow=False))
     return list(FUNCTIONS)

@@ -12,7 +12,7 @@ from ..sources.partials import Partials
 from ..sources.shared import shared_folder
 from ..sources.tables import table
 from ._registry import query
-from .evidence import _DETAIL, _LD_SQL, _PAGE, _SHOWN
+from .evidence import _DETAIL, _LD_SQL, _PAGE, _SHOWN, _pages
 
 # Rules by automaton: the words of all documents that are long enough and whose hash ends so are the keywords
 
@@ -131,6 +131,11 @@ def _view(spark: SparkSession, folder: str, name: str, columns: dict[str, str])
     return view
 
 
+def _page_view(spark: SparkSession, folder: str, html: str) -> str:
+    _pages(spark, folder, {"id": "c_custkey", "html": html}).createOrReplaceTempView("kelvane_customer")
+    return "kelvane_customer"
+
+
 @query(f"SELECT page_id, kind, name, url FROM ({_LD_SQL})")
 def lateral_json_ld(spark: SparkSession, folder: str) -> DataFrame:
     """What json_ld_names gives, as SQL text over a table function."""
@@ -150,13 +155,13 @@ def lateral_links(spark: SparkSession, folder: str) -> DataFrame:
 UNION ALL SELECT c_custkey, 'OK', 'druga', '77', NULL FROM customer WHERE c_custkey % 4 = 3 UNION ALL SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'NO_RESULT' ELSE 'LOGIN_REQUIRED' END, NULL, NULL, NULL FROM customer WHERE c_custkey % 4 < 2""")
 def lateral_registry_search(spark: SparkSession, folder: str) -> DataFrame:
     udtfs.register(spark)
-    view = _view(spark, folder, "customer", {"id": "c_custkey", "html": _SHOWN})
+    view = _page_view(spark, folder, _SHOWN)
     return spark.sql(f"SELECT id, c.status, c.name, c.registration, c.detail_url FROM {view} p, LATERAL registry_candidates(p.html, 'https://r.example.com/') c")
 
 
 @query("""SELECT c_custkey AS id, section, label, value FROM customer, LATERAL (SELECT * FROM (VALUES ('company', 'Firma', c_name || ' d.o.o.'), ('company', 'Poslovni naslov', 'Cesta ' || c_custkey), ('REPRESENTATIVE', 'Naslov', 'Doma ' || c_custkey), ('shares', 'Zap. št. deleža', '' || c_custkey)) t(section, label, value))""")
 def lateral_registry_fields(spark: SparkSession, folder: str) -> DataFrame:
     udtfs.register(spark)
-    view = _view(spark, folder, "customer", {"id": "c_custkey", "html": _DETAIL})
+    view = _page_view(spark, folder, _DETAIL)
     wanted = "(f.section = 'company' AND f.label IN ('Firma', 'Poslovni naslov')) OR (f.section = 'REPRESENTATIVE' AND f.label = 'Naslov') OR (f.section = 'shares' AND f.label = 'Zap. št. deleža')"
     return spark.sql(f"SELECT id, f.section, f.label, f.value FROM {view} p, LATERAL registry_fields(p.html) f WHERE {wanted}")
