@@ -98,17 +98,18 @@ def search_candidates(results: DataFrame, company_name: str, tax: str | None = N
 
 def languages(html: Column, visible: Column | None = None) -> Column:
     """Sorted language codes that a page shows in its markup, paths or switcher; 'sl' if none."""
-    low = F.lower(F.coalesce(html, F.lit("")))
-    shown = low if visible is None else F.lower(visible)
+    said = F.struct(F.lower(F.coalesce(html, F.lit(""))).alias("low"), F.lower(html if visible is None else visible).alias("shown"))
+    return urls.let(said, lambda v: _languages(v["low"], F.coalesce(v["shown"], F.lit("")) if visible is None else v["shown"]))
+
+
+def _languages(low: Column, shown: Column) -> Column:
     declared = F.regexp_extract(low, r"<html[^>]*\blang\s*=\s*[\"']?([a-z]{2})", 1)
-    others = F.transform(F.regexp_extract_all(low, F.lit(r"hreflang\s*=\s*[\"']?([a-z]{2})"), F.lit(1)), lambda x: x)
-    flags = []
-    for code in LANGUAGES:
-        marks = [low.contains(m) for m in (f"/{code}/", f'/{code}"', f"/{code}?", f'lang="{code}"', f"lang={code}")]
-        words = [shown.contains(LANGUAGE_WORDS[code])] if code in LANGUAGE_WORDS else []
-        flags.append(F.when(F.greatest(declared == code, F.array_contains(others, code), *marks, *words), F.lit(code)))
-    found = F.array_sort(F.array_compact(F.array(*flags)))
-    return F.when(F.size(found) == 0, F.array(F.lit("sl"))).otherwise(found)
+    every = lambda pattern: F.regexp_extract_all(low, F.lit(pattern), F.lit(1))
+    # each pattern finds all codes in one pass; the ends of paths are looked at and left, as the next code may begin there
+    marked = F.concat(every(r"hreflang\s*=\s*[\"']?([a-z]{2})"), every(r"lang=\"([a-z]{2})\""), every(r"lang=(?=([a-z]{2}))"), every(r"/([a-z]{2})(?=[/\"?])"), F.array(declared))
+    words = [F.when(shown.contains(w), F.lit(code)) for code, w in LANGUAGE_WORDS.items() if code in LANGUAGES]
+    codes = F.array_intersect(F.concat(marked, F.array_compact(F.array(*words))), F.array(*map(F.lit, LANGUAGES)))
+    return urls.let(F.array_sort(codes), lambda found: F.when(F.size(found) == 0, F.array(F.lit("sl"))).otherwise(found))
 
 
 def hrefs(html: Column) -> Column:

@@ -90,3 +90,13 @@ def test_registry_pages_are_parsed_by_many_tasks_and_never_broadcast(spark, bind
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "Broadcast" not in plan
         assert name == "registry_page" or df.rdd.getNumPartitions() >= 4
+
+
+def test_language_marks_may_share_their_ends(spark):
+    from pyspark.sql import functions as F
+
+    from kelvane.operators import extract
+
+    pages = [('<a href="/en/de/hr">',), ("/it/fr?",), ("hreflang=de lang=lang=en",), (None,), ("x",), ('<html lang="hr">',)]
+    got = [r[0] for r in spark.createDataFrame(pages, "html string").select(extract.languages(F.col("html"))).collect()]
+    assert got == [["de", "en", "hr"], ["fr", "it"], ["de", "en"], ["sl"], ["sl"], ["hr"]]
