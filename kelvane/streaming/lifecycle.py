@@ -10,6 +10,7 @@ from __future__ import annotations
 import contextlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,24 +30,25 @@ class Tasks(StatefulProcessor):
         self.handle = handle
         self.state = handle.getValueState("task", "attempts int, status string, t long")  # t: next try, or end of memory; 0: woken
 
-    def _set(self, attempts: int, status: str, t: int) -> None:
-        self.state.update((attempts, status, t))
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old)
-        if t:
-            self.handle.registerTimer(t)
-
-    def _due(self, out: list[tuple]) -> None:
-        """The timer's time has come."""
-        attempts, status, t = self.state.get()
-        if status == "PENDING":
-            out.append((t, "WAKE", attempts))
-            self._set(attempts, status, 0)
-        else:
-            out.append((t, "EXPIRED", attempts))
-            for old in list(self.handle.listTimers()):
-                self.handle.deleteTimer(old)
+    def _keep(self, before: tuple | None, task: tuple | None) -> None:
+        """Write what became of a task; its one timer is that of its time."""
+        if task == before:
+            return
+        if before and before[2] and (task is None or task[2] != before[2]):
+            self.handle.deleteTimer(before[2])
+        if task is None:
             self.state.clear()
+            return
+        self.state.update(task)
+        if task[2] and (before is None or task[2] != before[2]):
+            self.handle.registerTimer(task[2])
+
+    @staticmethod
+    def _after(task: tuple, out: list[tuple]) -> tuple | None:
+        """The task when its timer's time has come."""
+        attempts, status, t = task
+        out.append((t, "WAKE" if status == "PENDING" else "EXPIRED", attempts))
+        return (attempts, status, 0) if status == "PENDING" else None
 
     def _rows(self, key: tuple, out: list[tuple]) -> Iterator[pd.DataFrame]:
         if out:
@@ -55,26 +57,31 @@ class Tasks(StatefulProcessor):
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
         _, status, seq = self.names
         out: list[tuple] = []
-        results = pd.concat(list(rows)).sort_values(["t", seq])
-        for t, result in zip(results["t"].tolist(), results[status].tolist(), strict=True):
-            if self.state.exists() and 0 < self.state.get()[2] < t:
-                self._due(out)
-            attempts, now, _ = self.state.get() if self.state.exists() else (0, "PENDING", 0)
+        frames = list(rows)
+        results = sorted(zip(*(np.concatenate([f[c].to_numpy() for f in frames]).tolist() for c in ("t", seq, status)), strict=True), key=lambda r: r[:2])
+        # the state is read once and written once: every call to it goes to the JVM and back
+        before = task = tuple(self.state.get()) if self.state.exists() else None
+        for t, _, result in results:
+            if task and 0 < task[2] < t:
+                task = self._after(task, out)
+            attempts, now, _ = task or (0, "PENDING", 0)
             if now != "PENDING":
                 continue  # a finished task's result
             attempts += 1
             if result != "SUCCESS" and attempts < self.most:
-                self._set(attempts, "PENDING", t + self.base * attempts)
+                task = attempts, "PENDING", t + self.base * attempts
             else:
                 now = "DONE" if result == "SUCCESS" else "ERROR"
                 out.append((t, now, attempts))
-                self._set(attempts, now, t + self.keep)
+                task = attempts, now, t + self.keep
+        self._keep(before, task)
         yield from self._rows(key, out)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
         out: list[tuple] = []
-        if self.state.exists() and self.state.get()[2] == expiredTimerInfo.getExpiryTimeInMs():
-            self._due(out)
+        before = tuple(self.state.get()) if self.state.exists() else None
+        if before and before[2] == expiredTimerInfo.getExpiryTimeInMs():
+            self._keep(before, self._after(before, out))
         yield from self._rows(key, out)
 
     def close(self) -> None:

@@ -113,3 +113,30 @@ def test_timed_tasks(spark, tmp_path, files):
 
 def test_shared_folder(spark):
     assert sources.shared_folder(spark, "x") != sources.shared_folder(spark, "x")
+
+
+def test_a_batch_of_results_touches_the_state_once():
+    import collections
+
+    import pandas as pd
+
+    from kelvane.streaming.lifecycle import Tasks
+
+    calls, held = collections.Counter(), {}
+
+    class Store:
+        def __getattr__(self, name):
+            def call(*args):
+                calls[name] += 1
+                if name == "update":
+                    held["task"] = args[0]
+                return {"exists": "task" in held, "get": held.get("task"), "listTimers": iter(())}.get(name)
+
+            return call
+
+    tasks = Tasks("k", "s", "n", 10, 500, 1000)
+    tasks.handle = tasks.state = Store()
+    rows = pd.DataFrame({"t": range(100), "n": range(100), "s": ["FAIL"] * 99 + ["SUCCESS"]})
+    out = pd.concat(list(tasks.handleInputRows(("a",), iter([rows]), None)))
+    assert out.values.tolist() == [["a", 99, "DONE", 100]] and held["task"] == (100, "DONE", 1099)
+    assert calls["registerTimer"] == 1 and sum(calls.values()) <= 4
