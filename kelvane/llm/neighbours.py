@@ -43,7 +43,7 @@ def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
     for i in range(0, len(x), 512):
         s = x[i : i + 512] @ x.T
         s[np.arange(len(s)), np.arange(i, i + len(s))] = -np.inf
-        out.append(np.argpartition(-s, k - 1, axis=1)[:, :k])
+        out.append(np.argpartition(-s, k - 1, axis=1)[:, :k].copy())  # a view would hold the indices of all vectors
     return np.concatenate(out)
 
 

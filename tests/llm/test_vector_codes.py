@@ -144,3 +144,16 @@ def test_sql(spark, operator):
     names = [d[0] for d in found.description]
     assert sorted(names) == sorted(df.columns)
     assert sorted(tuple(r[n] for n in names) for r in df.collect()) == sorted(map(tuple, found.fetchall()))
+
+
+def test_the_neighbour_graph_holds_k_neighbours_and_not_all():
+    import tracemalloc
+
+    from kelvane.llm.neighbours import neighbour_graph
+
+    x = np.random.default_rng(1).normal(size=(4000, 8)).astype(np.float32)
+    tracemalloc.start()
+    graph = neighbour_graph(x, 5)
+    held, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert graph.shape == (4000, 5) and held < 1 << 20 and peak < 60 << 20
