@@ -40,8 +40,11 @@ def with_family(df: DataFrame, text: str) -> DataFrame:
     return df.withColumn("matches", matches(F.col(text), FAMILY_RULES)).withColumn("score", score(F.col("matches"))).withColumn("family_status", family_status(F.col("score")))
 
 
-#: Bytes of keywords that one automaton is made of, and so that a task holds; more rules are taken in several passes.
-AUTOMATON_BYTES = 16 << 20
+#: Bytes of keywords that one automaton is made of (it takes some forty times as many), and so that a task holds; more
+#: rules are taken in several passes.
+AUTOMATON_BYTES = 4 << 20
+#: Hits that a task holds before it hands them on, about.
+HITS = 1 << 16
 
 
 def rule_parts(rules: DataFrame, most: int = AUTOMATON_BYTES) -> list[DataFrame]:
@@ -62,28 +65,39 @@ def rule_hits(df: DataFrame, key: str, text: str, rules: DataFrame, most: int =
     kind = df.schema[key].dataType.simpleString()
     out = None
     for part in rule_parts(rules.select("category", "keyword", F.col("score").cast("int").alias("score")), most):
-        listed = part.withColumn("low", F.lower("keyword")).toArrow().to_pylist()  # bounded by ``most``
-        held = df.sparkSession.sparkContext.broadcast([(r["low"], r["category"], r["keyword"], r["score"]) for r in listed])
+        held = df.sparkSession.sparkContext.broadcast(part.select("category", "keyword", "score", F.lower("keyword").alias("low")).toArrow().combine_chunks())  # bounded by ``most``
 
         def scan(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
             import ahocorasick
 
-            rules_, words = held.value, {}
-            for k, (word, *_) in enumerate(rules_):
-                words.setdefault(word, []).append(k)
-            always, machine = words.pop("", []), ahocorasick.Automaton()
-            for word, of in words.items():
-                machine.add_word(word, of)
+            rules_, first, same = held.value.select(["category", "keyword", "score"]), {}, {}
+            for k, word in enumerate(held.value.column("low").to_pylist()):
+                if first.setdefault(word, k) != k:
+                    same.setdefault(first[word], []).append(k)
+            blank, machine = first.pop("", None), ahocorasick.Automaton(ahocorasick.STORE_INTS)
+            for word, k in first.items():
+                machine.add_word(word, k)
+            del first
             machine.make_automaton()
+
+            def hits_of(keys: pa.Array, at: list[int], hit: list[int]) -> Iterator[pa.RecordBatch]:
+                found = rules_.take(pa.array(hit, pa.int64())).combine_chunks()
+                columns = [found.column(c).combine_chunks() for c in range(3)]
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(at, pa.int64())), *columns], names=[key, "category", "keyword", "score"])
+
             for batch in batches:
                 at, hit = [], []
-                for i, body in enumerate(batch.column(1).to_pylist()):
-                    found = {k for _, of in machine.iter(body) for k in of} if len(machine) else set()
-                    found |= set(always)
+                for i, body in enumerate(batch.column(1)):
+                    found = {k for _, k in machine.iter(body.as_py())} if len(machine) else set()
+                    if blank is not None:
+                        found.add(blank)
+                    found |= {k for f in found if f in same for k in same[f]}
                     at += [i] * len(found)
                     hit += sorted(found)
-                columns = [pa.array([rules_[k][c] for k in hit], t) for c, t in ((1, pa.string()), (2, pa.string()), (3, pa.int32()))]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *columns], names=[key, "category", "keyword", "score"])
+                    if len(at) >= HITS:
+                        yield from hits_of(batch.column(0), at, hit)
+                        at, hit = [], []
+                yield from hits_of(batch.column(0), at, hit)
 
         hits = low.mapInArrow(scan, f"`{key}` {kind}, category string, keyword string, score int")
         out = hits if out is None else out.unionByName(hits)

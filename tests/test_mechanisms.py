@@ -140,3 +140,15 @@ def test_a_batch_of_results_touches_the_state_once():
     out = pd.concat(list(tasks.handleInputRows(("a",), iter([rows]), None)))
     assert out.values.tolist() == [["a", 99, "DONE", 100]] and held["task"] == (100, "DONE", 1099)
     assert calls["registerTimer"] == 1 and sum(calls.values()) <= 4
+
+
+def test_hits_are_handed_on_in_parts(spark, monkeypatch):
+    """Neither the hits of a batch nor an automaton grow with the tables."""
+    from kelvane.operators import keywords
+
+    monkeypatch.setattr(keywords, "HITS", 8)
+    assert keywords.AUTOMATON_BYTES <= 4 << 20
+    texts = spark.createDataFrame([(i, "Alfa beta gama") for i in range(50)] + [(50, None)], "i int, text string").coalesce(1)
+    rules = spark.createDataFrame([("a", "ALFA", 1), ("b", "alfa", 2), ("c", "Gama", 4), ("d", "", 8), ("e", "delta", 16)], "category string, keyword string, score int")
+    got = keywords.rule_hits(texts, "i", "text", rules).collect()
+    assert sorted((r.i, r.category, r.keyword, r.score) for r in got) == sorted([(i, c, k, s) for i in range(50) for c, k, s in (("a", "ALFA", 1), ("b", "alfa", 2), ("c", "Gama", 4), ("d", "", 8))] + [(50, "d", "", 8)])
