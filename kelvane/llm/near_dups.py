@@ -8,9 +8,10 @@ smallest. Where that leaves texts of one family (all that met one smallest text)
 filter finds the texts that can still have a link to another component: with elements in one order, rarest first, two
 texts of similarity t share an element among those that come before a share of 1 - t of either text's weight is
 passed. These texts, but for the family's largest component, are compared with all such texts of the family, block by
-block, inside tasks that return only the links that join components. So buckets have no cap, no pairs of a large
-group are written out, and texts of a family that have nothing rare in common are not compared at all. Classes are
-the connected components of verified links of 0.8 or more.
+block, inside tasks that return only the links that join components. A text is dealt to one block, and a block is one
+row, so rows are made by text and by pair of blocks. So buckets have no cap, no pairs of a large group are written
+out, and texts of a family that have nothing rare in common are not compared at all. Classes are the connected
+components of verified links of 0.8 or more.
 
 Document frequencies are counted over all documents in a table of 2**18 hashed counters, less the counters' median
 (what rare shingles add by chance). The weight is (1 + ln((N + 1) / (df + 1)) / ln(N + 1)) / 2: from 1 for a rare
@@ -289,8 +290,10 @@ def text_classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFra
     dealt = deal(placed.join(open_, "leader"), bodies, shared_idf, threshold)
 
     def compare(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("tid")
-        tids, roots, right = rows.column("tid").to_pylist(), rows.column("root").to_pylist(), rows.column("right").to_numpy()
+        texts = rows.column("texts").combine_chunks()
+        right = pa.array(np.repeat(rows.column("right").to_numpy(), np.diff(texts.offsets)))
+        rows = pa.Table.from_batches([pa.RecordBatch.from_struct_array(texts.flatten())]).append_column("right", right).sort_by("tid")
+        roots, right = rows.column("root").to_pylist(), rows.column("right").to_numpy()
         near = similarities(Elements.of(rows.column("text").combine_chunks()), shared_idf.value, right) >= threshold - 1e-9
         up = {r: r for r in roots}
 
@@ -305,18 +308,18 @@ def text_classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFra
         for x, y in zip(rows_[at[:, 0]].tolist(), columns[at[:, 1]].tolist(), strict=True):
             if (p := top(roots[x])) != (q := top(roots[y])):
                 up[p] = q
-                a.append(tids[x])
-                b.append(tids[y])
+                a.append(roots[x])
+                b.append(roots[y])
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
-    more = cut(dealt.groupBy("leader", "i", "j").applyInArrow(compare, "a binary, b binary"))
+    more = cut(block_pairs(dealt).groupBy("leader", "i", "j").applyInArrow(compare, "a binary, b binary"))
     if not more.isEmpty():
-        classes = cut(connected_components(links.unionByName(more)))
+        classes = cut(joined_classes(classes, cut(connected_components(more))))
     return signed.select("doc_id", "tid"), classes
 
 
 def deal(members: DataFrame, bodies: DataFrame, idf, threshold: float = THRESHOLD) -> DataFrame:
-    """Texts to compare in each group (leader, i, j): those of block i outside their family's largest component, with those (``right``) of slice j of the family.
+    """Texts to compare in each family (leader): those outside its largest component, by block, each with all of the family (``right``), by slice; ``others`` is the number of slices for a block and of blocks for a slice.
 
     ``members`` (leader, tid, root) are the families, ``bodies`` (tid, text) their texts, ``idf`` the broadcast weights.
     Only texts stay that share an element of their prefixes with a text of another component.
@@ -343,14 +346,26 @@ def deal(members: DataFrame, bodies: DataFrame, idf, threshold: float = THRESHOL
     def one_of(count: str):
         return F.pmod(F.xxhash64("tid"), F.col(count)).cast("int")
 
-    def each_of(count: str):
-        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
-
-    left = members.filter("root <> largest").select("leader", one_of("blocks").alias("i"), each_of("slices").alias("j"), F.lit(False).alias("right"), "tid", "root")
-    right = members.select("leader", each_of("blocks").alias("i"), one_of("slices").alias("j"), F.lit(True).alias("right"), "tid", "root")
+    left = members.filter("root <> largest").select("leader", F.lit(False).alias("right"), one_of("blocks").alias("block"), F.col("slices").alias("others"), "tid", "root")
+    right = members.select("leader", F.lit(True).alias("right"), one_of("slices").alias("block"), F.col("blocks").alias("others"), "tid", "root")
     return left.unionByName(right).join(bodies, "tid")
 
 
+def block_pairs(dealt: DataFrame) -> DataFrame:
+    """(leader, i, j, right, texts): block i and slice j of each family, as one row each of (tid, root, text), of what ``deal`` gives."""
+    packed = dealt.groupBy("leader", "right", "block", "others").agg(F.collect_list(F.struct("tid", "root", "text")).alias("texts"))
+    each = packed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
+    i, j = F.when(F.col("right"), F.col("other")).otherwise(F.col("block")), F.when(F.col("right"), F.col("block")).otherwise(F.col("other"))
+    return each.select("leader", i.alias("i"), j.alias("j"), "right", "texts")
+
+
+def joined_classes(classes: DataFrame, moved: DataFrame) -> DataFrame:
+    """(node, root) after the classes of the roots ``moved.node`` became parts of those of ``moved.root``; a text without a class was its own root."""
+    new = moved.select(F.col("node").alias("was"), F.col("root").alias("now"))
+    alone = moved.join(classes.select("node"), "node", "left_anti").select("node", "root")
+    return classes.join(new, classes["root"] == new["was"], "left").select("node", F.coalesce("now", "root").alias("root")).unionByName(alone)
+
+
 def _rooted(docs: DataFrame, threshold: float) -> DataFrame:
     """(doc_id, tid, root) of each row with an id and words, written: the identity of its words, and of its class."""
     rows, classes = text_classes(docs, threshold)

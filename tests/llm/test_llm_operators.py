@@ -631,6 +631,24 @@ def test_a_family_without_links_is_not_compared(spark):
         assert len(dealt) == 3 * len(more)
 
 
+def test_rows_of_a_family_do_not_grow_as_its_square(spark):
+    """Texts that share rare elements and are no near duplicates: each is dealt once to a block and once to a slice, and pairs of blocks are rows."""
+    base = " ".join(f"rare{k}" for k in range(12))
+    idf = spark.sparkContext.broadcast(np.ones(1 << near_dups.COUNTERS, np.float32))
+    for n in (300, 600):
+        rows = [(b"all", b"%04d" % i, b"%04d" % i, base + " " + " ".join(f"own{i}x{k}" for k in range(8))) for i in range(n)]
+        df = spark.createDataFrame(rows, "leader binary, tid binary, root binary, text string")
+        dealt = near_dups.deal(df.select("leader", "tid", "root"), df.select("tid", "text"), idf)
+        assert dealt.count() == 2 * n - 1
+        groups = collections.defaultdict(dict)
+        for r in near_dups.block_pairs(dealt).collect():
+            assert r.right not in groups[r.i, r.j]
+            groups[r.i, r.j][r.right] = {bytes(t.tid) for t in r.texts}
+        assert len(groups) <= (n / near_dups.BLOCK + 1) ** 2
+        met = {(x, y) for g in groups.values() for x in g.get(False, ()) for y in g.get(True, ())}
+        assert len(met) == (n - 1) * n  # all but those of the largest component with all
+
+
 def test_sampling_estimates_weighted_jaccard():
     rng = np.random.default_rng(2)
     keys = rng.integers(0, 2**63, 300, dtype=np.uint64)
