@@ -257,7 +257,7 @@ def _window_rows(windows: tuple[np.ndarray, ...], parts: int) -> pa.RecordBatch:
 
 
 def _entry_rows(array: Suffixes, grams: np.ndarray, parts: int, shape: Shape) -> pa.RecordBatch:
-    """The array's entries by part, in their order; of a key only its text is sent."""
+    """The array's entries by part, in their order; of a key only its text is sent. All but the distances is compressed: runs overlap, so entries are some four times the text."""
     part = grams.astype(np.int64) % parts
     order = np.argsort(part, kind="stable")
     array, part = array.take(order), part[order]
@@ -266,15 +266,31 @@ def _entry_rows(array: Suffixes, grams: np.ndarray, parts: int, shape: Shape) ->
     found, first = np.unique(part, return_index=True)
     cuts = np.append(first, len(part)).tolist()
     pick = lambda x: [x[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-    return _row(found, ENTRIES, pick(array.docs), pick(array.starts), pick(array.keys[:, -2:]), [text[ends[a] : ends[b]].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+    packed = [_packed(text[ends[a] : ends[b]]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    places = [[_packed(x[a:b].astype(t)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)] for x, t in ((array.docs, "<i8"), (array.starts, "<u4"))]
+    return _row(found, ENTRIES, *places, pick(array.keys[:, -2:]), packed)
+
+
+def _packed(values: np.ndarray) -> bytes:
+    """The bytes of the values, first bytes first, compressed."""
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T)
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(packed: bytes, kind: str, n: int) -> np.ndarray:
+    """``n`` values of a kind, of what ``_packed`` made of them."""
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(packed, n * size, codec="zstd", asbytes=True), np.uint8).reshape(size, n)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
 def _entries(docs: bytes, starts: bytes, more: bytes, data: bytes, shape: Shape) -> Suffixes:
     low_high = np.frombuffer(more, np.uint8).reshape(-1, 2)
     keys = np.zeros((len(low_high), shape.size), np.uint8)
     keys[:, -2:] = low_high
-    keys[:, :-2][shape.masks(low_high[:, 0], low_high[:, 1])] = np.frombuffer(data, np.uint8)
-    return Suffixes(keys, np.frombuffer(docs, "<i8"), np.frombuffer(starts, "<u4"))
+    text = shape.masks(low_high[:, 0], low_high[:, 1])
+    keys[:, :-2][text] = _unpacked(data, "u1", int(text.sum()))
+    return Suffixes(keys, _unpacked(docs, "<i8", len(low_high)), _unpacked(starts, "<u4", len(low_high)))
 
 
 def _parts(size: int) -> int:

@@ -559,6 +559,20 @@ def test_family_levels_are_geometric():
     assert len(np.unique(held)) == len(held) == met.sum() and len(held) + sum(len(d) for d, _, _ in family.covered) == 4000
 
 
+def test_entries_are_sent_compressed():
+    """Entries of prose take less than two thirds of their bytes, and come back as they were."""
+    shape, rng = substrings.Shape(), random.Random(81)
+    data = np.frombuffer(" ".join(prose(rng, 200) for _ in range(60)).encode(), np.uint8)
+    doc, start, count, anchor, grams = substrings.runs_of(data, np.array([0, len(data)]), shape)
+    array = substrings.Suffixes(substrings.keys_of(data, start, count, anchor, shape), doc + (1 << 40), start.astype("<u4"))
+    rows = substrings._entry_rows(array, grams, 3, shape).to_pylist()
+    sent = sum(len(r[k]) for r in rows for k in ("docs", "starts", "more", "data"))
+    assert sent < (14 * len(start) + (shape.length + count - 1).sum()) * 2 / 3
+    back = substrings.Suffixes.joined([substrings._entries(r["docs"], r["starts"], r["more"], r["data"], shape) for r in rows])
+    order, was = np.argsort(back.starts), np.argsort(array.starts)
+    assert (back.keys[order] == array.keys[was]).all() and (back.docs == 1 << 40).all() and (back.starts[order] == array.starts[was]).all()
+
+
 # 9
 
 
