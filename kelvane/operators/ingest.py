@@ -37,13 +37,14 @@ TABLES = {
 def ingest(records: DataFrame, tables: dict[str, DataFrame], keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> dict[str, DataFrame]:
     """New snapshots of all tables, and ``current_facts``. ``keep`` is applied to what several tables are derived from (a checkpoint, say)."""
     old = dict(tables)
-    rows = records.withColumns({"registration_number": ids.digits(F.col("registration_number")), "tax_number": ids.tax_number(F.col("tax_number")), "raw_hash": F.sha2("raw_json", 256)})
+    rows = records.withColumns({"registration_number": ids.digits(F.col("registration_number")), "tax_number": ids.tax_number(F.col("tax_number"))})
     found = identity.resolve_two(rows, old["companies"], "company_id", "registration_number", "tax_number")
-    found = keep(found)
+    # digests and ids are most of a row's bytes: they are made where they are used, and those of a conflict kept for conflicts
+    found = keep(found.withColumns({c: F.when(F.col("conflict"), F.col(c)) for c in ("by_first", "by_second")}))
     journal = identity.conflict_journal(found, "registration_number", "tax_number")
     # new companies are known by their registration number, else by their tax number
     key = F.when(F.col("registration_number").isNotNull(), ids.entity_key(F.lit("reg"), F.col("registration_number"))).when(F.col("tax_number").isNotNull(), ids.entity_key(F.lit("tax"), F.col("tax_number")))
-    known = keep(found.filter("not conflict").withColumn("company_id", F.coalesce("company_id", key)).filter("company_id is not null"))
+    known = found.filter("not conflict").withColumn("company_id", F.coalesce("company_id", key)).filter("company_id is not null").withColumn("raw_hash", F.sha2("raw_json", 256))
 
     latest = known.groupBy("company_id").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c) for c in ("canonical_name", "registration_number", "tax_number", "address")])
     companies = merge.fill_blanks(old["companies"], latest.select(*old["companies"].columns), ["company_id"]).drop("conflicts")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .relational import top_per_key
@@ -98,10 +98,11 @@ def append_observations(observations: DataFrame, batch: DataFrame, with_record:
 
 
 def insert_null_safe(target: DataFrame, source: DataFrame, key: Sequence[str], order: str) -> DataFrame:
-    """``insert_new`` with nulls in keys equal to one another."""
-    first = top_per_key(source, list(key), 1, F.col(order).asc()).alias("n")
-    known = target.select(*[F.col(k).alias(f"k_{k}") for k in key]).distinct()
-    return target.unionByName(first.join(known, [F.col(f"n.{k}").eqNullSafe(F.col(f"k_{k}")) for k in key], "left_anti").select("n.*").select(*target.columns))
+    """``insert_new`` with nulls in keys equal to one another. Both sides are ranked together, so each row is moved once."""
+    new = source.select(*target.columns, F.lit(True).alias("__new"), F.col(order).alias("__order"))
+    rows = target.withColumn("__new", F.lit(False)).unionByName(new, allowMissingColumns=True)
+    ranked = rows.withColumn("__rank", F.row_number().over(Window.partitionBy(*key).orderBy("__new", F.col("__order").asc())))
+    return ranked.filter("not __new or __rank = 1").select(*target.columns)
 
 
 def current_facts(observations: DataFrame, entity: str = "company_id", fact: str = "fact_key", year: str = "value_year", seq: str = "seq") -> DataFrame:

@@ -9,7 +9,7 @@ from ..functions import ids
 from ..operators import ingest, merge, results, runs
 from ..operators import relational as rel
 from ..sources.catalog import Catalog
-from ..sources.shared import shared_folder
+from ..sources.shared import shared_folder, written
 from ..sources.tables import table
 from ._registry import query
 
@@ -120,10 +120,11 @@ def _ingested(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     records = table(spark, folder, "customer").selectExpr(*[f"{e} AS {c}" for c, e in (_FILED | _NESTED).items()]).drop("k")
     catalog = Catalog(spark, shared_folder(spark, "catalog"))
     tables, at = {k: spark.createDataFrame([], v) for k, v in ingest.TABLES.items()}, 0
+    buckets = max(4, -(-records.count() // 100_000))
     for batch in (records.filter("seq % 50 <> 11"), records):
         change = catalog.begin()
-        for name, df in ingest.ingest(batch, tables).items():
-            change.replace(name, df, [df.columns[0]], 4)
+        for name, df in ingest.ingest(batch, tables, lambda df: written(df, "ingest")).items():
+            change.replace(name, df, [df.columns[0]], buckets)
         at = change.commit()
         tables = {k: catalog.read(k, at) for k in ingest.TABLES}
     return tables

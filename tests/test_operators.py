@@ -223,3 +223,15 @@ def test_adapters(spark):
         known.register("a", "x", None)
     tasks = spark.createDataFrame([("a", "x"), ("b", "x")], "source string, task_type string")
     assert known.run(tasks).count() == 1
+
+
+def test_insert_null_safe_moves_rows_once(spark):
+    """One exchange for both sides; nulls in keys are equal, all target rows stay, and the first of new rows counts."""
+    schema = "k string, y int, v string, seq long"
+    target = spark.createDataFrame([("a", None, "old", 1), ("a", None, "old again", 2), (None, 1, "old", 3)], schema)
+    source = spark.createDataFrame([("a", None, "x", 0), (None, 1, "x", 0), (None, None, "late", 9), (None, None, "first", 4), ("b", 1, "new", 5)], schema)
+    out = merge.insert_null_safe(target, source, ["k", "y"], "seq")
+    assert sorted((r.v for r in out.collect())) == ["first", "new", "old", "old", "old again"]
+    assert out.columns == target.columns
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("== Initial Plan ==")[-1].count("Exchange hashpartitioning") == 1
